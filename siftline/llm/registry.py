@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from siftline.llm.token_counts import op3_token_counts
 from siftline.llm.topk_search import OP7_SQL, op7_topk_search
+from siftline.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op7_topk_search": op7_topk_search,
+    "op8_toxicity": op8_toxicity,
 }
 
 SQL = {
