@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from siftline.llm.near_dup import op2_order_minhash
 from siftline.llm.quality_crf import op6_quality_classifier
 from siftline.llm.token_counts import op3_token_counts
 from siftline.llm.topk_search import OP7_SQL, op7_topk_search
 from siftline.llm.toxicity import op8_toxicity
 
 QUERIES = {
+    "op2_order_minhash": op2_order_minhash,
     "op3_token_counts": op3_token_counts,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_topk_search": op7_topk_search,
