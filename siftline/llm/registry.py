@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from siftline.llm.near_dup import op2_order_minhash
 from siftline.llm.quality_crf import op6_quality_classifier
+from siftline.llm.sentencepiece_stream import op9_sentencepiece
 from siftline.llm.token_counts import op3_token_counts
 from siftline.llm.topk_search import OP7_SQL, op7_topk_search
 from siftline.llm.toxicity import op8_toxicity
@@ -14,6 +15,7 @@ QUERIES = {
     "op6_quality_classifier": op6_quality_classifier,
     "op7_topk_search": op7_topk_search,
     "op8_toxicity": op8_toxicity,
+    "op9_sentencepiece": op9_sentencepiece,
 }
 
 SQL = {
