@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from siftline.llm.line_dedup import op4_line_dedup
 from siftline.llm.near_dup import op2_order_minhash
 from siftline.llm.quality_crf import op6_quality_classifier
 from siftline.llm.sentencepiece_stream import op9_sentencepiece
@@ -12,6 +13,7 @@ from siftline.llm.toxicity import op8_toxicity
 QUERIES = {
     "op2_order_minhash": op2_order_minhash,
     "op3_token_counts": op3_token_counts,
+    "op4_line_dedup": op4_line_dedup,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_topk_search": op7_topk_search,
     "op8_toxicity": op8_toxicity,
