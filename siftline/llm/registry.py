@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from siftline.llm.decontaminate import op10_decontaminate
 from siftline.llm.line_dedup import op4_line_dedup
 from siftline.llm.near_dup import op2_order_minhash
 from siftline.llm.quality_crf import op6_quality_classifier
@@ -18,6 +19,7 @@ QUERIES = {
     "op7_topk_search": op7_topk_search,
     "op8_toxicity": op8_toxicity,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 SQL = {
