@@ -7,11 +7,13 @@ from siftline.llm.line_dedup import op4_line_dedup
 from siftline.llm.near_dup import op2_order_minhash
 from siftline.llm.quality_crf import op6_quality_classifier
 from siftline.llm.sentencepiece_stream import op9_sentencepiece
+from siftline.llm.substring_dedup import op1_substring_dedup
 from siftline.llm.token_counts import op3_token_counts
 from siftline.llm.topk_search import OP7_SQL, op7_topk_search
 from siftline.llm.toxicity import op8_toxicity
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_order_minhash": op2_order_minhash,
     "op3_token_counts": op3_token_counts,
     "op4_line_dedup": op4_line_dedup,
