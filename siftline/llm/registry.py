@@ -5,6 +5,7 @@ from __future__ import annotations
 from siftline.llm.decontaminate import op10_decontaminate
 from siftline.llm.line_dedup import op4_line_dedup
 from siftline.llm.near_dup import op2_order_minhash
+from siftline.llm.ngram_scoring import op5_lm_scoring
 from siftline.llm.quality_crf import op6_quality_classifier
 from siftline.llm.sentencepiece_stream import op9_sentencepiece
 from siftline.llm.substring_dedup import op1_substring_dedup
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_order_minhash": op2_order_minhash,
     "op3_token_counts": op3_token_counts,
     "op4_line_dedup": op4_line_dedup,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_topk_search": op7_topk_search,
     "op8_toxicity": op8_toxicity,
