@@ -112,10 +112,15 @@ def features(texts: pa.Array, table: WordTable) -> np.ndarray:
     return np.stack(parts, axis=1)
 
 
+def _starts(p: int) -> Column:
+    """The first p letters of each word that has as many."""
+    return F.transform(F.filter("words", lambda w: F.length(w) >= p), lambda w: F.concat(F.lit("p"), F.substring(w, 1, p)))
+
+
 def lexicons(sample: DataFrame, size: int = LEXICON) -> list[dict[str, float]]:
     """Log-odds of words and word beginnings by document frequency: of fold 0, of fold 1, of both."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(\p{L}+)"), F.lit(1)))
-    starts = [F.transform(F.filter("words", lambda w, p=p: F.length(w) >= p), lambda w, p=p: F.concat(F.lit("p"), F.substring(w, 1, p))) for p in PREFIXES]
+    starts = [_starts(p) for p in PREFIXES]
     keys = F.array_distinct(F.concat(F.transform("words", lambda w: F.concat(F.lit("w"), w)), *starts))
     rows = sample.select("y", "fold", words.alias("words")).select("y", "fold", F.explode(keys).alias("key"))
     count = lambda y, fold: F.count_if((F.col("y") == y) & (F.col("fold") == fold))
