@@ -37,7 +37,7 @@ from siftline.llm._labels import bucket
 PRIOR = 300.0
 CHUNK_BYTES = 12 << 20
 #: Distinct keys of all chunks together that one shard takes, on average.
-SHARD_KEYS = 2_000_000
+SHARD_KEYS = 500_000
 END, START = np.uint64(0x656E64), np.uint64(0x7374617274)
 STEP = 2000.0
 
