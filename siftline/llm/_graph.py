@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.llm._common import drop_out, write_out
 
-#: Rounds of one centre per bucket before what is left is compared pair by pair, if its buckets are small.
-ROUNDS = 4
-SMALL = 64
+#: Edges that a task of a star step takes.
+EDGES_PER_TASK = 200_000
+#: Centres per bucket of the second round of comparisons.
+CENTRES = 4
+#: Rows of a bucket from which on it is split by size.
+SMALL = 16
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,15 +26,17 @@ def components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     now = write_out(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = None
+    # few edges need few tasks and files; steps never make more edges than about two a node
+    tasks = 4 + now.count() // EDGES_PER_TASK
     while True:
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where(F.col("b") > F.col("a")).join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b"))
-        large = write_out(large.distinct(), "large-star")
+        large = write_out(large.distinct().coalesce(tasks), "large-star")
         low = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         pairs = large.join(low, F.col("a") == F.col("u"))
         small = pairs.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        after = write_out(small.where(F.col("a") != F.col("b")).distinct(), "small-star")
+        after = write_out(small.where(F.col("a") != F.col("b")).distinct().coalesce(tasks), "small-star")
         seen = after.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)).alias("x")).first()
         drop_out(spark, now, large)
         now = after
@@ -39,48 +44,83 @@ def components(edges: DataFrame) -> DataFrame:
             break
         state = (seen["n"], seen["x"])
     roots = now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("id"), "root")
-    return write_out(roots.union(now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct()), "components")
+    return write_out(roots.union(now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct()).coalesce(2 * tasks), "components")
 
 
 def shared_buckets(members: DataFrame) -> DataFrame:
-    """Rows (key, id) of keys that at least two different ids have."""
+    """Rows (key, id, size) of keys that at least two different ids have."""
     shared = members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select(F.col("key").alias("shared_key"))
-    return members.join(shared, F.col("key") == F.col("shared_key")).select("key", "id")
+    return members.join(shared, F.col("key") == F.col("shared_key")).select("key", "id", "size")
 
 
-def linked_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str, rounds: int = ROUNDS) -> DataFrame | None:
-    """Components of all verified links between ids that share a bucket, without all pairs of a bucket.
+def by_size(buckets: DataFrame, ratio: float, small: int = SMALL) -> DataFrame:
+    """Splits buckets of more than `small` rows by size class, each row in its class and the next.
 
-    Each round compares the members of every bucket that still spans several components with one centre
-    of the bucket (least id first, later the least id under a salt). Buckets inside one component need
-    no more comparisons. What spans several after the rounds is compared pair by pair across components
-    where buckets are small, else round by round until settled or all its members have been centres.
+    Ids whose sizes differ by no more than the ratio stay together in some class, so no link is lost.
     """
-    buckets = write_out(buckets.distinct(), f"{name}-buckets")
-    links, roots, at = None, None, 0
-    while True:
-        salt = 0 if at == 0 else (at * 0x9E3779B97F4A7C15) & 0x7FFFFFFFFFFFFFFF
-        rows = buckets.withColumn("root", F.col("id"))
-        if roots is not None:
-            rows = buckets.join(roots.withColumnRenamed("id", "known"), F.col("id") == F.col("known"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-            spans = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select(F.col("key").alias("open"), "n")
-            rows = rows.join(spans, F.col("key") == F.col("open")).select("key", "id", "root", "n")
-            rows = write_out(rows, f"{name}-open")
-            size = rows.agg(F.count("*").alias("rows"), F.max("n").alias("most")).first()
-            if not size["rows"]:
-                break
-            if at >= rounds and (size["most"] <= SMALL or at >= size["most"] or at >= 64):
-                other = rows.select(F.col("key").alias("k2"), F.col("id").alias("id2"), F.col("root").alias("root2"))
-                pairs = rows.join(other, (F.col("key") == F.col("k2")) & (F.col("root") < F.col("root2"))).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-                found = write_out(verify(pairs), f"{name}-links")
-                roots = components(links.union(found))
-                break
-        centre = rows.groupBy(F.col("key").alias("at_key")).agg(F.min(F.col("id").bitwiseXOR(F.lit(salt))).alias("c")).select("at_key", F.col("c").bitwiseXOR(F.lit(salt)).alias("c"))
-        pairs = rows.join(centre, F.col("key") == F.col("at_key")).where(F.col("id") != F.col("c")).select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
-        if links is not None:
-            pairs = pairs.join(links, ["a", "b"], "left_anti")
+    wide = buckets.groupBy(F.col("key").alias("wide_key")).agg(F.count("*").alias("n")).where(F.col("n") > small).select("wide_key")
+    rows = buckets.join(wide, F.col("key") == F.col("wide_key"), "left")
+    rank = F.floor(F.log(F.greatest(F.col("size"), F.lit(1)).cast("double")) / F.log(F.lit(ratio * 1.01)))
+    key = F.when(F.col("wide_key").isNull(), F.array("key")).otherwise(F.array(F.xxhash64("key", rank), F.xxhash64("key", rank + 1)))
+    return rows.select(F.explode(key).alias("key"), "id").distinct()
+
+
+def linked_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], tokens: Callable[[DataFrame], DataFrame], name: str, least: float) -> DataFrame:
+    """Components (id, root) of all verified links between ids that share a bucket, without all pairs of a bucket.
+
+    Similar ids must not differ in size by more than 1 / least: wide buckets are split by size class. Each
+    round compares the members of every bucket that still spans several components with a few centres of
+    the bucket: the least id, then the least ids under `CENTRES` further salts. Buckets inside one
+    component need no more. Small buckets that still span several are compared pair by pair, members of
+    wide ones by prefix filter: similar ids share `least` of their tokens, so they share one of the rarest
+    1 - least of them. So no candidate link is left out, and no pair is compared twice.
+
+    tokens: for a table of ids, (id, token) of the texts' elements, at least `least` of which two similar
+    texts have in common (different elements of one text have different tokens).
+    """
+    buckets = write_out(by_size(buckets, 1 / least), f"{name}-buckets")
+    tried = write_out(_centre_pairs(buckets, [0]), f"{name}-pairs")
+    links = write_out(verify(tried), f"{name}-links")
+    roots = components(links)
+    for salts in (range(1, 1 + CENTRES), None):
+        rows = buckets.join(roots.withColumnRenamed("id", "known"), F.col("id") == F.col("known"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+        spans = rows.groupBy(F.col("key").alias("open")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("open", "n")
+        rows = write_out(rows.join(spans, F.col("key") == F.col("open")).select("key", "id", "root", "n"), f"{name}-open")
+        if salts is None:
+            small = rows.where(F.col("n") <= SMALL).select("key", "id", "root")
+            wide = rows.where(F.col("n") > SMALL).select("id", "root").distinct()
+            pairs = _cross_pairs(small).union(_prefix_pairs(wide, tokens, name, least)).distinct()
+        else:
+            pairs = _centre_pairs(rows, [((s * 0x9E3779B97F4A7C15) & 0x7FFFFFFFFFFFFFFF) for s in salts])
+        pairs = write_out(pairs.join(tried, ["a", "b"], "left_anti"), f"{name}-pairs")
         found = write_out(verify(pairs), f"{name}-links")
-        links = found if links is None else links.union(found)
-        roots = components(links)
-        at += 1
+        tried = tried.union(pairs)
+        if not found.isEmpty():
+            links = links.union(found)
+            roots = components(links)
     return roots
+
+
+def _cross_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rows (key, id, root) with one key and two roots."""
+    other = rows.select(F.col("key").alias("k2"), F.col("id").alias("id2"), F.col("root").alias("root2"))
+    return rows.join(other, (F.col("key") == F.col("k2")) & (F.col("root") < F.col("root2"))).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
+
+
+def _prefix_pairs(members: DataFrame, tokens: Callable[[DataFrame], DataFrame], name: str, least: float) -> DataFrame:
+    """Pairs of members (id, root) of two components that share one of their rarest tokens."""
+    found = write_out(tokens(members.select("id")).distinct(), f"{name}-tokens")
+    often = found.groupBy(F.col("token").alias("t")).agg(F.count("*").alias("often"))
+    ranked = found.join(often, F.col("token") == F.col("t")).select("id", "token", "often")
+    own = Window.partitionBy("id")
+    ranked = ranked.withColumn("place", F.row_number().over(own.orderBy("often", "token"))).withColumn("all", F.count("*").over(own))
+    rare = ranked.where((F.col("place") <= F.floor((1 - least) * F.col("all") + 1e-9) + 1) & (F.col("often") > 1)).select("id", F.col("token").alias("key"))
+    return _cross_pairs(rare.join(members.withColumnRenamed("id", "m"), F.col("id") == F.col("m")).select("key", "id", "root"))
+
+
+def _centre_pairs(rows: DataFrame, salts: list[int]) -> DataFrame:
+    """Pairs (a, b) of members and their buckets' centres, one centre for each salt."""
+    least = [F.min(F.col("id").bitwiseXOR(F.lit(s))).bitwiseXOR(F.lit(s)).alias(f"c{j}") for j, s in enumerate(salts)]
+    centres = rows.groupBy(F.col("key").alias("at_key")).agg(*least)
+    pairs = rows.join(centres, F.col("key") == F.col("at_key")).select("id", F.explode(F.array_distinct(F.array(*[f"c{j}" for j in range(len(salts))]))).alias("c"))
+    return pairs.where(F.col("id") != F.col("c")).select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()

@@ -136,7 +136,7 @@ def lower_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 
 
 def sketch_documents(docs: DataFrame, sketches: int = SKETCHES, k: int = WORDS) -> DataFrame:
-    """doc_id, h1, h2 (128 bits of the whole text), keys (one per sketch)."""
+    """doc_id, h1, h2 (128 bits of the whole text), size (words), keys (one per sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -147,9 +147,9 @@ def sketch_documents(docs: DataFrame, sketches: int = SKETCHES, k: int = WORDS)
             whole = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t) for t in texts.to_pylist()), ">i8").astype(np.int64).reshape(-1, 2)
             flat = pa.array(keys.ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, sketches), pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole[:, 0]), pa.array(whole[:, 1]), lists], names=["doc_id", "h1", "h2", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole[:, 0]), pa.array(whole[:, 1]), pa.array(np.diff(offsets).astype(np.int32)), lists], names=["doc_id", "h1", "h2", "size", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, h1 long, h2 long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, h1 long, h2 long, size int, keys array<long>")
 
 
 def align_pairs(pairs: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -172,14 +172,29 @@ def align_pairs(pairs: DataFrame, docs: DataFrame, least: float = SIMILARITY) ->
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def word_tokens(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, token) of the words of the documents, the nth occurrence of a word being a token of its own."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id IS NOT NULL").join(ids, "id", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            codes, offsets, distinct = lower_words(text_array(batch.column(1)))
+            tokens = labelled_runs(hashes_of(distinct)[codes], offsets).view(np.int64)
+            owner = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(offsets))
+            for a in range(0, len(tokens), 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(owner[a : a + (1 << 18)], pa.int64()), pa.array(tokens[a : a + (1 << 18)])], names=["id", "token"])
+
+    return texts.mapInArrow(run, "id long, token long")
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, sketches: int = SKETCHES) -> DataFrame:
     """doc_id and class_id, the least doc_id of its class, for every row of docs."""
     spark = docs.sparkSession
     marked = write_out(sketch_documents(docs, sketches), "order-sketches")
     first = write_out(marked.groupBy("h1", "h2").agg(F.min("doc_id").alias("first")).where("first IS NOT NULL"), "distinct-texts")
     keyed = marked.join(first, (marked.h1 == first.h1) & (marked.h2 == first.h2) & (marked.doc_id == first["first"]), "left_semi")
-    members = keyed.where(F.element_at("keys", 1) != 0).select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
-    roots = linked_components(shared_buckets(members), lambda pairs: align_pairs(pairs, docs, least), "near")
+    members = keyed.where(F.element_at("keys", 1) != 0).select(F.col("doc_id").alias("id"), "size", F.explode("keys").alias("key"))
+    roots = linked_components(shared_buckets(members), lambda pairs: align_pairs(pairs, docs, least), lambda ids: word_tokens(ids, docs), "near", least)
     same = marked.select("doc_id", "h1", "h2").join(first.withColumnsRenamed({"h1": "g1", "h2": "g2"}), (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left").select("doc_id", "first")
     out = same.join(roots.withColumnRenamed("id", "known"), F.col("first") == F.col("known"), "left")
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "first")).alias("class_id"))

@@ -86,8 +86,8 @@ def window_minima(values: np.ndarray, window: int = WINDOW) -> np.ndarray:
 
 
 def parts_of(docs: DataFrame, min_words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, kind (0 paragraph, 1 run), first_word, n_words, id (hash of the words), keys (of paragraphs)."""
-    schema = "doc_id long, kind int, first_word int, n_words int, id long, keys array<long>"
+    """doc_id, kind (0 paragraph, 1 run), first_word, n_words, id (hash of the words), n_shingles (different ones) and keys of paragraphs."""
+    schema = "doc_id long, kind int, first_word int, n_words int, id long, n_shingles int, keys array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -108,18 +108,31 @@ def parts_of(docs: DataFrame, min_words: int, bands: int, rows: int) -> DataFram
             cut = np.concatenate([[0], np.cumsum(np.diff(offsets)[long])])
             keys = band_keys(values[keep], cut, bands, rows).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[text[long]], pa.int64()), pa.array(np.zeros(len(long), np.int32)), pa.array(first[long], pa.int32()), pa.array(n[long], pa.int32()), pa.array(hashes[long].view(np.int64)), lists], names=["doc_id", "kind", "first_word", "n_words", "id", "keys"])
+            different = distinct_of(values[keep], cut)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[text[long]], pa.int64()), pa.array(np.zeros(len(long), np.int32)), pa.array(first[long], pa.int32()), pa.array(n[long], pa.int32()), pa.array(hashes[long].view(np.int64)), pa.array(different, pa.int32()), lists], names=["doc_id", "kind", "first_word", "n_words", "id", "n_shingles", "keys"])
             found = [(t, window_minima(r), r) for t, (a, b) in enumerate(zip(at[of_text[:-1]], at[of_text[1:]], strict=True)) if len(r := run_hashes(words[a:b]))]
             if found:
                 who = np.repeat([t for t, _, _ in found], [len(p) for _, p, _ in found])
                 where = np.concatenate([p for _, p, _ in found])
                 what = np.concatenate([r[p] for _, p, r in found]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[who], pa.int64()), pa.array(np.ones(len(who), np.int32)), pa.array(where, pa.int32()), pa.array(np.full(len(who), RUN, np.int32)), pa.array(what), pa.nulls(len(who), pa.list_(pa.int64()))], names=["doc_id", "kind", "first_word", "n_words", "id", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[who], pa.int64()), pa.array(np.ones(len(who), np.int32)), pa.array(where, pa.int32()), pa.array(np.full(len(who), RUN, np.int32)), pa.array(what), pa.nulls(len(who), pa.int32()), pa.nulls(len(who), pa.list_(pa.int64()))], names=["doc_id", "kind", "first_word", "n_words", "id", "n_shingles", "keys"])
 
     rows_ = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows_.mapInArrow(run, schema)
 
 
+def distinct_of(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many different values each run has."""
+    run = np.repeat(np.arange(len(offsets) - 1, dtype=np.uint64), np.diff(offsets))
+    if not len(values):
+        return np.zeros(len(offsets) - 1, np.int64)
+    key = values ^ mix(run + np.uint64(1))
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    fresh = order[np.concatenate([[True], key[1:] != key[:-1]])]
+    return np.bincount(run[fresh].astype(np.int64), minlength=len(offsets) - 1)
+
+
 def run_hashes_by(words: np.ndarray, at: np.ndarray) -> np.ndarray:
     """One hash of all words of each line, in order."""
     place = np.arange(len(words)) - np.repeat(at[:-1], np.diff(at))
@@ -151,6 +164,20 @@ def similar_paragraphs(pairs: DataFrame, texts: DataFrame, least: float = SIMILA
     return rows.mapInArrow(run, "a long, b long")
 
 
+def shingle_tokens(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, token) of the five-word shingles of paragraphs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            codes, offsets, distinct = words_of(text_array(batch.column(1)))
+            values, cut = shingles(hashes_of(distinct)[codes], offsets)
+            owner = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(cut))
+            for a in range(0, len(values), 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(owner[a : a + (1 << 18)], pa.int64()), pa.array(values[a : a + (1 << 18)].view(np.int64))], names=["id", "token"])
+
+    return texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(run, "id long, token long")
+
+
 def paragraph_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """id and text (words, lower-cased, one space between) of the spans (id, at_doc, first_word, n_words)."""
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -176,17 +203,18 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, bands: int =
     """doc_id, first_word, n_words, class_doc_id, kept: passages whose class lies in more than one document, overlapping spans merged."""
     parts = write_out(parts_of(docs, min_words, bands, rows), "passages")
     paragraphs = parts.where("kind = 0")
-    members = paragraphs.select("id", F.explode("keys").alias("key"))
+    members = paragraphs.select("id", F.col("n_shingles").alias("size"), F.explode("keys").alias("key"))
     buckets = write_out(shared_buckets(members).distinct(), "passage-buckets")
     wanted = buckets.select(F.col("id").alias("wanted")).distinct()
     one = paragraphs.join(wanted, F.col("id") == F.col("wanted"), "left_semi").groupBy("id").agg(F.min("doc_id").alias("at_doc"), F.min_by("first_word", "doc_id").alias("first_word"), F.min("n_words").alias("n_words"))
     texts = write_out(paragraph_texts(docs, one).groupBy("id").agg(F.first("text").alias("text")), "passage-texts")
-    roots = linked_components(buckets, lambda pairs: similar_paragraphs(pairs, texts, least), "passages")
+    roots = linked_components(buckets, lambda pairs: similar_paragraphs(pairs, texts, least), lambda ids: shingle_tokens(ids, texts), "passages", least)
     spots = parts.select("kind", "doc_id", "first_word", "n_words", "id")
     named = spots.join(roots.withColumnRenamed("id", "known"), (F.col("id") == F.col("known")) & (F.col("kind") == 0), "left").select("kind", "doc_id", "first_word", "n_words", F.coalesce("root", "id").alias("class"))
-    each = named.groupBy("kind", "doc_id", "class").agg(F.min("first_word").alias("first_word"))
-    first = each.groupBy(F.col("kind").alias("k"), F.col("class").alias("c")).agg(F.min("doc_id").alias("class_doc_id"), F.max("doc_id").alias("last_doc"), F.min_by("first_word", "doc_id").alias("class_word")).where("class_doc_id < last_doc")
-    marked = named.join(first, (F.col("kind") == F.col("k")) & (F.col("class") == F.col("c"))).select("doc_id", "first_word", "n_words", "class_doc_id", ((F.col("doc_id") == F.col("class_doc_id")) & (F.col("first_word") == F.col("class_word"))).alias("kept"))
+    shared = named.groupBy(F.col("kind").alias("k"), F.col("class").alias("c")).agg(F.min("doc_id").alias("class_doc_id"), F.max("doc_id").alias("last_doc")).where("class_doc_id < last_doc").drop("last_doc")
+    some = write_out(named.join(shared, (F.col("kind") == F.col("k")) & (F.col("class") == F.col("c"))).select("kind", "class", "doc_id", "first_word", "n_words", "class_doc_id"), "shared-passages")
+    first = some.where("doc_id = class_doc_id").groupBy(F.col("kind").alias("k"), F.col("class").alias("c")).agg(F.min("first_word").alias("class_word"))
+    marked = some.join(first, (F.col("kind") == F.col("k")) & (F.col("class") == F.col("c"))).select("doc_id", "first_word", "n_words", "class_doc_id", ((F.col("doc_id") == F.col("class_doc_id")) & (F.col("first_word") == F.col("class_word"))).alias("kept"))
     order = Window.partitionBy("doc_id", "kept").orderBy("first_word", "n_words", "class_doc_id")
     reach = F.max(F.col("first_word") + F.col("n_words")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = marked.withColumn("reach", reach).withColumn("island", F.sum(F.when(F.col("reach") >= F.col("first_word"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
