@@ -198,13 +198,18 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(unpack(blob, np.uint64), dtype=np.uint64)
 
 
+def lower_ascii(texts: pa.Array) -> pa.Array:
+    """A-Z lower-cased. The texts are copied first: ascii_lower misreads arrays that start inside a larger buffer."""
+    return pc.ascii_lower(texts.take(pa.array(np.arange(len(texts)))))
+
+
 def chunks_of(docs: DataFrame, train: str = "train") -> DataFrame:
     """chunk, doc_ids, train flags, token ends, tokens (numbers of the chunk's words), words (sorted hashes), n_keys."""
     schema = "chunk string, doc_ids array<string>, train array<boolean>, held array<boolean>, ends binary, tokens binary, words binary, n_keys long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=CHUNK_BYTES):
-            codes, offsets, distinct = words_of(pc.ascii_lower(text_array(batch.column(3))))
+            codes, offsets, distinct = words_of(lower_ascii(text_array(batch.column(3))))
             hashes = hashes_of(distinct)
             ends = offsets[1:] + np.arange(1, len(offsets))
             vocabulary, number = np.unique(np.append(hashes, END), return_inverse=True)

@@ -5,8 +5,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from siftline.llm import ngram_scoring as m
+from siftline.llm._common import text_array
 
 
 def test_elias_fano_and_trie(tmp_path):
@@ -48,7 +50,15 @@ def brute(rows):
     return sorted(out)
 
 
-def test_against_brute_force(spark, tmp_path):
+def test_lower_case_of_slices():
+    texts = pa.array(["Éa B", "xÀ", "CÉ d", "ÀÀ Q"] * 50, pa.large_string())
+    want = [re.sub("[A-Z]", lambda c: c[0].lower(), t) for t in texts.to_pylist()]
+    for start in (0, 1, 3, 50):
+        assert m.lower_ascii(text_array(texts.slice(start, 60))).to_pylist() == want[start : start + 60]
+
+
+def test_against_brute_force(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(m, "SHARD_KEYS", 60)
     rng = random.Random(2)
     vocabulary = ["".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 4))) for _ in range(80)]
     rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(60)))) for i in range(200)]
