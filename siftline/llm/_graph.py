@@ -65,7 +65,7 @@ def by_size(buckets: DataFrame, ratio: float, small: int = SMALL) -> DataFrame:
     return rows.select(F.explode(key).alias("key"), "id").distinct()
 
 
-def linked_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], tokens: Callable[[DataFrame], DataFrame], name: str, least: float) -> DataFrame:
+def linked_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], tokens: Callable[[DataFrame], DataFrame], name: str, least: float, jaccard: bool = True) -> DataFrame:
     """Components (id, root) of all verified links between ids that share a bucket, without all pairs of a bucket.
 
     Similar ids must not differ in size by more than 1 / least: wide buckets are split by size class. Each
@@ -73,10 +73,12 @@ def linked_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFram
     the bucket: the least id, then the least ids under `CENTRES` further salts. Buckets inside one
     component need no more. Small buckets that still span several are compared pair by pair, members of
     wide ones by prefix filter: similar ids share `least` of their tokens, so they share one of the rarest
-    1 - least of them. So no candidate link is left out, and no pair is compared twice.
+    1 - least of them, with enough tokens behind it on both sides. So no candidate link is left out, and
+    no pair is compared twice.
 
     tokens: for a table of ids, (id, token) of the texts' elements, at least `least` of which two similar
-    texts have in common (different elements of one text have different tokens).
+    texts have in common (different elements of one text have different tokens). jaccard: similar means a
+    Jaccard similarity of `least`, else that `least` of the larger text's tokens are common.
     """
     buckets = write_out(by_size(buckets, 1 / least), f"{name}-buckets")
     tried = write_out(_centre_pairs(buckets, [0]), f"{name}-pairs")
@@ -89,7 +91,7 @@ def linked_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFram
         if salts is None:
             small = rows.where(F.col("n") <= SMALL).select("key", "id", "root")
             wide = rows.where(F.col("n") > SMALL).select("id", "root").distinct()
-            pairs = _cross_pairs(small).union(_prefix_pairs(wide, tokens, name, least)).distinct()
+            pairs = _cross_pairs(small).union(_prefix_pairs(wide, tokens, name, least, jaccard)).distinct()
         else:
             pairs = _centre_pairs(rows, [((s * 0x9E3779B97F4A7C15) & 0x7FFFFFFFFFFFFFFF) for s in salts])
         pairs = write_out(pairs.join(tried, ["a", "b"], "left_anti"), f"{name}-pairs")
@@ -107,15 +109,20 @@ def _cross_pairs(rows: DataFrame) -> DataFrame:
     return rows.join(other, (F.col("key") == F.col("k2")) & (F.col("root") < F.col("root2"))).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
 
 
-def _prefix_pairs(members: DataFrame, tokens: Callable[[DataFrame], DataFrame], name: str, least: float) -> DataFrame:
-    """Pairs of members (id, root) of two components that share one of their rarest tokens."""
+def _prefix_pairs(members: DataFrame, tokens: Callable[[DataFrame], DataFrame], name: str, least: float, jaccard: bool) -> DataFrame:
+    """Pairs of members (id, root) of two components that share one of their rarest tokens and can still have enough in common behind it."""
     found = write_out(tokens(members.select("id")).distinct(), f"{name}-tokens")
     often = found.groupBy(F.col("token").alias("t")).agg(F.count("*").alias("often"))
     ranked = found.join(often, F.col("token") == F.col("t")).select("id", "token", "often")
     own = Window.partitionBy("id")
     ranked = ranked.withColumn("place", F.row_number().over(own.orderBy("often", "token"))).withColumn("all", F.count("*").over(own))
-    rare = ranked.where((F.col("place") <= F.floor((1 - least) * F.col("all") + 1e-9) + 1) & (F.col("often") > 1)).select("id", F.col("token").alias("key"))
-    return _cross_pairs(rare.join(members.withColumnRenamed("id", "m"), F.col("id") == F.col("m")).select("key", "id", "root"))
+    rare = ranked.where((F.col("place") <= F.floor((1 - least) * F.col("all") + 1e-9) + 1) & (F.col("often") > 1)).select("id", "token", "place", "all")
+    rare = rare.join(members.withColumnRenamed("id", "m"), F.col("id") == F.col("m")).drop("m")
+    other = rare.select(*[F.col(c).alias(f"{c}2") for c in rare.columns])
+    need = least / (1 + least) * (F.col("all") + F.col("all2")) if jaccard else least * F.greatest("all", "all2")
+    behind = 1 + F.least(F.col("all") - F.col("place"), F.col("all2") - F.col("place2"))
+    near = rare.join(other, (F.col("token") == F.col("token2")) & (F.col("root") < F.col("root2")) & (behind >= need - 1e-6))
+    return near.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
 
 
 def _centre_pairs(rows: DataFrame, salts: list[int]) -> DataFrame:

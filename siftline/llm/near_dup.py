@@ -194,7 +194,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, sketches: int =
     first = write_out(marked.groupBy("h1", "h2").agg(F.min("doc_id").alias("first")).where("first IS NOT NULL"), "distinct-texts")
     keyed = marked.join(first, (marked.h1 == first.h1) & (marked.h2 == first.h2) & (marked.doc_id == first["first"]), "left_semi")
     members = keyed.where(F.element_at("keys", 1) != 0).select(F.col("doc_id").alias("id"), "size", F.explode("keys").alias("key"))
-    roots = linked_components(shared_buckets(members), lambda pairs: align_pairs(pairs, docs, least), lambda ids: word_tokens(ids, docs), "near", least)
+    roots = linked_components(shared_buckets(members), lambda pairs: align_pairs(pairs, docs, least), lambda ids: word_tokens(ids, docs), "near", least, jaccard=False)
     same = marked.select("doc_id", "h1", "h2").join(first.withColumnsRenamed({"h1": "g1", "h2": "g2"}), (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left").select("doc_id", "first")
     out = same.join(roots.withColumnRenamed("id", "known"), F.col("first") == F.col("known"), "left")
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "first")).alias("class_id"))

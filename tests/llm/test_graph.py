@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from siftline.llm import _graph as m
@@ -28,7 +29,8 @@ def test_components_against_union_find(spark):
     assert m.components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
-def test_wide_buckets_lose_no_link(spark):
+@pytest.mark.parametrize("jaccard", [False, True])
+def test_wide_buckets_lose_no_link(spark, jaccard):
     """One bucket of dissimilar sets that share a passage, with similar sets hidden in it."""
     rng = random.Random(2)
     sets = {}
@@ -38,7 +40,8 @@ def test_wide_buckets_lose_no_link(spark):
     for i in range(120, 150):
         base = rng.randrange(120)
         sets[i] = frozenset(list(sets[base])[:-3]) | {10**6 * (i + 1) + j for j in range(3)}
-    overlap = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * max(len(sets[a]), len(sets[b]))
+    largest = lambda a, b: len(sets[a] | sets[b]) if jaccard else max(len(sets[a]), len(sets[b]))
+    overlap = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * largest(a, b)
     truth = [(a, b) for a in sets for b in sets if a < b and overlap(a, b)]
     buckets = spark.createDataFrame([(7, i, len(s)) for i, s in sets.items()], "key long, id long, size int")
     all_tokens = spark.createDataFrame([(i, t) for i, s in sets.items() for t in s], "id long, token long")
@@ -49,7 +52,7 @@ def test_wide_buckets_lose_no_link(spark):
         compared.append(pairs.count())
         return pairs.where(ok("a", "b"))
 
-    got = {r.id: r.root for r in m.linked_components(buckets, verify, lambda ids: all_tokens.join(ids, "id", "left_semi"), "test", 0.8).collect()}
+    got = {r.id: r.root for r in m.linked_components(buckets, verify, lambda ids: all_tokens.join(ids, "id", "left_semi"), "test", 0.8, jaccard).collect()}
     want = {i: r for i, r in roots_of(sets, truth).items() if any(i in p for p in truth)}
     assert got == want and len(truth) >= 30
     assert sum(compared) < 150 * 149 / 2 / 3
