@@ -9,7 +9,9 @@ more), and the components of those links are classes.
 A passage may repeat inside paragraphs that differ otherwise. Each window of `WINDOW` consecutive
 `RUN`-word runs of a text, across lines, is a paragraph of its own with a one-row signature: its minimum
 run hash. Two texts that share RUN + WINDOW - 1 (50) words in a row share a window and so its minimum;
-equal minima are equal runs, and runs found in more than one document are classes.
+equal minima are equal runs. A stretch that documents share begins and ends less than a window from a
+minimum in it, so around minima found in more than one document every run is looked up: those found in
+more than one document are classes, and together they cover such a stretch to its last word.
 
 Of each class the occurrence with the least (doc_id, first_word) stays. Results are spans of words.
 
@@ -199,6 +201,50 @@ def paragraph_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "id long, text string")
 
 
+def runs_around(docs: DataFrame, hits: DataFrame, reach: int = WINDOW - 1) -> DataFrame:
+    """doc_id, first_word, id (hash of the words), fresh (first of its kind in the text) of all runs that start at most `reach` words from a hit (at_doc, first_word)."""
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    asked = hits.groupBy("at_doc").agg(F.collect_set("first_word").alias("starts"))
+    rows = texts.join(asked, F.col("doc_id") == F.col("at_doc")).select("doc_id", "starts", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            codes, at, distinct = words_of(pc.utf8_lower(text_array(batch.column(2))))
+            words = hashes_of(distinct)[codes]
+            starts = batch.column(1)
+            for i, doc in enumerate(batch.column(0).to_pylist()):
+                hashes = run_hashes(words[at[i] : at[i + 1]])
+                hit = starts[i].values.to_numpy(zero_copy_only=False).astype(np.int64)
+                edges = np.zeros(len(hashes) + 1, np.int64)
+                np.add.at(edges, np.clip(hit - reach, 0, len(hashes)), 1)
+                np.add.at(edges, np.clip(hit + reach + 1, 0, len(hashes)), -1)
+                near = np.flatnonzero(np.cumsum(edges[:-1]))
+                fresh = np.zeros(len(near), bool)
+                fresh[np.unique(hashes[near], return_index=True)[1]] = True
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), doc, np.int64)), pa.array(near, pa.int32()), pa.array(hashes[near].view(np.int64)), pa.array(fresh)], names=["doc_id", "first_word", "id", "fresh"])
+
+    return rows.mapInArrow(run, "doc_id long, first_word int, id long, fresh boolean")
+
+
+def repeated_runs(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """doc_id, first_word, n_words, class_doc_id, kept of the runs around hits that lie in more than one document, those of one class_doc_id merged."""
+    runs = write_out(runs_around(docs, hits), "runs")
+    shared = runs.groupBy(F.col("id").alias("c")).agg(F.min("doc_id").alias("class_doc_id"), F.max("doc_id").alias("last_doc")).where("class_doc_id < last_doc").drop("last_doc")
+    marked = runs.join(shared, F.col("id") == F.col("c")).select("doc_id", "first_word", F.lit(RUN).alias("n_words"), "class_doc_id", (F.col("fresh") & (F.col("doc_id") == F.col("class_doc_id"))).alias("kept"))
+    return merged(marked, ["doc_id", "kept", "class_doc_id"]).select(*marked.columns)
+
+
+def merged(spans: DataFrame, by: list[str]) -> DataFrame:
+    """Overlapping or touching spans of equal `by` as one, with the class_doc_id of the longest of them (the least among equals)."""
+    order = Window.partitionBy(*by).orderBy("first_word", "n_words", "class_doc_id")
+    reach = F.max(F.col("first_word") + F.col("n_words")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    islands = spans.withColumn("reach", reach).withColumn("island", F.sum(F.when(F.col("reach") >= F.col("first_word"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = [F.min("first_word").alias("first_word"), F.max(F.col("first_word") + F.col("n_words")).alias("end")]
+    if "class_doc_id" not in by:
+        whole.append(F.min_by("class_doc_id", F.struct(-F.col("n_words"), "class_doc_id")).alias("class_doc_id"))
+    return islands.groupBy(*by, "island").agg(*whole).withColumn("n_words", F.col("end") - F.col("first_word"))
+
+
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, bands: int = BANDS, rows: int = ROWS, least: float = SIMILARITY) -> DataFrame:
     """doc_id, first_word, n_words, class_doc_id, kept: passages whose class lies in more than one document, overlapping spans merged."""
     parts = write_out(parts_of(docs, min_words, bands, rows), "passages")
@@ -213,12 +259,11 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, bands: int =
     named = spots.join(roots.withColumnRenamed("id", "known"), (F.col("id") == F.col("known")) & (F.col("kind") == 0), "left").select("kind", "doc_id", "first_word", "n_words", F.coalesce("root", "id").alias("class"))
     shared = named.groupBy(F.col("kind").alias("k"), F.col("class").alias("c")).agg(F.min("doc_id").alias("class_doc_id"), F.max("doc_id").alias("last_doc")).where("class_doc_id < last_doc").drop("last_doc")
     some = write_out(named.join(shared, (F.col("kind") == F.col("k")) & (F.col("class") == F.col("c"))).select("kind", "class", "doc_id", "first_word", "n_words", "class_doc_id"), "shared-passages")
-    first = some.where("doc_id = class_doc_id").groupBy(F.col("kind").alias("k"), F.col("class").alias("c")).agg(F.min("first_word").alias("class_word"))
-    marked = some.join(first, (F.col("kind") == F.col("k")) & (F.col("class") == F.col("c"))).select("doc_id", "first_word", "n_words", "class_doc_id", ((F.col("doc_id") == F.col("class_doc_id")) & (F.col("first_word") == F.col("class_word"))).alias("kept"))
-    order = Window.partitionBy("doc_id", "kept").orderBy("first_word", "n_words", "class_doc_id")
-    reach = F.max(F.col("first_word") + F.col("n_words")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    islands = marked.withColumn("reach", reach).withColumn("island", F.sum(F.when(F.col("reach") >= F.col("first_word"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy("doc_id", "kept", "island").agg(F.min("first_word").alias("first_word"), F.max(F.col("first_word") + F.col("n_words")).alias("end"), F.min("class_doc_id").alias("class_doc_id")).select("doc_id", "first_word", (F.col("end") - F.col("first_word")).alias("n_words"), "class_doc_id", "kept")
+    lines = some.where("kind = 0")
+    first = lines.where("doc_id = class_doc_id").groupBy(F.col("class").alias("c")).agg(F.min("first_word").alias("class_word"))
+    marked = lines.join(first, F.col("class") == F.col("c")).select("doc_id", "first_word", "n_words", "class_doc_id", ((F.col("doc_id") == F.col("class_doc_id")) & (F.col("first_word") == F.col("class_word"))).alias("kept"))
+    marked = marked.union(repeated_runs(docs, some.where("kind = 1").select(F.col("doc_id").alias("at_doc"), "first_word")))
+    return merged(marked, ["doc_id", "kept"]).select("doc_id", "first_word", "n_words", "class_doc_id", "kept")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

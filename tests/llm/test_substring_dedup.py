@@ -89,5 +89,27 @@ def test_paragraph_links_against_brute_force(spark):
     assert len(want - got) <= 0.02 * len(want) + 1 and len(want) > 20
 
 
+def test_whole_passages_are_covered(spark):
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("aeioubcdrstlmn") for _ in range(rng.randrange(3, 9)))
+    text = lambda n: [word() for _ in range(n)]
+    rows, planted = [], []
+    for n in (50, 51, 60, 100, 200) * 6:
+        passage = text(n)
+        # a third document, the least, holds only words from the middle
+        part = passage[n // 3 : n // 3 + 22]
+        for words in (part, passage, passage):
+            before = text(150)
+            planted.append((len(rows), len(before), len(words), words is passage and len(rows) % 3 == 2))
+            rows.append((len(rows), " ".join(before + words + text(150))))
+    gone = {}
+    for r in m.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        if not r.kept:
+            gone.setdefault(r.doc_id, set()).update(range(r.first_word, r.first_word + r.n_words))
+    for i, at, n, copy in planted:
+        assert gone.get(i, set()) <= set(range(at, at + n))
+        assert not copy or gone[i] == set(range(at, at + n))
+
+
 def test_empty(spark):
     assert m.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).collect() == []
