@@ -1,9 +1,12 @@
 """Near-duplicate documents by order MinHash, verified by banded alignment.
 
-Words are lower-cased runs without ASCII white space. Each of a text's k-word runs (k = 5; a shorter text
+Words are lower-cased runs without ASCII white space. Each of a text's k-word runs (k = 3; a shorter text
 is one run) is labelled with how often it occurred before, so repeats count. For each of `SKETCHES`
 permutations the `2` least labelled runs are taken and kept in text order: two texts share a sketch more
-likely the smaller their edit distance, order of passages included. Texts that share a sketch are
+likely the smaller their edit distance, order of passages included. Texts of up to `SHORT` words have too
+few runs for that and are found exactly: of the longer of two similar texts, cut into one piece more than
+the edits it may have, some piece is whole in the other, so each text has all its runs of the lengths of
+such pieces as keys; texts a little longer have both. Texts that share a key are
 compared by alignment of their words within a band that holds every alignment of similarity 0.8
 (1 - edits / words of the longer text). Classes are the components of the links that pass; equal texts
 are one text from the start, so groups of copies cost one row each.
@@ -27,8 +30,9 @@ from pyspark.sql import functions as F
 from siftline.llm._common import drop_out, hashes_of, mix, shingles, slices, text_array, words_of, write_out
 from siftline.llm._graph import linked_components, shared_buckets
 
-WORDS = 5
+WORDS = 3
 SKETCHES = 48
+SHORT = 64
 SIMILARITY = 0.8
 PLACE = np.uint64((1 << 24) - 1)
 
@@ -73,6 +77,32 @@ def order_sketches(values: np.ndarray, offsets: np.ndarray, sketches: int = SKET
     return out
 
 
+def piece_lengths(n: int, least: float, most: int) -> set[int]:
+    """Lengths of the pieces of texts of n to `most` words that can be similar to a text of n words."""
+    edits = {m: int((1 - least) * m + 1e-9) for m in range(n, most + 1)}
+    return {m // (e + 1) for m, e in edits.items() if m - n <= e}
+
+
+def candidate_keys(words: np.ndarray, offsets: np.ndarray, sketches: int = SKETCHES, k: int = WORDS, least: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of each text as (keys, offsets): sketches of texts of more than SHORT words, runs of the lengths of pieces of those that can be similar to a short one."""
+    n = np.diff(offsets)
+    most = int(SHORT / least + 1e-9)
+    values, at = shingles(words, offsets, k)
+    long = np.flatnonzero(n > SHORT)
+    owners, keys = [np.repeat(long, sketches)], [order_sketches(labelled_runs(values, at), at, sketches)[long].ravel()]
+    brief = np.flatnonzero((n > 0) & (n <= most))
+    few, cut = words[np.repeat((n > 0) & (n <= most), n)], np.concatenate([[0], np.cumsum(n[brief])])
+    lengths = {int(x): piece_lengths(int(x), least, most) for x in np.unique(n[brief])}
+    for length in sorted(set().union(*lengths.values())):
+        has = np.isin(n[brief], [x for x, found in lengths.items() if length in found])
+        values, at = shingles(few, cut, length)
+        owners.append(np.repeat(brief[has], np.diff(at)[has]))
+        keys.append(mix(values[np.repeat(has, np.diff(at))] + np.uint64(length)))
+    owner, key = np.concatenate(owners), np.concatenate(keys)
+    order = np.argsort(owner, kind="stable")
+    return key[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(n)))])
+
+
 def edit_distance(a: list, b: list, most: int) -> int:
     """Edits between two word lists, or most + 1 if there are more: bit-parallel columns, given up once no path inside the band of +-most is left."""
     if len(a) > len(b):
@@ -135,18 +165,16 @@ def lower_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return words_of(pc.utf8_lower(texts))
 
 
-def sketch_documents(docs: DataFrame, sketches: int = SKETCHES, k: int = WORDS) -> DataFrame:
-    """doc_id, h1, h2 (128 bits of the whole text), size (words), keys (one per sketch)."""
+def sketch_documents(docs: DataFrame, sketches: int = SKETCHES, k: int = WORDS, least: float = SIMILARITY) -> DataFrame:
+    """doc_id, h1, h2 (128 bits of the whole text), size (words), keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = text_array(batch.column(1))
             codes, offsets, distinct = lower_words(texts)
-            values, at = shingles(hashes_of(distinct)[codes], offsets, k)
-            keys = order_sketches(labelled_runs(values, at), at, sketches).view(np.int64)
+            keys, at = candidate_keys(hashes_of(distinct)[codes], offsets, sketches, k, least)
             whole = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t) for t in texts.to_pylist()), ">i8").astype(np.int64).reshape(-1, 2)
-            flat = pa.array(keys.ravel())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, sketches), pa.int32()), flat)
+            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole[:, 0]), pa.array(whole[:, 1]), pa.array(np.diff(offsets).astype(np.int32)), lists], names=["doc_id", "h1", "h2", "size", "keys"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, h1 long, h2 long, size int, keys array<long>")
@@ -190,10 +218,10 @@ def word_tokens(ids: DataFrame, docs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, sketches: int = SKETCHES) -> DataFrame:
     """doc_id and class_id, the least doc_id of its class, for every row of docs."""
     spark = docs.sparkSession
-    marked = write_out(sketch_documents(docs, sketches), "order-sketches")
+    marked = write_out(sketch_documents(docs, sketches, least=least), "order-sketches")
     first = write_out(marked.groupBy("h1", "h2").agg(F.min("doc_id").alias("first")).where("first IS NOT NULL"), "distinct-texts")
     keyed = marked.join(first, (marked.h1 == first.h1) & (marked.h2 == first.h2) & (marked.doc_id == first["first"]), "left_semi")
-    members = keyed.where(F.element_at("keys", 1) != 0).select(F.col("doc_id").alias("id"), "size", F.explode("keys").alias("key"))
+    members = keyed.where("size > 0").select(F.col("doc_id").alias("id"), "size", F.explode("keys").alias("key"))
     roots = linked_components(shared_buckets(members), lambda pairs: align_pairs(pairs, docs, least), lambda ids: word_tokens(ids, docs), "near", least, jaccard=False)
     same = marked.select("doc_id", "h1", "h2").join(first.withColumnsRenamed({"h1": "g1", "h2": "g2"}), (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left").select("doc_id", "first")
     out = same.join(roots.withColumnRenamed("id", "known"), F.col("first") == F.col("known"), "left")

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from siftline.llm import near_dup as m
 
 
@@ -67,5 +69,30 @@ def test_classes_against_brute_force(spark):
     assert sorted((str(r[0]), r[1]) for r in m.near_duplicates(docs).collect()) == brute(rows)
 
 
+def test_candidates_at_the_threshold():
+    rng = np.random.default_rng(7)
+    pairs = 300
+    for n in (5, 8, 10, 12, 20, 30, 50, 64, 65, 80, 100, 250):
+        for least in (0.8, 0.85):
+            edits = int((1 - least) * n + 1e-9)
+            sides = [[], []]
+            for _ in range(pairs):
+                a = rng.integers(0, 2**63, n).tolist()
+                b = list(a)
+                for at in rng.choice(n, edits, replace=False):
+                    b[at] = int(rng.integers(0, 2**63))
+                if edits and rng.random() < 0.3:  # a word less instead of one substitution
+                    del b[max(i for i in range(n) if a[i] != b[i])]
+                assert m.similar(a, b, 0.8)
+                sides[0].append(a)
+                sides[1].append(b)
+            found = []
+            for texts in sides:
+                keys, at = m.candidate_keys(np.array(sum(texts, []), np.uint64), np.cumsum([0] + [len(t) for t in texts]))
+                found.append([set(keys[x:y].tolist()) for x, y in zip(at, at[1:], strict=False)])
+            share = sum(bool(x & y) for x, y in zip(*found, strict=True)) / pairs
+            assert share == 1 if n <= 64 else share >= 0.98, (n, least, share)
+
+
 def test_empty(spark):
     assert m.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
