@@ -231,22 +231,21 @@ def repeated_runs(docs: DataFrame, hits: DataFrame) -> DataFrame:
     runs = write_out(runs_around(docs, hits), "runs")
     shared = runs.groupBy(F.col("id").alias("c")).agg(F.min("doc_id").alias("class_doc_id"), F.max("doc_id").alias("last_doc")).where("class_doc_id < last_doc").drop("last_doc")
     marked = runs.join(shared, F.col("id") == F.col("c")).select("doc_id", "first_word", F.lit(RUN).alias("n_words"), "class_doc_id", (F.col("fresh") & (F.col("doc_id") == F.col("class_doc_id"))).alias("kept"))
-    return merged(marked, ["doc_id", "kept", "class_doc_id"]).select(*marked.columns)
+    return merged(marked).select(*marked.columns)
 
 
-def merged(spans: DataFrame, by: list[str]) -> DataFrame:
-    """Overlapping or touching spans of equal `by` as one, with the class_doc_id of the longest of them (the least among equals)."""
-    order = Window.partitionBy(*by).orderBy("first_word", "n_words", "class_doc_id")
+def merged(spans: DataFrame) -> DataFrame:
+    """Overlapping or touching spans of one document, kept and class_doc_id as one."""
+    by = ["doc_id", "kept", "class_doc_id"]
+    order = Window.partitionBy(*by).orderBy("first_word", "n_words")
     reach = F.max(F.col("first_word") + F.col("n_words")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = spans.withColumn("reach", reach).withColumn("island", F.sum(F.when(F.col("reach") >= F.col("first_word"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = [F.min("first_word").alias("first_word"), F.max(F.col("first_word") + F.col("n_words")).alias("end")]
-    if "class_doc_id" not in by:
-        whole.append(F.min_by("class_doc_id", F.struct(-F.col("n_words"), "class_doc_id")).alias("class_doc_id"))
-    return islands.groupBy(*by, "island").agg(*whole).withColumn("n_words", F.col("end") - F.col("first_word"))
+    whole = islands.groupBy(*by, "island").agg(F.min("first_word").alias("first_word"), F.max(F.col("first_word") + F.col("n_words")).alias("end"))
+    return whole.withColumn("n_words", F.col("end") - F.col("first_word"))
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, bands: int = BANDS, rows: int = ROWS, least: float = SIMILARITY) -> DataFrame:
-    """doc_id, first_word, n_words, class_doc_id, kept: passages whose class lies in more than one document, overlapping spans merged."""
+    """doc_id, first_word, n_words, class_doc_id, kept: passages whose class lies in more than one document, overlapping spans of one class_doc_id merged."""
     parts = write_out(parts_of(docs, min_words, bands, rows), "passages")
     paragraphs = parts.where("kind = 0")
     members = paragraphs.select("id", F.col("n_shingles").alias("size"), F.explode("keys").alias("key"))
@@ -263,7 +262,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, bands: int =
     first = lines.where("doc_id = class_doc_id").groupBy(F.col("class").alias("c")).agg(F.min("first_word").alias("class_word"))
     marked = lines.join(first, F.col("class") == F.col("c")).select("doc_id", "first_word", "n_words", "class_doc_id", ((F.col("doc_id") == F.col("class_doc_id")) & (F.col("first_word") == F.col("class_word"))).alias("kept"))
     marked = marked.union(repeated_runs(docs, some.where("kind = 1").select(F.col("doc_id").alias("at_doc"), "first_word")))
-    return merged(marked, ["doc_id", "kept"]).select("doc_id", "first_word", "n_words", "class_doc_id", "kept")
+    return merged(marked).select("doc_id", "first_word", "n_words", "class_doc_id", "kept")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
