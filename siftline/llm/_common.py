@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text worked on at once in a Python worker.
 SLICE_BYTES = 8 << 20
@@ -39,6 +40,16 @@ def drop_out(spark: SparkSession, *frames: DataFrame) -> None:
             jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+#: Rows of keys, 8 to 16 bytes each, that may be broadcast: at most 32 MB. More are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
+
+
+def among(df: DataFrame, column: str, keys: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """The rows of df whose column is a key of the written table keys; the keys travel to the rows if they are counted to be few, else both are shuffled."""
+    few = keys.count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(keys) if few else keys, F.col(column) == F.col(key), how)
+
+
 def text_array(column: pa.Array) -> pa.Array:
     """The texts as large strings, nulls as empty texts."""
     if isinstance(column, pa.ChunkedArray):

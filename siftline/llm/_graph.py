@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm._common import drop_out, write_out
+from siftline.llm._common import among, drop_out, mix, slices, text_array, write_out
 
 #: Edges that a task of a star step takes.
 EDGES_PER_TASK = 200_000
@@ -15,6 +17,9 @@ EDGES_PER_TASK = 200_000
 CENTRES = 4
 #: Rows of a bucket from which on it is split by size.
 SMALL = 16
+#: Frequent tokens that come last in the order of a prefix filter, and how many of a slice of texts are looked at for them.
+COMMON = 16_384
+COMMON_OF_SLICE = 1_024
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -44,13 +49,21 @@ def components(edges: DataFrame) -> DataFrame:
             break
         state = (seen["n"], seen["x"])
     roots = now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("id"), "root")
-    return write_out(roots.union(now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct()).coalesce(2 * tasks), "components")
+    out = write_out(roots.union(now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct()).coalesce(2 * tasks), "components")
+    drop_out(spark, now)
+    return out
 
 
-def shared_buckets(members: DataFrame) -> DataFrame:
-    """Rows (key, id, size) of keys that at least two different ids have."""
-    shared = members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select(F.col("key").alias("shared_key"))
-    return members.join(shared, F.col("key") == F.col("shared_key")).select("key", "id", "size")
+def shared_buckets(members: DataFrame, name: str) -> DataFrame:
+    """Written rows (key, id, size, n) of keys that at least two different ids have, n being the bucket's rows; members (key, id, size) is a written table.
+
+    One aggregate finds the keys; the members are then filtered by them (see `among`), so they are dealt by key once.
+    """
+    shared = members.groupBy(F.col("key").alias("shared_key")).agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("shared_key", "n")
+    shared = write_out(shared, f"{name}-keys")
+    out = write_out(among(members, "key", shared, "shared_key", "inner").select("key", "id", "size", "n"), f"{name}-shared")
+    drop_out(members.sparkSession, shared)
+    return out
 
 
 def by_size(buckets: DataFrame, ratio: float, small: int = SMALL) -> DataFrame:
@@ -58,32 +71,34 @@ def by_size(buckets: DataFrame, ratio: float, small: int = SMALL) -> DataFrame:
 
     Ids whose sizes differ by no more than the ratio stay together in some class, so no link is lost.
     """
-    wide = buckets.groupBy(F.col("key").alias("wide_key")).agg(F.count("*").alias("n")).where(F.col("n") > small).select("wide_key")
-    rows = buckets.join(wide, F.col("key") == F.col("wide_key"), "left")
     rank = F.floor(F.log(F.greatest(F.col("size"), F.lit(1)).cast("double")) / F.log(F.lit(ratio * 1.01)))
-    key = F.when(F.col("wide_key").isNull(), F.array("key")).otherwise(F.array(F.xxhash64("key", rank), F.xxhash64("key", rank + 1)))
-    return rows.select(F.explode(key).alias("key"), "id").distinct()
+    key = F.when(F.col("n") <= small, F.array("key")).otherwise(F.array(F.xxhash64("key", rank), F.xxhash64("key", rank + 1)))
+    return buckets.select(F.explode(key).alias("key"), "id").distinct()
 
 
-def linked_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], tokens: Callable[[DataFrame], DataFrame], name: str, least: float, jaccard: bool = True) -> DataFrame:
-    """Components (id, root) of all verified links between ids that share a bucket, without all pairs of a bucket.
+def linked_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], prefix: Callable[[DataFrame], DataFrame], name: str, least: float, jaccard: bool = True) -> DataFrame:
+    """Components (id, root) of all verified links between ids that share a bucket (key, id, size, n), without all pairs of a bucket.
 
     Similar ids must not differ in size by more than 1 / least: wide buckets are split by size class. Each
     round compares the members of every bucket that still spans several components with a few centres of
     the bucket: the least id, then the least ids under `CENTRES` further salts. Buckets inside one
     component need no more. Small buckets that still span several are compared pair by pair, members of
-    wide ones by prefix filter: similar ids share `least` of their tokens, so they share one of the rarest
-    1 - least of them, with enough tokens behind it on both sides. So no candidate link is left out, and
-    no pair is compared twice.
-
-    tokens: for a table of ids, (id, token) of the texts' elements, at least `least` of which two similar
-    texts have in common (different elements of one text have different tokens). jaccard: similar means a
-    Jaccard similarity of `least`, else that `least` of the larger text's tokens are common.
+    wide ones by prefix filter: similar ids share `least` of their tokens, so in any one order of all tokens
+    they share one of their first 1 - least, with enough tokens behind it on both sides. So no candidate link
+    is left out, and no pair is compared twice.
+
+    prefix: for a table of ids, (id, token, place, all) of the first tokens of each text, in an order that is
+    the same for all texts and has frequent tokens last; place counts from 1, all is the number of the text's
+    tokens, and places go to floor((1 - least) * all) + 1. Different elements of one text are different
+    tokens. jaccard: similar means a Jaccard similarity of `least`, else that `least` of the larger text's
+    tokens are common.
     """
+    spark = buckets.sparkSession
     buckets = write_out(by_size(buckets, 1 / least), f"{name}-buckets")
     tried = write_out(_centre_pairs(buckets, [0]), f"{name}-pairs")
     links = write_out(verify(tried), f"{name}-links")
     roots = components(links)
+    used = [buckets, tried, links]
     for salts in (range(1, 1 + CENTRES), None):
         rows = buckets.join(roots.withColumnRenamed("id", "known"), F.col("id") == F.col("known"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
         spans = rows.groupBy(F.col("key").alias("open")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("open", "n")
@@ -91,15 +106,22 @@ def linked_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFram
         if salts is None:
             small = rows.where(F.col("n") <= SMALL).select("key", "id", "root")
             wide = rows.where(F.col("n") > SMALL).select("id", "root").distinct()
-            pairs = _cross_pairs(small).union(_prefix_pairs(wide, tokens, name, least, jaccard)).distinct()
+            pairs = _cross_pairs(small).union(_prefix_pairs(wide, prefix, name, least, jaccard)).distinct()
         else:
             pairs = _centre_pairs(rows, [((s * 0x9E3779B97F4A7C15) & 0x7FFFFFFFFFFFFFFF) for s in salts])
         pairs = write_out(pairs.join(tried, ["a", "b"], "left_anti"), f"{name}-pairs")
+        drop_out(spark, rows)
+        if pairs.isEmpty():
+            drop_out(spark, pairs)
+            continue
         found = write_out(verify(pairs), f"{name}-links")
         tried = tried.union(pairs)
+        used += [pairs, found]
         if not found.isEmpty():
             links = links.union(found)
+            drop_out(spark, roots)
             roots = components(links)
+    drop_out(spark, *used)
     return roots
 
 
@@ -109,19 +131,18 @@ def _cross_pairs(rows: DataFrame) -> DataFrame:
     return rows.join(other, (F.col("key") == F.col("k2")) & (F.col("root") < F.col("root2"))).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
 
 
-def _prefix_pairs(members: DataFrame, tokens: Callable[[DataFrame], DataFrame], name: str, least: float, jaccard: bool) -> DataFrame:
-    """Pairs of members (id, root) of two components that share one of their rarest tokens and can still have enough in common behind it."""
-    found = write_out(tokens(members.select("id")).distinct(), f"{name}-tokens")
-    often = found.groupBy(F.col("token").alias("t")).agg(F.count("*").alias("often"))
-    ranked = found.join(often, F.col("token") == F.col("t")).select("id", "token", "often")
-    own = Window.partitionBy("id")
-    ranked = ranked.withColumn("place", F.row_number().over(own.orderBy("often", "token"))).withColumn("all", F.count("*").over(own))
-    rare = ranked.where((F.col("place") <= F.floor((1 - least) * F.col("all") + 1e-9) + 1) & (F.col("often") > 1)).select("id", "token", "place", "all")
-    rare = rare.join(members.withColumnRenamed("id", "m"), F.col("id") == F.col("m")).drop("m")
-    other = rare.select(*[F.col(c).alias(f"{c}2") for c in rare.columns])
+def _prefix_pairs(members: DataFrame, prefix: Callable[[DataFrame], DataFrame], name: str, least: float, jaccard: bool) -> DataFrame:
+    """Pairs of members (id, root) of two components that share one of their first tokens and can still have enough in common behind it."""
+    members = write_out(members, f"{name}-wide")
+    first = prefix(members.select("id"))
+    first = write_out(first.join(members.withColumnRenamed("id", "m"), F.col("id") == F.col("m")).drop("m"), f"{name}-prefix")
+    # only tokens of two components can link anything
+    spans = first.groupBy(F.col("token").alias("t")).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("t")
+    first = first.join(spans, F.col("token") == F.col("t"), "left_semi")
+    other = first.select(*[F.col(c).alias(f"{c}2") for c in first.columns])
     need = least / (1 + least) * (F.col("all") + F.col("all2")) if jaccard else least * F.greatest("all", "all2")
     behind = 1 + F.least(F.col("all") - F.col("place"), F.col("all2") - F.col("place2"))
-    near = rare.join(other, (F.col("token") == F.col("token2")) & (F.col("root") < F.col("root2")) & (behind >= need - 1e-6))
+    near = first.join(other, (F.col("token") == F.col("token2")) & (F.col("root") < F.col("root2")) & (behind >= need - 1e-6))
     return near.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
 
 
@@ -131,3 +152,50 @@ def _centre_pairs(rows: DataFrame, salts: list[int]) -> DataFrame:
     centres = rows.groupBy(F.col("key").alias("at_key")).agg(*least)
     pairs = rows.join(centres, F.col("key") == F.col("at_key")).select("id", F.explode(F.array_distinct(F.array(*[f"c{j}" for j in range(len(salts))]))).alias("c"))
     return pairs.where(F.col("id") != F.col("c")).select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
+
+
+def frequent_tokens(texts: DataFrame, tokens: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """About the COMMON most frequent tokens of texts (id, text), the rarest first: the sums of each slice's most frequent ones. Any list keeps a prefix filter exact."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found, n = np.unique(tokens(text_array(batch.column(1)))[0], return_counts=True)
+            top = np.argsort(-n, kind="stable")[:COMMON_OF_SLICE]
+            top = top[n[top] > 1]
+            yield pa.RecordBatch.from_arrays([pa.array(found[top].view(np.int64)), pa.array(n[top])], names=["token", "n"])
+
+    found = texts.select("id", "text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    rows = found.orderBy(F.desc("n"), "token").limit(COMMON).collect()
+    return np.array([r["token"] for r in reversed(rows)], np.int64).view(np.uint64)
+
+
+def first_tokens(texts: DataFrame, tokens: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], least: float) -> DataFrame:
+    """(id, token, place, all) of the first tokens of texts (id, text) as `linked_components` takes them: by hash, frequent tokens last.
+
+    tokens: for an array of texts, their tokens as (values, offsets); equal ones of a text count once.
+    """
+    common = frequent_tokens(texts, tokens)
+    by_value = np.argsort(common)
+    ordered = common[by_value]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            values, offsets = tokens(text_array(batch.column(1)))
+            text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+            rank = mix(values + np.uint64(1)) >> np.uint64(1)
+            if len(ordered) and len(values):
+                at = np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)
+                rank = np.where(ordered[at] == values, by_value[at].astype(np.uint64) | np.uint64(1 << 63), rank)
+            order = np.lexsort((values, rank, text))
+            values, text = values[order], text[order]
+            fresh = np.ones(len(values), bool)
+            fresh[1:] = (values[1:] != values[:-1]) | (text[1:] != text[:-1])
+            values, text = values[fresh], text[fresh]
+            all_ = np.bincount(text, minlength=len(offsets) - 1)
+            place = np.arange(len(values)) - np.repeat(np.cumsum(all_) - all_, all_) + 1
+            first = place <= np.floor((1 - least) * all_ + 1e-9)[text] + 1
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            out = [pa.array(ids[text[first]], pa.int64()), pa.array(values[first].view(np.int64)), pa.array(place[first], pa.int32()), pa.array(all_[text[first]], pa.int32())]
+            yield pa.RecordBatch.from_arrays(out, names=["id", "token", "place", "all"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, token long, place int, all int")

@@ -27,14 +27,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm._common import drop_out, hashes_of, mix, shingles, slices, text_array, words_of, write_out
-from siftline.llm._graph import linked_components, shared_buckets
+from siftline.llm._common import among, drop_out, hashes_of, mix, shingles, slices, text_array, words_of, write_out
+from siftline.llm._graph import first_tokens, linked_components, shared_buckets
 
 WORDS = 3
 SKETCHES = 48
 SHORT = 64
 SIMILARITY = 0.8
+#: Bits of a run's place beside its hash, and the greatest value.
 PLACE = np.uint64((1 << 24) - 1)
+END = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def odd_numbers(n: int) -> np.ndarray:
@@ -64,14 +66,19 @@ def order_sketches(values: np.ndarray, offsets: np.ndarray, sketches: int = SKET
         return out
     starts = offsets[:-1][full]
     place = (np.arange(len(values)) - np.repeat(offsets[:-1], n)).astype(np.uint64) & PLACE
+    huge = np.flatnonzero(n[full] > int(PLACE))
     for j, odd in enumerate(odd_numbers(sketches)):
         v = ((values * odd) & ~PLACE) | place
         one = np.minimum.reduceat(v, starts)
         at_one = starts + (one & PLACE).astype(np.int64)
-        v[at_one] = np.uint64(0xFFFFFFFFFFFFFFFF)
+        v[at_one] = END
         two = np.minimum.reduceat(v, starts)
-        alone = two == np.uint64(0xFFFFFFFFFFFFFFFF)
-        at_two = np.where(alone, at_one, starts + (two & PLACE).astype(np.int64))
+        at_two = np.where(two == END, at_one, starts + (two & PLACE).astype(np.int64))
+        for i in huge:  # places need more bits than a packed minimum has
+            v = (values[starts[i] : starts[i] + n[full[i]]] * odd) & ~PLACE
+            at_one[i] = starts[i] + np.argmin(v)
+            v[at_one[i] - starts[i]] = END
+            at_two[i] = starts[i] + np.argmin(v)
         first, second = values[np.minimum(at_one, at_two)], values[np.maximum(at_one, at_two)]
         out[full, j] = mix(first * np.uint64(0x100000001B3) + mix(second + np.uint64(j + 1)))
     return out
@@ -104,43 +111,48 @@ def candidate_keys(words: np.ndarray, offsets: np.ndarray, sketches: int = SKETC
 
 
 def edit_distance(a: list, b: list, most: int) -> int:
-    """Edits between two word lists, or most + 1 if there are more: bit-parallel columns, given up once no path inside the band of +-most is left."""
-    if len(a) > len(b):
-        a, b = b, a
+    """Edits between two word lists, or most + 1 if there are more: alignment within the band of +-most diagonals, a column of the band at a time as bits.
+
+    Bit r of column j stands for the word j - most + r of a. The distance is followed down the band's lowest
+    diagonal to the end of a, then along it.
+    """
     start = 0
-    while start < len(a) and a[start] == b[start]:
+    while start < min(len(a), len(b)) and a[start] == b[start]:
         start += 1
     a, b = a[start:], b[start:]
-    while a and a[-1] == b[-1]:
+    while a and b and a[-1] == b[-1]:
         a.pop()
         b.pop()
     n, m = len(a), len(b)
-    if m - n > most:
+    if abs(m - n) > most:
         return most + 1
-    if not n:
-        return m
+    if not n or not m or not most:
+        return min(max(n, m), most + 1)
     match: dict = {}
     for i, w in enumerate(a):
-        match[w] = match.get(w, 0) | (1 << i)
-    every = (1 << n) - 1
-    plus, minus, distance, top = every, 0, n, 1 << (n - 1)
+        match[w] = match.get(w, 0) | (1 << (i + most))
+    width = 2 * most + 1
+    every, low = (1 << width) - 1, 1 << (width - 1)
+    plus, minus = ((1 << (most + 1)) - 1) << most, 0
+    distance, turn = min(n, most), max(0, n - most)
+    last = 1 << (width - 2 if turn else n - 1 + most)
     for j, w in enumerate(b):
-        eq = match.get(w, 0)
-        x = eq | minus
-        d0 = ((((eq & plus) + plus) ^ plus) | x) & every
+        eq = (match.get(w, 0) >> j) & every
+        d0 = ((((eq & plus) + plus) ^ plus) | eq | minus) & every
         h_plus = (minus | ~(d0 | plus)) & every
         h_minus = d0 & plus
-        if h_plus & top:
-            distance += 1
-        elif h_minus & top:
-            distance -= 1
-        if distance - (m - j - 1) > most:
+        if j < turn:
+            distance += not d0 & low
+        else:
+            distance += bool(h_plus & last) - bool(h_minus & last)
+            last >>= 1
+        # each column that is left can lower the distance at the end of a by one at most
+        if distance - (m - max(j + 1, turn)) > most:
             return most + 1
-        h_plus = ((h_plus << 1) | 1) & every
-        h_minus = (h_minus << 1) & every
+        d0 >>= 1
         plus = (h_minus | ~(d0 | h_plus)) & every
-        minus = h_plus & d0
-    return distance
+        minus = d0 & h_plus
+    return min(distance, most + 1)
 
 
 def similar(a: list, b: list, least: float) -> bool:
@@ -180,11 +192,10 @@ def sketch_documents(docs: DataFrame, sketches: int = SKETCHES, k: int = WORDS,
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, h1 long, h2 long, size int, keys array<long>")
 
 
-def align_pairs(pairs: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose texts are similar by alignment."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
-    left = texts.select(F.col("doc_id").alias("ida"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("idb"), F.col("text").alias("text_b"))
+def align_pairs(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) of ids whose texts (id, text) are similar by alignment."""
+    left = texts.select(F.col("id").alias("ida"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("id").alias("idb"), F.col("text").alias("text_b"))
     rows = pairs.join(left, F.col("a") == F.col("ida")).join(right, F.col("b") == F.col("idb")).select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,19 +211,10 @@ def align_pairs(pairs: DataFrame, docs: DataFrame, least: float = SIMILARITY) ->
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def word_tokens(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, token) of the words of the documents, the nth occurrence of a word being a token of its own."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id IS NOT NULL").join(ids, "id", "left_semi")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            codes, offsets, distinct = lower_words(text_array(batch.column(1)))
-            tokens = labelled_runs(hashes_of(distinct)[codes], offsets).view(np.int64)
-            owner = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(offsets))
-            for a in range(0, len(tokens), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(owner[a : a + (1 << 18)], pa.int64()), pa.array(tokens[a : a + (1 << 18)])], names=["id", "token"])
-
-    return texts.mapInArrow(run, "id long, token long")
+def word_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The words of texts, the nth occurrence of a word being a token of its own."""
+    codes, offsets, distinct = lower_words(texts)
+    return labelled_runs(hashes_of(distinct)[codes], offsets), offsets
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, sketches: int = SKETCHES) -> DataFrame:
@@ -220,9 +222,14 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, sketches: int =
     spark = docs.sparkSession
     marked = write_out(sketch_documents(docs, sketches, least=least), "order-sketches")
     first = write_out(marked.groupBy("h1", "h2").agg(F.min("doc_id").alias("first")).where("first IS NOT NULL"), "distinct-texts")
-    keyed = marked.join(first, (marked.h1 == first.h1) & (marked.h2 == first.h2) & (marked.doc_id == first["first"]), "left_semi")
-    members = keyed.where("size > 0").select(F.col("doc_id").alias("id"), "size", F.explode("keys").alias("key"))
-    roots = linked_components(shared_buckets(members), lambda pairs: align_pairs(pairs, docs, least), lambda ids: word_tokens(ids, docs), "near", least, jaccard=False)
+    one = (marked.h1 == first.h1) & (marked.h2 == first.h2) & (marked.doc_id == first["first"])
+    keyed = write_out(marked.where("size > 0").join(first, one, "left_semi").select(F.col("doc_id").alias("id"), "size", "keys").distinct(), "near-keys")
+    buckets = shared_buckets(keyed.select("id", "size", F.explode("keys").alias("key")), "near")
+    wanted = write_out(buckets.select(F.col("id").alias("wanted")).distinct(), "near-wanted")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    texts = write_out(among(texts, "id", wanted, "wanted"), "near-texts")
+    roots = linked_components(buckets, lambda pairs: align_pairs(pairs, texts, least), lambda ids: first_tokens(texts.join(ids, "id", "left_semi"), word_tokens, least), "near", least, jaccard=False)
+    drop_out(spark, keyed, buckets, wanted, texts)
     same = marked.select("doc_id", "h1", "h2").join(first.withColumnsRenamed({"h1": "g1", "h2": "g2"}), (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left").select("doc_id", "first")
     out = same.join(roots.withColumnRenamed("id", "known"), F.col("first") == F.col("known"), "left")
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "first")).alias("class_id"))

@@ -30,8 +30,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftline.llm._common import hashes_of, minimum_of, mix, shingles, slices, text_array, words_of, write_out
-from siftline.llm._graph import linked_components, shared_buckets
+from siftline.llm._common import among, drop_out, hashes_of, minimum_of, mix, shingles, slices, text_array, words_of, write_out
+from siftline.llm._graph import first_tokens, linked_components, shared_buckets
 from siftline.llm.near_dup import odd_numbers
 from siftline.llm.quality_crf import line_bounds
 
@@ -166,18 +166,10 @@ def similar_paragraphs(pairs: DataFrame, texts: DataFrame, least: float = SIMILA
     return rows.mapInArrow(run, "a long, b long")
 
 
-def shingle_tokens(ids: DataFrame, texts: DataFrame) -> DataFrame:
-    """(id, token) of the five-word shingles of paragraphs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            codes, offsets, distinct = words_of(text_array(batch.column(1)))
-            values, cut = shingles(hashes_of(distinct)[codes], offsets)
-            owner = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(cut))
-            for a in range(0, len(values), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(owner[a : a + (1 << 18)], pa.int64()), pa.array(values[a : a + (1 << 18)].view(np.int64))], names=["id", "token"])
-
-    return texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(run, "id long, token long")
+def shingle_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The five-word shingles of paragraphs."""
+    codes, offsets, distinct = words_of(texts)
+    return shingles(hashes_of(distinct)[codes], offsets)
 
 
 def paragraph_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -228,10 +220,14 @@ def runs_around(docs: DataFrame, hits: DataFrame, reach: int = WINDOW - 1) -> Da
 
 def repeated_runs(docs: DataFrame, hits: DataFrame) -> DataFrame:
     """doc_id, first_word, n_words, class_doc_id, kept of the runs around hits that lie in more than one document, those of one class_doc_id merged."""
+    spark = docs.sparkSession
     runs = write_out(runs_around(docs, hits), "runs")
     shared = runs.groupBy(F.col("id").alias("c")).agg(F.min("doc_id").alias("class_doc_id"), F.max("doc_id").alias("last_doc")).where("class_doc_id < last_doc").drop("last_doc")
-    marked = runs.join(shared, F.col("id") == F.col("c")).select("doc_id", "first_word", F.lit(RUN).alias("n_words"), "class_doc_id", (F.col("fresh") & (F.col("doc_id") == F.col("class_doc_id"))).alias("kept"))
-    return merged(marked).select(*marked.columns)
+    shared = write_out(shared, "shared-runs")
+    marked = among(runs, "id", shared, "c", "inner").select("doc_id", "first_word", F.lit(RUN).alias("n_words"), "class_doc_id", (F.col("fresh") & (F.col("doc_id") == F.col("class_doc_id"))).alias("kept"))
+    out = write_out(merged(marked).select(*marked.columns), "run-spans")
+    drop_out(spark, runs, shared)
+    return out
 
 
 def merged(spans: DataFrame) -> DataFrame:
@@ -246,18 +242,24 @@ def merged(spans: DataFrame) -> DataFrame:
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, bands: int = BANDS, rows: int = ROWS, least: float = SIMILARITY) -> DataFrame:
     """doc_id, first_word, n_words, class_doc_id, kept: passages whose class lies in more than one document, overlapping spans of one class_doc_id merged."""
+    spark = docs.sparkSession
     parts = write_out(parts_of(docs, min_words, bands, rows), "passages")
     paragraphs = parts.where("kind = 0")
-    members = paragraphs.select("id", F.col("n_shingles").alias("size"), F.explode("keys").alias("key"))
-    buckets = write_out(shared_buckets(members).distinct(), "passage-buckets")
-    wanted = buckets.select(F.col("id").alias("wanted")).distinct()
-    one = paragraphs.join(wanted, F.col("id") == F.col("wanted"), "left_semi").groupBy("id").agg(F.min("doc_id").alias("at_doc"), F.min_by("first_word", "doc_id").alias("first_word"), F.min("n_words").alias("n_words"))
+    buckets = shared_buckets(paragraphs.select("id", F.col("n_shingles").alias("size"), F.explode("keys").alias("key")), "passage")
+    wanted = write_out(buckets.select(F.col("id").alias("wanted")).distinct(), "passage-wanted")
+    one = among(paragraphs, "id", wanted, "wanted").groupBy("id").agg(F.min("doc_id").alias("at_doc"), F.min_by("first_word", "doc_id").alias("first_word"), F.min("n_words").alias("n_words"))
     texts = write_out(paragraph_texts(docs, one).groupBy("id").agg(F.first("text").alias("text")), "passage-texts")
-    roots = linked_components(buckets, lambda pairs: similar_paragraphs(pairs, texts, least), lambda ids: shingle_tokens(ids, texts), "passages", least)
+    roots = linked_components(buckets, lambda pairs: similar_paragraphs(pairs, texts, least), lambda ids: first_tokens(texts.join(ids, "id", "left_semi"), shingle_tokens, least), "passages", least)
+    drop_out(spark, buckets, wanted, texts)
     spots = parts.select("kind", "doc_id", "first_word", "n_words", "id")
-    named = spots.join(roots.withColumnRenamed("id", "known"), (F.col("id") == F.col("known")) & (F.col("kind") == 0), "left").select("kind", "doc_id", "first_word", "n_words", F.coalesce("root", "id").alias("class"))
+    named = spots.where("kind = 0").join(roots.withColumnRenamed("id", "known"), F.col("id") == F.col("known"), "left").select("kind", "doc_id", "first_word", "n_words", F.coalesce("root", "id").alias("class"))
+    named = write_out(named.union(spots.where("kind = 1")), "named-passages")
+    drop_out(spark, parts, roots)
     shared = named.groupBy(F.col("kind").alias("k"), F.col("class").alias("c")).agg(F.min("doc_id").alias("class_doc_id"), F.max("doc_id").alias("last_doc")).where("class_doc_id < last_doc").drop("last_doc")
-    some = write_out(named.join(shared, (F.col("kind") == F.col("k")) & (F.col("class") == F.col("c"))).select("kind", "class", "doc_id", "first_word", "n_words", "class_doc_id"), "shared-passages")
+    shared = write_out(shared, "shared-classes")
+    some = among(named, "class", shared, "c", "inner").where("kind = k").select("kind", "class", "doc_id", "first_word", "n_words", "class_doc_id")
+    some = write_out(some, "shared-passages")
+    drop_out(spark, named, shared)
     lines = some.where("kind = 0")
     first = lines.where("doc_id = class_doc_id").groupBy(F.col("class").alias("c")).agg(F.min("first_word").alias("class_word"))
     marked = lines.join(first, F.col("class") == F.col("c")).select("doc_id", "first_word", "n_words", "class_doc_id", ((F.col("doc_id") == F.col("class_doc_id")) & (F.col("first_word") == F.col("class_word"))).alias("kept"))

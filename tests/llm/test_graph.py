@@ -43,8 +43,10 @@ def test_wide_buckets_lose_no_link(spark, jaccard):
     largest = lambda a, b: len(sets[a] | sets[b]) if jaccard else max(len(sets[a]), len(sets[b]))
     overlap = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * largest(a, b)
     truth = [(a, b) for a in sets for b in sets if a < b and overlap(a, b)]
-    buckets = spark.createDataFrame([(7, i, len(s)) for i, s in sets.items()], "key long, id long, size int")
-    all_tokens = spark.createDataFrame([(i, t) for i, s in sets.items() for t in s], "id long, token long")
+    buckets = spark.createDataFrame([(7, i, len(s), len(sets)) for i, s in sets.items()], "key long, id long, size int, n long")
+    order = lambda s: sorted(s, key=lambda t: (t < 60, t * 7919 % 10007))
+    first = [(i, t, k + 1, len(s)) for i, s in sets.items() for k, t in enumerate(order(s)[: int(0.2 * len(s) + 1e-9) + 1])]
+    prefixes = spark.createDataFrame(first, "id long, token long, place int, all int")
     ok = F.udf(overlap, "boolean")
     compared = []
 
@@ -52,7 +54,7 @@ def test_wide_buckets_lose_no_link(spark, jaccard):
         compared.append(pairs.count())
         return pairs.where(ok("a", "b"))
 
-    got = {r.id: r.root for r in m.linked_components(buckets, verify, lambda ids: all_tokens.join(ids, "id", "left_semi"), "test", 0.8, jaccard).collect()}
+    got = {r.id: r.root for r in m.linked_components(buckets, verify, lambda ids: prefixes.join(ids, "id", "left_semi"), "test", 0.8, jaccard).collect()}
     want = {i: r for i, r in roots_of(sets, truth).items() if any(i in p for p in truth)}
     assert got == want and len(truth) >= 30
     assert sum(compared) < 150 * 149 / 2 / 3
