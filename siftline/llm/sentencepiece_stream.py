@@ -11,7 +11,11 @@ all positions of the window meet in one boundary. Two rules fill the lattice:
   Viterbi maximum alone would give wrong ids; the window, the backpointers and the commits are the same.
 
 A space always starts a piece in such models, so every path meets at it; documents are therefore cut at
-spaces and each distinct cut of a slice goes through the lattice once.
+spaces and each distinct cut of a worker's memory goes through the lattice once. A cut that ends inside one
+window has nothing to commit before its end; its pieces are found by one automaton of all pieces.
+
+Which rule holds is read from the model file; models that normalise texts, drop spaces, or have pieces set by
+the user are refused.
 
 Edge cases: a null or empty text has no ids and decodes to an empty text; characters without a piece
 become byte pieces; a null doc_id is kept; repeated rows give repeated results; other columns are
@@ -22,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +35,8 @@ from pyspark.sql import functions as F
 from siftline.llm._common import slices, text_array
 
 SPACE = "▁"
-KEEP = 300_000
+#: Cuts whose ids a worker keeps, and the longest of them; about 150 bytes each.
+KEEP = 600_000
 LONGEST_KEPT = 64
 
 
@@ -40,6 +46,53 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def proto_fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(field number, value) of a protocol buffer message."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        key = number()
+        if key & 7 == 0:
+            yield key >> 3, number()
+        else:
+            size = number() if key & 7 == 2 else 4 if key & 7 == 5 else 8
+            yield key >> 3, data[at : at + size]
+            at += size
+
+
+class UnsupportedModel(ValueError):
+    """A model that asks for something that the lattice does not do."""
+
+
+def merges_of(path: str) -> bool:
+    """Whether the model in the file is a BPE model (True) or a unigram model (False); others and unsupported settings raise UnsupportedModel."""
+    with open(path, "rb") as f:
+        message = list(proto_fields(f.read()))
+    trainer = dict(proto_fields(b"".join(v for k, v in message if k == 2)))
+    normaliser = dict(proto_fields(b"".join(v for k, v in message if k == 3)))
+    kinds = {dict(proto_fields(v)).get(3, 1) for k, v in message if k == 1}
+    # fixed values of the file format: model types 1 unigram, 2 BPE; piece type 4 is set by the user
+    kind = trainer.get(3, 1)
+    if kind not in (1, 2):
+        raise UnsupportedModel(f"model type {kind}")
+    if 4 in kinds or trainer.get(24, 0):
+        raise UnsupportedModel("pieces set by the user, or spaces at the end of pieces")
+    if normaliser.get(2) or not normaliser.get(3, 1) or normaliser.get(4, 1) or not normaliser.get(5, 1):
+        raise UnsupportedModel("a normaliser that changes texts")
+    return kind == 2
+
+
 class Pieces:
     """Pieces of a model: ids and scores of ordinary pieces, byte pieces, and whether merges (BPE) or sums (unigram) decide."""
 
@@ -49,12 +102,10 @@ class Pieces:
         self.low = min((s for _, s in scores.values()), default=0.0) - 10.0
         self.valid: dict[tuple[str, str], bool] = {}
         self.pairs = {piece[i : i + 2] for piece in scores for i in range(len(piece) - 1)}
-        self.ends: dict = {}  # the pieces read from their last character on; "" marks a whole piece
+        self.found = ahocorasick.Automaton()  # all pieces by their last characters
         for piece in scores:
-            node = self.ends
-            for c in reversed(piece):
-                node = node.setdefault(c, {})
-            node[""] = piece
+            self.found.add_word(piece, piece)
+        self.found.make_automaton()
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -68,7 +119,7 @@ class Pieces:
                 byte_ids[int(piece[3:5], 16)] = i
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 scores[piece] = (i, model.get_score(i))
-        return cls(scores, byte_ids, merges=True, unknown=model.unk_id())
+        return cls(scores, byte_ids, merges=merges_of(path), unknown=model.unk_id())
 
     def merged(self, text: str) -> list[str]:
         """The pieces that the model's merges leave of a short text: best score first, leftmost among equals."""
@@ -196,27 +247,26 @@ class Lattice:
     def _short(self, text: str) -> list[str]:
         """The same lattice for a text inside one window, nothing to commit before its end."""
         p = self.p
-        valid, ends = p.valid, p.ends
+        valid = p.valid
         last = [""]
-        for at in range(1, len(text) + 1):
-            node, start, found = ends, at, []
-            while start:
-                start -= 1
-                node = node.get(text[start])
-                if node is None:
-                    break
-                if "" in node:
-                    found.append((start, node[""]))
-            if not found or found[0][0] != at - 1:
-                found.insert(0, (at - 1, text[at - 1]))
-            for start, piece in reversed(found):
-                key = (last[start], piece)
+        # pieces come by their ends, longest first; the last one left, of one character, always holds
+        for end, piece in p.found.iter(text):
+            at = len(last)
+            if end < at - 1:
+                continue
+            while at <= end:
+                last.append(text[at - 1])
+                at += 1
+            if len(piece) > 1:
+                key = (last[at - len(piece)], piece)
                 holds = valid.get(key)
                 if holds is None:
                     holds = p.pair_holds(*key) if key[0] else p._alone(piece)
-                if holds:
-                    last.append(piece)
-                    break
+                if not holds:
+                    continue
+            last.append(piece)
+        for at in range(len(last), len(text) + 1):
+            last.append(text[at - 1])
         out, at = [], len(text)
         while at:
             out.append(last[at])
@@ -231,15 +281,19 @@ class StreamEncoder:
     def __init__(self, path: str | None = None, pieces: Pieces | None = None):
         self.pieces = pieces or Pieces.load(path or model_path())
         self.lattice = Lattice(self.pieces)
-        self.known: dict[str, list[int]] = {}
-        self.known_parts: dict[str, list[int]] = {}
-        self.by_id = {i: piece for piece, (i, _) in self.pieces.scores.items()}
-        self.byte_of = {i: b for b, i in enumerate(self.pieces.byte_ids or [])}
-
-    def word(self, word: str) -> list[int]:
+        self.known: dict[str, bytes] = {}
+        self.known_parts: dict[str, bytes] = {}
+        self.table = [b" \xe2\x81\x87 "] * (1 + max([0, *(i for i, _ in self.pieces.scores.values()), *(self.pieces.byte_ids or [])]))
+        for piece, (i, _) in self.pieces.scores.items():
+            self.table[i] = piece.replace(SPACE, " ").encode()
+        for b, i in enumerate(self.pieces.byte_ids or []):
+            self.table[i] = bytes([b])
+
+    def word(self, word: str) -> bytes:
+        """The ids of a cut without its first space sign, as 32-bit numbers."""
         found = self.known.get(word)
         if found is None:
-            found = [i for part in self.parts(word) for i in self.part(part)]
+            found = b"".join([self.part(part) for part in self.parts(SPACE + word)])
             if len(word) <= LONGEST_KEPT:
                 if len(self.known) >= KEEP:
                     self.known.clear()
@@ -256,10 +310,10 @@ class StreamEncoder:
         out.append(word[start:])
         return out
 
-    def part(self, part: str) -> list[int]:
+    def part(self, part: str) -> bytes:
         found = self.known_parts.get(part)
         if found is None:
-            found = [i for piece in self.lattice.segment(part) for i in self.pieces.ids(piece)]
+            found = np.array([i for piece in self.lattice.segment(part) for i in self.pieces.ids(piece)], np.int32).tobytes()
             if len(part) <= LONGEST_KEPT:
                 if len(self.known_parts) >= KEEP:
                     self.known_parts.clear()
@@ -267,13 +321,15 @@ class StreamEncoder:
         return found
 
     def cuts(self, text: str) -> list[str]:
-        """Runs that start with space signs; no piece has a space sign after another character."""
+        """Runs that start with space signs, without their first; no piece has a space sign after another character."""
         parts = text.split(" ")
-        out, lead = [], SPACE
+        if "" not in parts:
+            return parts
+        out, lead = [], ""
         for part in parts[:-1]:
             if part:
                 out.append(lead + part)
-                lead = SPACE
+                lead = ""
             else:
                 lead += SPACE
         if parts[-1]:
@@ -282,26 +338,18 @@ class StreamEncoder:
             out.append(lead)
         return out
 
-    def encode(self, text: str) -> list[int]:
+    def encode_array(self, text: str) -> np.ndarray:
         if not text:
-            return []
-        word = self.word
-        return [i for cut in self.cuts(text) for i in word(cut)]
+            return np.zeros(0, np.int32)
+        get, word = self.known.get, self.word
+        return np.frombuffer(b"".join([get(cut) or word(cut) for cut in self.cuts(text)]), np.int32)
+
+    def encode(self, text: str) -> list[int]:
+        return self.encode_array(text).tolist()
 
     def decode(self, ids: list[int]) -> str:
-        out, waiting = [], bytearray()
-        for i in ids:
-            b = self.byte_of.get(i)
-            if b is not None:
-                waiting.append(b)
-                continue
-            if waiting:
-                out.append(waiting.decode("utf-8", "replace"))
-                waiting.clear()
-            out.append(self.by_id.get(i, " ⁇ "))
-        if waiting:
-            out.append(waiting.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
+        table = self.table
+        text = b"".join([table[i] for i in ids]).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
@@ -316,7 +364,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
         for batch in slices(batches, most=2 << 20):
             encoder = encoder or StreamEncoder(path)
             texts = text_array(batch.column(1)).to_pylist()
-            ids = [np.array(encoder.encode(t), np.int32) for t in texts]
+            ids = [encoder.encode_array(t) for t in texts]
             same = [encoder.decode(i.tolist()) == t.replace(SPACE, " ") for i, t in zip(ids, texts, strict=True)]
             sizes = np.array([len(i) for i in ids], np.int64)
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())

@@ -65,3 +65,22 @@ def test_documents(spark):
     assert got == sorted((str(i), lib.encode(t or ""), len(lib.encode(t or "")), True) for i, t, _ in rows)
     assert sorted((str(r.doc_id), r.text) for r in m.decode_documents(coded).collect()) == sorted((str(i), t or "") for i, t, _ in rows)
     assert m.encode_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_model_settings_are_read(tmp_path):
+    data = open(m.model_path(), "rb").read()
+    parts = {k: v for k, v in m.proto_fields(data) if k in (2, 3)}
+    changed = tmp_path / "changed.model"
+
+    def rule(number, old, new):
+        changed.write_bytes(data.replace(parts[number], parts[number].replace(old, new)))
+        return m.merges_of(str(changed))
+
+    assert m.merges_of(m.model_path())
+    assert rule(2, b"\x18\x02", b"\x18\x01") is False and not m.Pieces.load(str(changed)).merges
+    for number, old, new in ((2, b"\x18\x02", b"\x18\x03"), (3, b"\x20\x00", b"\x20\x01"), (3, b"\x18\x01", b"\x18\x00")):
+        try:
+            rule(number, old, new)
+            raise AssertionError("not refused")
+        except m.UnsupportedModel:
+            pass
