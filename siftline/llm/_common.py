@@ -50,6 +50,20 @@ def among(df: DataFrame, column: str, keys: DataFrame, key: str, how: str = "lef
     return df.join(F.broadcast(keys) if few else keys, F.col(column) == F.col(key), how)
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in upper or lower case."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a hash of doc_id and text, and that column's name: rows without doc_id, or that repeat one with another text, have keys of their own."""
+    name = fresh_name(docs, "row_key")
+    return docs.withColumn(name, F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull(), F.coalesce(F.col("text").cast("string"), F.lit("")))), name
+
+
 def text_array(column: pa.Array) -> pa.Array:
     """The texts as large strings, nulls as empty texts."""
     if isinstance(column, pa.ChunkedArray):
@@ -57,7 +71,7 @@ def text_array(column: pa.Array) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str | int = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches into runs of rows with about `most` bytes of text; a longer single text is a run of its own."""
     for batch in batches:
         if not batch.num_rows:

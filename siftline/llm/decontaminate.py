@@ -13,8 +13,9 @@ go to the workers in blocks of bounded size; more items mean more scans, never f
 
 Edge cases: null and empty texts hold nothing; items that are null or have no word are left out; items
 under five words are one shingle and match runs of exactly their words; repeated items report the least
-item_id of equal texts; a null doc_id is reported as null; repeated rows repeat their result; columns
-other than the ids and texts are kept or ignored; empty tables give empty results.
+item_id of equal texts; of windows equally similar to an item the first is reported; very long texts are
+searched whole; a null doc_id is reported as null; repeated rows repeat their result; columns other than the
+ids and texts are kept (`drop_contaminated`, under any name) or ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -28,14 +29,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm._common import hashes_of, mix, slices, text_array, words_of
+from siftline.llm._common import among, hashes_of, mix, slices, text_array, with_row_key, words_of, write_out
 
 WORDS = 5
 SIMILARITY = 0.8
 RADIUS = 19
 BLOCKS = 8
-#: Items sent to the workers at once; also bounds what a closure carries (about 0.5 KB an item).
-ITEMS = 20_000
+#: Items sent to the workers at once; also bounds what a closure carries (about 0.5 KB of shingles and 2.5 KB of index entries an item).
+ITEMS = 10_000
 
 
 def plain_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -188,9 +189,10 @@ def _searcher(index: ItemIndex):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold a benchmark item; rows without doc_id stay."""
-    bad = contaminated(docs.where("doc_id IS NOT NULL"), benchmark).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("bad_id"), "left_anti")
+    """docs without those that hold a benchmark item; each row is decided by its own text, rows without or with a repeated doc_id too. Columns of any name stay."""
+    keyed, key = with_row_key(docs)
+    bad = contaminated(keyed.select(F.col(key).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("bad")).distinct()
+    return among(keyed, key, write_out(bad, "contaminated"), "bad", "left_anti").drop(key)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

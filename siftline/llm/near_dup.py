@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm._common import among, drop_out, hashes_of, mix, shingles, slices, text_array, words_of, write_out
+from siftline.llm._common import among, drop_out, hashes_of, mix, shingles, slices, text_array, with_row_key, words_of, write_out
 from siftline.llm._graph import first_tokens, linked_components, shared_buckets
 
 WORDS = 3
@@ -235,5 +235,28 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, sketches: int =
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "first")).alias("class_id"))
 
 
+def keep_one_of_each(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """One row of each class of near-duplicates stays: that with the least doc_id, then the least hash of its text; a row without doc_id only if its class has no other.
+
+    Each row is decided by its own text: rows that repeat a doc_id with another text, and rows without one, are
+    members of their own. Rows equal in doc_id and text are one row; of their other columns, those with the least
+    hash stay. Columns of any name are kept.
+    """
+    keyed, key = with_row_key(docs)
+    classes = near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), least).select(F.col("doc_id").alias("member"), "class_id").distinct()
+    ids = keyed.select(F.col(key).alias("row"), F.col("doc_id").alias("id")).distinct()
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    best = classes.join(ids, F.col("member") == F.col("row")).groupBy("class_id").agg(F.min(order).alias("best"))
+    keep = write_out(best.select(F.col("best.row").alias("kept")), "kept-rows")
+    again = write_out(keyed.groupBy(F.col(key).alias("again")).agg(F.count("*").alias("n")).where("n > 1").select("again"), "repeated-rows")
+    kept = among(keyed, key, keep, "kept")
+    single = among(kept, key, again, "again", "left_anti").drop(key)
+    if again.isEmpty():
+        return single
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = among(kept, key, again, "again").groupBy(key).agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("whole"))
+    return single.union(one.select(*[F.col("whole").getField(c).alias(c) for c in docs.columns]))
+
+
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

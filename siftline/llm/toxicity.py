@@ -39,6 +39,8 @@ DISGUISE = str.maketrans("013457@$!|+", "oieastasiit")
 LETTERS = re.compile(r"[^\W\d_]+")
 STRETCH = re.compile(r"([^\W\d_])\1\1")
 FEATURES = 18
+#: Bytes of text worked on at once: a word takes some 150 bytes of features meanwhile.
+SLICE = 4 << 20
 
 
 class WordTable:
@@ -47,7 +49,9 @@ class WordTable:
     WIDTH = 11
 
     def __init__(self, lexicon: dict[str, float], keep: int = 200_000):
-        self.lexicon, self.keep, self.known = lexicon, keep, {}
+        self.lexicon, self.keep = lexicon, keep
+        self.known: dict[str, int] = {}  # rows of the matrix
+        self.rows = np.empty((0, self.WIDTH))
 
     def look(self, word: str) -> tuple[float, ...]:
         low = word.lower()
@@ -66,16 +70,20 @@ class WordTable:
         return (whole, start, hidden, float(core in SECOND), float(letters > 1 and upper == letters), float(upper), float(letters), float(len(word) - letters), float(word.count("!")), float(bool(STRETCH.search(low))), float(any(c.isdigit() for c in word)))
 
     def of(self, words: list[str]) -> np.ndarray:
-        if len(self.known) > self.keep:
+        """(words x WIDTH) numbers."""
+        if len(self.known) + len(words) > len(self.rows):
             self.known.clear()
-        known, look = self.known, self.look
-        out = np.empty((len(words), self.WIDTH))
+            if len(words) > len(self.rows):
+                self.rows = np.empty((max(len(words), self.keep), self.WIDTH))
+        known, look, rows = self.known, self.look, self.rows
+        at = np.empty(len(words), np.int64)
         for i, w in enumerate(words):
             row = known.get(w)
             if row is None:
-                row = known[w] = look(w)
-            out[i] = row
-        return out
+                row = known[w] = len(known)
+                rows[row] = look(w)
+            at[i] = row
+        return rows[at]
 
 
 def features(texts: pa.Array, table: WordTable) -> np.ndarray:
@@ -159,7 +167,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, label: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = None
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             tables = tables or (WordTable(second), WordTable(first))
             fold = batch.column(1).to_numpy(zero_copy_only=False)
             texts = text_array(batch.column(2))
@@ -188,7 +196,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = THR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = None
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             table = table or model.table()
             score = model.score(text_array(batch.column(at)), table)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
@@ -196,6 +204,19 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = THR
     return kept.mapInArrow(run, schema)
 
 
+def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
+    """docs without the rows that score `threshold` or more; columns of any name stay as they are."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = None
+        for batch in slices(batches, text=at, most=SLICE):
+            table = table or model.table()
+            yield batch.filter(pa.array(model.score(text_array(batch.column(at)), table) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     model = fit_toxicity(docs, labels, bucket("doc_id", 4) != 2)

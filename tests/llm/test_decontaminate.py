@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import regex
 
 from siftline.llm import decontaminate as m
@@ -87,3 +89,15 @@ def test_empty(spark):
     docs, items = (spark.createDataFrame([], f"{k} long, text string") for k in ("doc_id", "item_id"))
     one = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     assert m.contaminated(docs, items).collect() == [] and m.contaminated(one, items).collect() == [] and m.drop_contaminated(one, items).count() == 1
+
+
+def test_rows_are_decided_by_their_own_text(spark):
+    item = "these are the words of a benchmark item that nobody should learn from at all"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(None, f"before {item} after", 1), (None, "clean words without any of it", 2), (5, item, 3), (5, "clean words of the same id", 4), (6, item[:30], 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, bad_id int").withColumn("row_key", F.lit("x"))
+    got = m.drop_contaminated(docs, items)
+    assert got.columns == docs.columns and sorted(r.bad_id for r in got.collect()) == [2, 4, 5]
+    # windows equally similar: the first is reported, each item once
+    twice = m.contaminated(spark.createDataFrame([(1, f"{item} and again {item}")], "doc_id long, text string"), items).collect()
+    assert [(r.first_word, r.similarity) for r in twice] == [(0, 1.0)]

@@ -96,3 +96,13 @@ def test_candidates_at_the_threshold():
 
 def test_empty(spark):
     assert m.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_one_row_of_each_class(spark):
+    text = "some words of a document that is long enough to be compared with another one here"
+    rows = [(7, text, 1, "a"), (3, text + " more", 2, "b"), (None, text, 3, "c"), (9, "another text", 4, "d"), (9, "a second text of the same id", 5, "e"), (None, "no id and alone", 6, "f"), (9, "another text", 4, "d"), (11, None, 7, "g"), (12, "", 8, "h")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, class_id int, row_key string")
+    got = m.keep_one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted(tuple(r)[2] for r in got.collect()) == [2, 4, 5, 6, 7]
+    assert m.keep_one_of_each(docs.limit(0)).collect() == []

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from siftline.llm._labels import bucket
-from siftline.llm.toxicity import fit_toxicity, op8_toxicity, score_toxicity
+from siftline.llm.toxicity import drop_toxic, fit_toxicity, op8_toxicity, score_toxicity
 
 
 def test_held_out_accuracy_and_contract(spark):
@@ -49,3 +49,14 @@ def test_empty_tables(spark):
     assert score_toxicity(docs, model).collect() == []
     one = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert score_toxicity(one, model).first().score == 0.5
+
+
+def test_dropped_rows_keep_their_columns(spark):
+    toxic = [(i, f"you blorg number {i} " * 3, 1) for i in range(40)]
+    clean = [(100 + i, f"quiet words number {i} " * 3, 0) for i in range(60)]
+    docs = spark.createDataFrame([(i, t, "s", 9) for i, t, _ in toxic + clean] + [(None, None, "s", 9)], "doc_id long, text string, score string, predicted int")
+    model = fit_toxicity(docs, spark.createDataFrame([(i, y) for i, _, y in toxic + clean], "doc_id long, toxic int"), F.lit(True))
+    got = drop_toxic(docs, model)
+    assert got.schema == docs.schema
+    rows = got.collect()
+    assert {r.score for r in rows} == {"s"} and {r.predicted for r in rows} == {9} and all(r.doc_id is None or r.doc_id >= 100 for r in rows) and len(rows) >= 60
