@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text worked on at once in a Python worker.
 SLICE_BYTES = 8 << 20
+#: The same where a word takes a hundred bytes and more of arrays meanwhile.
+SMALL_SLICE = 3 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -64,6 +68,20 @@ def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
     return docs.withColumn(name, F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull(), F.coalesce(F.col("text").cast("string"), F.lit("")))), name
 
 
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow after which the worker, which stays for later tasks, gives its free memory back to the system."""
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return inside
+
+
 def text_array(column: pa.Array) -> pa.Array:
     """The texts as large strings, nulls as empty texts."""
     if isinstance(column, pa.ChunkedArray):

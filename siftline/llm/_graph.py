@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm._common import among, drop_out, mix, slices, text_array, write_out
+from siftline.llm._common import SMALL_SLICE, among, drop_out, mix, slices, text_array, trimmed, write_out
 
 #: Edges that a task of a star step takes.
 EDGES_PER_TASK = 200_000
@@ -158,13 +158,13 @@ def frequent_tokens(texts: DataFrame, tokens: Callable[[pa.Array], tuple[np.ndar
     """About the COMMON most frequent tokens of texts (id, text), the rarest first: the sums of each slice's most frequent ones. Any list keeps a prefix filter exact."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=SMALL_SLICE):
             found, n = np.unique(tokens(text_array(batch.column(1)))[0], return_counts=True)
             top = np.argsort(-n, kind="stable")[:COMMON_OF_SLICE]
             top = top[n[top] > 1]
             yield pa.RecordBatch.from_arrays([pa.array(found[top].view(np.int64)), pa.array(n[top])], names=["token", "n"])
 
-    found = texts.select("id", "text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    found = texts.select("id", "text").mapInArrow(trimmed(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     rows = found.orderBy(F.desc("n"), "token").limit(COMMON).collect()
     return np.array([r["token"] for r in reversed(rows)], np.int64).view(np.uint64)
 
@@ -179,7 +179,7 @@ def first_tokens(texts: DataFrame, tokens: Callable[[pa.Array], tuple[np.ndarray
     ordered = common[by_value]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=SMALL_SLICE):
             values, offsets = tokens(text_array(batch.column(1)))
             text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
             rank = mix(values + np.uint64(1)) >> np.uint64(1)
@@ -198,4 +198,4 @@ def first_tokens(texts: DataFrame, tokens: Callable[[pa.Array], tuple[np.ndarray
             out = [pa.array(ids[text[first]], pa.int64()), pa.array(values[first].view(np.int64)), pa.array(place[first], pa.int32()), pa.array(all_[text[first]], pa.int32())]
             yield pa.RecordBatch.from_arrays(out, names=["id", "token", "place", "all"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, token long, place int, all int")
+    return texts.select("id", "text").mapInArrow(trimmed(run), "id long, token long, place int, all int")

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm._common import among, hashes_of, mix, slices, text_array, with_row_key, words_of, write_out
+from siftline.llm._common import SMALL_SLICE, among, hashes_of, mix, slices, text_array, trimmed, with_row_key, words_of, write_out
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -151,14 +151,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     schema = "doc_id long, item_id long, first_word int, n_words int, similarity double"
     out = docs.sparkSession.createDataFrame([], schema)
     for number, index in enumerate(item_blocks(benchmark)):
-        found = rows.mapInArrow(_searcher(index), schema)
+        found = rows.mapInArrow(trimmed(_searcher(index)), schema)
         out = found if not number else out.union(found)
     return out
 
 
 def _searcher(index: ItemIndex):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=SMALL_SLICE):
             codes, offsets, distinct = plain_words(text_array(batch.column(1)))
             hashes = hashes_of(distinct)[codes]
             sizes = pc.utf8_length(distinct).to_numpy(zero_copy_only=False).astype(np.int64)[codes] if len(codes) else np.zeros(0, np.int64)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm._common import among, drop_out, hashes_of, mix, shingles, slices, text_array, with_row_key, words_of, write_out
+from siftline.llm._common import SMALL_SLICE, among, drop_out, hashes_of, mix, shingles, slices, text_array, trimmed, with_row_key, words_of, write_out
 from siftline.llm._graph import first_tokens, linked_components, shared_buckets
 
 WORDS = 3
@@ -181,7 +181,7 @@ def sketch_documents(docs: DataFrame, sketches: int = SKETCHES, k: int = WORDS,
     """doc_id, h1, h2 (128 bits of the whole text), size (words), keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=SMALL_SLICE):
             texts = text_array(batch.column(1))
             codes, offsets, distinct = lower_words(texts)
             keys, at = candidate_keys(hashes_of(distinct)[codes], offsets, sketches, k, least)
@@ -189,7 +189,7 @@ def sketch_documents(docs: DataFrame, sketches: int = SKETCHES, k: int = WORDS,
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole[:, 0]), pa.array(whole[:, 1]), pa.array(np.diff(offsets).astype(np.int32)), lists], names=["doc_id", "h1", "h2", "size", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, h1 long, h2 long, size int, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), "doc_id long, h1 long, h2 long, size int, keys array<long>")
 
 
 def align_pairs(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -199,7 +199,7 @@ def align_pairs(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -
     rows = pairs.join(left, F.col("a") == F.col("ida")).join(right, F.col("b") == F.col("idb")).select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text_a"):
+        for batch in slices(batches, "text_a", SMALL_SLICE):
             sides = []
             for name in ("text_a", "text_b"):
                 codes, offsets, distinct = lower_words(text_array(batch.column(batch.schema.get_field_index(name))))
@@ -208,7 +208,7 @@ def align_pairs(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -
             keep = [similar(x, y, least) for x, y in zip(*sides, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
 def word_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

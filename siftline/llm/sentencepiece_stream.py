@@ -32,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm._common import slices, text_array
+from siftline.llm._common import slices, text_array, trimmed
 
 SPACE = "▁"
 #: Cuts whose ids a worker keeps, and the longest of them; about 150 bytes each.
-KEEP = 600_000
+KEEP = 400_000
 LONGEST_KEPT = 64
 
 
@@ -371,7 +371,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
             lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(sizes), pa.array(same)], names=["doc_id", "ids", "n_tokens", "round_trip"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>, n_tokens long, round_trip boolean")
+    return rows.mapInArrow(trimmed(run), f"doc_id {kind}, ids array<int>, n_tokens long, round_trip boolean")
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -386,7 +386,7 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
             texts = [encoder.decode(i or []) for i in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(trimmed(run), f"doc_id {kind}, text string")
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

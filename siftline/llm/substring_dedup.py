@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftline.llm._common import among, drop_out, hashes_of, minimum_of, mix, shingles, slices, text_array, words_of, write_out
+from siftline.llm._common import SMALL_SLICE, among, drop_out, hashes_of, minimum_of, mix, shingles, slices, text_array, trimmed, words_of, write_out
 from siftline.llm._graph import first_tokens, linked_components, shared_buckets
 from siftline.llm.near_dup import odd_numbers
 from siftline.llm.quality_crf import line_bounds
@@ -92,7 +92,7 @@ def parts_of(docs: DataFrame, min_words: int, bands: int, rows: int) -> DataFram
     schema = "doc_id long, kind int, first_word int, n_words int, id long, n_shingles int, keys array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=SMALL_SLICE):
             texts = pc.utf8_lower(text_array(batch.column(1)))
             data, starts, _, of_text = line_bounds(texts)
             edge = np.append(starts, len(data)).astype(np.int64)
@@ -120,7 +120,7 @@ def parts_of(docs: DataFrame, min_words: int, bands: int, rows: int) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(ids[who], pa.int64()), pa.array(np.ones(len(who), np.int32)), pa.array(where, pa.int32()), pa.array(np.full(len(who), RUN, np.int32)), pa.array(what), pa.nulls(len(who), pa.int32()), pa.nulls(len(who), pa.list_(pa.int64()))], names=["doc_id", "kind", "first_word", "n_words", "id", "n_shingles", "keys"])
 
     rows_ = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows_.mapInArrow(run, schema)
+    return rows_.mapInArrow(trimmed(run), schema)
 
 
 def distinct_of(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -150,7 +150,7 @@ def similar_paragraphs(pairs: DataFrame, texts: DataFrame, least: float = SIMILA
     rows = pairs.join(left, F.col("a") == F.col("ida")).join(right, F.col("b") == F.col("idb")).select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text_a"):
+        for batch in slices(batches, "text_a", SMALL_SLICE):
             sides = []
             for name in ("text_a", "text_b"):
                 codes, offsets, distinct = words_of(text_array(batch.column(batch.schema.get_field_index(name))))
@@ -163,7 +163,7 @@ def similar_paragraphs(pairs: DataFrame, texts: DataFrame, least: float = SIMILA
                 keep.append(common >= least * (len(x) + len(y) - common) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(trimmed(run), "a long, b long")
 
 
 def shingle_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +179,7 @@ def paragraph_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     rows = texts.join(asked, F.col("doc_id") == F.col("at_doc")).select("spans", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=SMALL_SLICE):
             texts = pc.utf8_lower(text_array(batch.column(1))).to_pylist()
             ids, out = [], []
             for spans, text in zip(batch.column(0).to_pylist(), texts, strict=True):
@@ -190,7 +190,7 @@ def paragraph_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     out.append(" ".join(words[s["first_word"] : s["first_word"] + s["n_words"]]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], names=["id", "text"])
 
-    return rows.mapInArrow(run, "id long, text string")
+    return rows.mapInArrow(trimmed(run), "id long, text string")
 
 
 def runs_around(docs: DataFrame, hits: DataFrame, reach: int = WINDOW - 1) -> DataFrame:
@@ -200,7 +200,7 @@ def runs_around(docs: DataFrame, hits: DataFrame, reach: int = WINDOW - 1) -> Da
     rows = texts.join(asked, F.col("doc_id") == F.col("at_doc")).select("doc_id", "starts", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=SMALL_SLICE):
             codes, at, distinct = words_of(pc.utf8_lower(text_array(batch.column(2))))
             words = hashes_of(distinct)[codes]
             starts = batch.column(1)
@@ -215,7 +215,7 @@ def runs_around(docs: DataFrame, hits: DataFrame, reach: int = WINDOW - 1) -> Da
                 fresh[np.unique(hashes[near], return_index=True)[1]] = True
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), doc, np.int64)), pa.array(near, pa.int32()), pa.array(hashes[near].view(np.int64)), pa.array(fresh)], names=["doc_id", "first_word", "id", "fresh"])
 
-    return rows.mapInArrow(run, "doc_id long, first_word int, id long, fresh boolean")
+    return rows.mapInArrow(trimmed(run), "doc_id long, first_word int, id long, fresh boolean")
 
 
 def repeated_runs(docs: DataFrame, hits: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm._common import slices, sum_of, text_array, words_of, write_out
+from siftline.llm._common import SMALL_SLICE, slices, sum_of, text_array, trimmed, words_of, write_out
 from siftline.llm._labels import bucket, labelled_sample
 from siftline.llm.boosting import BoostedTrees, Isotonic
 
@@ -39,8 +39,6 @@ DISGUISE = str.maketrans("013457@$!|+", "oieastasiit")
 LETTERS = re.compile(r"[^\W\d_]+")
 STRETCH = re.compile(r"([^\W\d_])\1\1")
 FEATURES = 18
-#: Bytes of text worked on at once: a word takes some 150 bytes of features meanwhile.
-SLICE = 4 << 20
 
 
 class WordTable:
@@ -167,14 +165,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, label: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = None
-        for batch in slices(batches, most=SLICE):
+        for batch in slices(batches, most=SMALL_SLICE):
             tables = tables or (WordTable(second), WordTable(first))
             fold = batch.column(1).to_numpy(zero_copy_only=False)
             texts = text_array(batch.column(2))
             x = np.where((fold == 0)[:, None], features(texts, tables[0]), features(texts, tables[1]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "fold", "x"])
 
-    rows = sample.select("y", "fold", "text").mapInArrow(run, "y int, fold int, x array<double>").collect()
+    rows = sample.select("y", "fold", "text").mapInArrow(trimmed(run), "y int, fold int, x array<double>").collect()
     if not rows:
         return ToxicityModel({}, BoostedTrees(), Isotonic().fit(np.zeros(0), np.zeros(0)))
     x, y, fold = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], float), np.array([r["fold"] for r in rows])
@@ -196,12 +194,12 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = THR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = None
-        for batch in slices(batches, most=SLICE):
+        for batch in slices(batches, most=SMALL_SLICE):
             table = table or model.table()
             score = model.score(text_array(batch.column(at)), table)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(trimmed(run), schema)
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
@@ -210,11 +208,11 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = None
-        for batch in slices(batches, text=at, most=SLICE):
+        for batch in slices(batches, text=at, most=SMALL_SLICE):
             table = table or model.table()
             yield batch.filter(pa.array(model.score(text_array(batch.column(at)), table) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
