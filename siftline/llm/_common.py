@@ -82,6 +82,18 @@ def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return inside
 
 
+#: Bytes of an Arrow batch between the executor and its worker.
+BATCH_BYTES = 6 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches of this session by bytes: 10,000 rows of long texts would take hundreds of MB on both sides."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, "-1")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def text_array(column: pa.Array) -> pa.Array:
     """The texts as large strings, nulls as empty texts."""
     if isinstance(column, pa.ChunkedArray):

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm._common import SMALL_SLICE, among, hashes_of, mix, slices, text_array, trimmed, with_row_key, words_of, write_out
+from siftline.llm._common import SMALL_SLICE, among, bound_batches, hashes_of, mix, slices, text_array, trimmed, with_row_key, words_of, write_out
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -147,6 +147,7 @@ def item_blocks(benchmark: DataFrame, size: int = ITEMS) -> Iterator[ItemIndex]:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, first_word, n_words, similarity: the best window of each document for each item it holds."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, first_word int, n_words int, similarity double"
     out = docs.sparkSession.createDataFrame([], schema)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm._common import SMALL_SLICE, among, drop_out, hashes_of, mix, shingles, slices, text_array, trimmed, with_row_key, words_of, write_out
+from siftline.llm._common import SMALL_SLICE, among, bound_batches, drop_out, hashes_of, mix, shingles, slices, text_array, trimmed, with_row_key, words_of, write_out
 from siftline.llm._graph import first_tokens, linked_components, shared_buckets
 
 WORDS = 3
@@ -179,6 +179,7 @@ def lower_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 
 def sketch_documents(docs: DataFrame, sketches: int = SKETCHES, k: int = WORDS, least: float = SIMILARITY) -> DataFrame:
     """doc_id, h1, h2 (128 bits of the whole text), size (words), keys."""
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=SMALL_SLICE):

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm._common import slices, text_array, trimmed
+from siftline.llm._common import bound_batches, slices, text_array, trimmed
 
 SPACE = "▁"
 #: Cuts whose ids a worker keeps, and the longest of them; about 150 bytes each.
@@ -355,6 +355,7 @@ class StreamEncoder:
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids, n_tokens, round_trip (the decoded ids equal the text, its space signs read as spaces). One scan, no shuffle."""
+    bound_batches(docs.sparkSession)
     path = path or model_path()
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

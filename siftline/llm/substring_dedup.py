@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftline.llm._common import SMALL_SLICE, among, drop_out, hashes_of, minimum_of, mix, shingles, slices, text_array, trimmed, words_of, write_out
+from siftline.llm._common import SMALL_SLICE, among, bound_batches, drop_out, hashes_of, minimum_of, mix, shingles, slices, text_array, trimmed, words_of, write_out
 from siftline.llm._graph import first_tokens, linked_components, shared_buckets
 from siftline.llm.near_dup import odd_numbers
 from siftline.llm.quality_crf import line_bounds
@@ -89,6 +89,7 @@ def window_minima(values: np.ndarray, window: int = WINDOW) -> np.ndarray:
 
 def parts_of(docs: DataFrame, min_words: int, bands: int, rows: int) -> DataFrame:
     """doc_id, kind (0 paragraph, 1 run), first_word, n_words, id (hash of the words), n_shingles (different ones) and keys of paragraphs."""
+    bound_batches(docs.sparkSession)
     schema = "doc_id long, kind int, first_word int, n_words int, id long, n_shingles int, keys array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

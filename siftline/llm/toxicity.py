@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm._common import SMALL_SLICE, slices, sum_of, text_array, trimmed, words_of, write_out
+from siftline.llm._common import SMALL_SLICE, bound_batches, slices, sum_of, text_array, trimmed, words_of, write_out
 from siftline.llm._labels import bucket, labelled_sample
 from siftline.llm.boosting import BoostedTrees, Isotonic
 
@@ -160,6 +160,7 @@ class ToxicityModel:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", max_labelled: int = MAX_LABELLED) -> ToxicityModel:
     """Learns from labelled rows for which `train` holds. Trees see features under the other fold's lexicon, calibration sees scores out of fold."""
+    bound_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, label, train, max_labelled)
     first, second, both = lexicons(sample)
 
@@ -187,6 +188,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, label: str =
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
     """docs with score and predicted beside their columns (or in place of columns of these names)."""
+    bound_batches(docs.sparkSession)
     kept = docs.drop("score", "predicted")
     names = kept.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", score double, predicted int"
@@ -204,6 +206,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = THR
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that score `threshold` or more; columns of any name stay as they are."""
+    bound_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
