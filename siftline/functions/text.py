@@ -57,6 +57,16 @@ def human_size(n: Column) -> Column:
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024**2, F.format_string("%.1f KB", n / F.lit(1024.0))).otherwise(F.format_string("%.1f MB", n / F.lit(1048576.0)))
 
 
+def from_millis(n: Column) -> Column:
+    """The time so many milliseconds after 1970."""
+    return F.timestamp_millis(n)
+
+
+def short_date(at: Column) -> Column:
+    """A day as 'Jan 5, 2024'."""
+    return F.date_format(at, "MMM d, yyyy")
+
+
 def percent(x: Column) -> Column:
     return F.concat(F.floor(x * 100 + 0.5).cast("int").cast("string"), F.lit("%"))
 

@@ -9,8 +9,10 @@ from siftline.config import RetryPolicy
 from siftline.schema import ENVELOPE
 
 
-def envelope(payload: Column, error: Column, bucket: Column, key: Column, failed_at: Column) -> Column:
-    return F.to_json(F.struct(payload.alias("original_payload"), error.alias("error"), bucket.alias("bucket"), key.alias("key"), failed_at.alias("failed_at")))
+def envelope(payload: Column, error: Column, bucket: Column, key: Column, failed_at: Column, retry_count: Column | None = None) -> Column:
+    """A letter as JSON; retry_count says how often its payload was tried again before this failure."""
+    count = F.lit(0) if retry_count is None else F.coalesce(retry_count, F.lit(0))
+    return F.to_json(F.struct(payload.alias("original_payload"), error.alias("error"), bucket.alias("bucket"), key.alias("key"), failed_at.alias("failed_at"), count.alias("retry_count")))
 
 
 def backoff(count: Column, policy: RetryPolicy = RetryPolicy()) -> Column:
@@ -30,7 +32,11 @@ def transition(letters: DataFrame, value: str = "value", policy: RetryPolicy = R
     return out.withColumn("next_count", F.when(retry, F.col("retry_count") + 1)).withColumn("wait_seconds", F.when(retry, backoff(F.col("retry_count"), policy))).drop("_ok")
 
 
+def due_at(failed_at: Column) -> Column:
+    """When a letter's wait is over; null if its time can't be read."""
+    return failed_at.try_cast("timestamp") + F.make_interval(secs=F.col("wait_seconds"))
+
+
 def due(letters: DataFrame, now: Column, failed_at: str = "failed_at") -> DataFrame:
     """Letters whose wait is over, with due_at."""
-    at = F.col(failed_at).cast("timestamp") + F.make_interval(secs=F.col("wait_seconds"))
-    return letters.withColumn("due_at", at).where((F.col("action") == "retry") & (F.col("due_at") <= now))
+    return letters.withColumn("due_at", due_at(F.col(failed_at))).where((F.col("action") == "retry") & (F.col("due_at") <= now))

@@ -122,11 +122,15 @@ def empty_to_null(chunks: DataFrame) -> DataFrame:
     return chunks.withColumns(out) if out else chunks
 
 
-def upsert(table: DataFrame, batch: DataFrame, key: str = "_id", replace_file: str | None = None) -> DataFrame:
+def upsert(table: DataFrame, batch: DataFrame, key: str = "_id", replace_file: str | None = None, order: Column | None = None) -> DataFrame:
     """The table after a merge: new rows are added, null columns of a batch keep the old value.
 
-    replace_file names the column of the file: old rows of the batch's files that it doesn't rewrite go.
+    Rows of a batch without key are left out; of rows that share one, the last by `order` counts (default: the
+    greatest row). replace_file names the column of the file: old rows of the batch's files that it doesn't
+    rewrite go.
     """
+    whole = F.struct(*[F.col(c) for c in batch.columns])
+    batch = batch.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.max_by(whole, whole if order is None else order).alias("_row")).select("_row.*")
     new = batch.select(*[F.col(c).alias(f"n_{c}") for c in batch.columns])
     old = table
     if replace_file:

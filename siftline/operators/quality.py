@@ -22,7 +22,7 @@ LOCALES = r"/(ENU|DEU|FRA|NLD|ITA|ESP|PTB|DAN|NOR|SVE|FIN|PLK|CSY|HUN|TRK|RUS|EL
 
 def hex_unicode(t: Column) -> Column:
     runs = F.aggregate(F.regexp_extract_all(t, F.lit("([0-9A-Fa-f]{16,})"), F.lit(1)), F.lit(0), lambda n, r: n + F.length(r))
-    shown = F.length(F.regexp_replace(t, "[ \n]", ""))
+    shown = F.length(F.regexp_replace(t, "[ \n]+", ""))
     return F.when(t.rlike("<FEFF[0-9A-Fa-f]{4,}"), F.lit("hex-unicode-blob (<FEFF...>)")).when((runs > 0) & (runs / F.greatest(shown, F.lit(1)) > 0.5), F.lit("hex-run (>50% hex chars)"))
 
 
@@ -49,20 +49,20 @@ def locale_strings(t: Column) -> Column:
 
 
 def non_ascii(t: Column) -> Column:
-    share = F.length(F.regexp_replace(t, r"[\x00-\x7F]", "")) / F.greatest(F.length(t), F.lit(1))
+    share = F.length(F.regexp_replace(t, r"[\x00-\x7F]+", "")) / F.greatest(F.length(t), F.lit(1))
     return F.when(share > 0.4, F.concat(F.lit("high-non-ascii ("), F.round(share * 100, 0).cast("int").cast("string"), F.lit("% non-ASCII chars)")))
 
 
 def repetitive(t: Column) -> Column:
-    s = F.trim(t, F.lit(" \t\r\n\x0b\x0c"))
-    n = F.length(s)
-    windows = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((n - 11) / 10), F.lit(0)).cast("int")), lambda i: F.substring(s, i * 10 + 1, F.lit(10)))
-    share = F.size(F.array_distinct(windows)) / F.size(windows)
-    return F.when((n >= 40) & (share < 0.2), F.concat(F.lit("repetitive-content (only "), F.round(share * 100, 0).cast("int").cast("string"), F.lit("% unique 10-char windows)")))
+    # one pass cuts all windows; they are bound once, and the text's tail holds no window of its own
+    once = lambda value, then: F.transform(F.array(value), then)[0]
+    every = lambda s: F.when(F.length(s) >= 40, F.slice(F.regexp_extract_all(s, F.lit("(?s)(.{10})"), F.lit(1)), 1, F.floor((F.length(s) - 11) / 10).cast("int") + 1))
+    share = once(once(F.trim(t, F.lit(" \t\r\n\x0b\x0c")), every), lambda w: F.size(F.array_distinct(w)) / F.size(w))
+    return F.when(share < 0.2, F.concat(F.lit("repetitive-content (only "), F.round(share * 100, 0).cast("int").cast("string"), F.lit("% unique 10-char windows)")))
 
 
 def whitespace_dominated(t: Column) -> Column:
-    share = F.length(F.regexp_replace(t, r"\s", "")) / F.greatest(F.length(t), F.lit(1))
+    share = F.length(F.regexp_replace(t, r"\s+", "")) / F.greatest(F.length(t), F.lit(1))
     return F.when(share < 0.3, F.concat(F.lit("whitespace-dominated ("), F.round(share * 100, 0).cast("int").cast("string"), F.lit("% printable chars)")))
 
 
@@ -80,14 +80,19 @@ def flags(text: Column) -> Column:
     return F.filter(F.array(*[d(text) for d in DETECTORS.values()]), lambda x: x.isNotNull())
 
 
+def noisy(text: Column) -> Column:
+    """Whether any detector flags the text; the first that does ends the search."""
+    return F.coalesce(*[d(text) for d in DETECTORS.values()]).isNotNull()
+
+
 def level(ratio: Column) -> Column:
     return F.when(ratio == 0, "clean").when(ratio < 0.15, "low").when(ratio < 0.40, "medium").otherwise("high")
 
 
 def file_report(chunks: DataFrame, file: str, text: str) -> DataFrame:
     """Per file: chunks, noisy chunks, ratio and level."""
-    noisy = chunks.select(F.col(file).alias("file"), (F.size(flags(F.col(text))) > 0).cast("int").alias("noisy"))
-    out = noisy.groupBy("file").agg(F.count("*").alias("total"), F.sum("noisy").alias("noisy"))
+    marked = chunks.select(F.col(file).alias("file"), noisy(F.col(text)).cast("int").alias("noisy"))
+    out = marked.groupBy("file").agg(F.count("*").alias("total"), F.sum("noisy").alias("noisy"))
     return out.withColumn("ratio", F.round(F.col("noisy") / F.col("total"), 6)).withColumn("level", level(F.col("noisy") / F.col("total")))
 
 

@@ -276,7 +276,7 @@ FILTERS = {
     "filter_type_archive": (["type:archive"], "false"),
     "filter_size_range": (["size:size_gt:1MB", "size:size_lt:5.5MB"], "size_bytes > 1048576 AND size_bytes < 5767168"),
     "filter_size_malformed": (["size:size_gt:lots"], "true"),
-    "filter_date_range": (["date:last_month"], "uploaded_at BETWEEN TIMESTAMP '2024-01-31' AND TIMESTAMP '2024-03-01'"),
+    "filter_date_range": (["date:last_week"], "uploaded_at BETWEEN TIMESTAMP '2023-12-28' AND TIMESTAMP '2024-01-04'", datetime(2024, 1, 4)),
     "filter_exact_date": (["exact_date:jan_5_2024"], "uploaded_at >= TIMESTAMP '2024-01-04 18:30:00' AND uploaded_at < TIMESTAMP '2024-01-05 18:30:00'"),
     "filter_match_none": (["exact_date:feb_31_2024"], "false"),
     "filter_month_ignored": (["month:march"], "true"),
@@ -284,12 +284,12 @@ FILTERS = {
 }
 
 
-def _filtered(filters: list[str]) -> Callable:
-    return lambda spark, sf: chunks(spark, sf).where(predicates.all_of(filters, NOW, "+05:30")).select("doc_id", "filename")
+def _filtered(filters: list[str], now: datetime = NOW) -> Callable:
+    return lambda spark, sf: chunks(spark, sf).where(predicates.all_of(filters, now, "+05:30")).select("doc_id", "filename")
 
 
-for _name, (_filters, _where) in FILTERS.items():
-    query(_name, f"WITH {CORPUS} SELECT doc_id, filename FROM corpus WHERE {_where}")(_filtered(_filters))
+for _name, (_filters, _where, *_now) in FILTERS.items():
+    query(_name, f"WITH {CORPUS} SELECT doc_id, filename FROM corpus WHERE {_where}")(_filtered(_filters, *_now))
 
 LABELS = "l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id)"
 
@@ -329,11 +329,11 @@ def corpus_stats(spark, sf):
     return table(spark, sf, "documents").select(F.size(fx.analyze(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.round(F.avg("dl"), 6).alias("avgdl"))
 
 
-@query("idf_table", f"WITH {TOKENS}, n AS (SELECT count(*) AS n FROM t) SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(terms) AS term FROM t) GROUP BY term), n WHERE df >= 5")
+@query("idf_table", f"WITH {TOKENS}, n AS (SELECT count(*) AS n FROM t) SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(terms) AS term FROM t) GROUP BY term), n")
 def idf_table(spark, sf):
     docs = table(spark, sf, "documents")
     n = docs.count()
-    df = docs.select(F.explode(F.array_distinct(fx.analyze(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df")).where("df >= 5")
+    df = docs.select(F.explode(F.array_distinct(fx.analyze(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     return df.withColumn("idf", F.round(F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6))
 
 
@@ -437,9 +437,9 @@ def hybrid_threshold(spark, sf):
     return fused(spark, sf).where(F.col("combined") >= SearchConfig().threshold).select("doc_id", "combined")
 
 
-@query("hybrid_search_live", f"WITH {ARMS}, h AS (SELECT doc_id, filename, bucket, combined, row_number() OVER (PARTITION BY filename ORDER BY combined DESC, doc_id) AS n FROM f JOIN corpus USING (doc_id) WHERE combined >= 0.3) SELECT doc_id, filename, bucket, combined FROM h WHERE n = 1 ORDER BY combined DESC, bucket, filename LIMIT 10")
+@query("hybrid_search_live", f"WITH {ARMS}, h AS (SELECT doc_id, filename, bucket, combined, row_number() OVER (PARTITION BY filename ORDER BY combined DESC, doc_id) AS n FROM f JOIN corpus USING (doc_id) WHERE combined >= 0.45) SELECT doc_id, filename, bucket, combined FROM h WHERE n = 1 ORDER BY combined DESC, bucket, filename LIMIT 10")
 def hybrid_search_live(spark, sf):
-    few = fused(spark, sf).where("combined >= 0.3")
+    few = fused(spark, sf).where(F.col("combined") >= SearchConfig().threshold)
     hits = results.worker_dedup(chunks(spark, sf).join(F.broadcast(few), "doc_id"))
     return hits.orderBy(F.desc("combined"), "bucket", "filename").limit(10).select("doc_id", "filename", "bucket", "combined")
 
@@ -630,6 +630,18 @@ def dlq_permanent(spark, sf):
     return dead_letters.transition(letters(spark, sf)).where("action = 'permanent'").agg(F.count("*").alias("n"))
 
 
+@query("dlq_chain", f"WITH {LETTERS} SELECT event_id, CASE WHEN bad THEN 'skip' ELSE 'permanent' END AS ended, CAST(CASE WHEN bad OR blank THEN 0 ELSE greatest(3 - c, 0) END AS INTEGER) AS retries FROM m")
+def dlq_chain(spark, sf):
+    """Letters whose payloads fail again each time they are resent, until no attempt is left."""
+    state = letters(spark, sf).withColumn("retries", F.lit(0))
+    for _ in range(4):
+        moved = dead_letters.transition(state)
+        again = dead_letters.envelope(F.col("letter.original_payload"), F.col("letter.error"), F.col("letter.bucket"), F.col("letter.key"), F.col("letter.failed_at"), F.col("next_count"))
+        resent = F.col("action") == "retry"
+        state = moved.select("event_id", F.when(resent, again).otherwise(F.col("value")).alias("value"), (F.col("retries") + resent.cast("int")).alias("retries"))
+    return dead_letters.transition(state).select("event_id", F.col("action").alias("ended"), "retries")
+
+
 @query("dlq_backoff_schedule", "SELECT i, s FROM (VALUES (0, 60), (1, 300), (2, 900), (3, 900), (9, 900)) AS t(i, s)")
 def dlq_backoff_schedule(spark, sf):
     return spark.createDataFrame([(i,) for i in (0, 1, 2, 3, 9)], "i int").select("i", dead_letters.backoff(F.col("i")).alias("s"))
@@ -753,10 +765,28 @@ def percent_format(spark, sf):
     return table(spark, sf, "documents").select("doc_id", fx.percent(F.col("doc_id") % 1000 / F.lit(1000.0)).alias("shown"))
 
 
+@query("from_millis", "SELECT event_id, strftime(epoch_ms(event_id * 86400123), '%Y-%m-%d %H:%M:%S') AS shown FROM events")
+def from_millis(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.date_format(fx.from_millis(F.col("event_id") * 86400123), "yyyy-MM-dd HH:mm:ss").alias("shown"))
+
+
+@query("short_date", "SELECT event_id, strftime(ts, '%b %-d, %Y') AS shown FROM events")
+def short_date(spark, sf):
+    return table(spark, sf, "events").select("event_id", fx.short_date(F.col("ts")).alias("shown"))
+
+
 @query("embed_text")
 def embed_text(spark, sf):
     from siftline.functions.embed import embed
 
+    return table(spark, sf, "documents").select("doc_id", embed(F.col("text")).alias("embedding"))
+
+
+@query("embed_text_legacy")
+def embed_text_legacy(spark, sf):
+    """The legacy service embeds the first 300 characters."""
+    from siftline.functions.embed import embed
+
     return table(spark, sf, "documents").select("doc_id", embed(F.col("text"), most_chars=300).alias("embedding"))
 
 

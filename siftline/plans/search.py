@@ -21,6 +21,7 @@ class SearchResult:
     keywords: list[str]
     filters: list[str]
     meta: dict = field(default_factory=dict)
+    total: DataFrame | None = None  # one row: total, the hits before the limit
 
 
 class SearchEngine:
@@ -30,6 +31,12 @@ class SearchEngine:
         self.chunks, self.vectors, self.config = chunks, vectors, config
         self.spark: SparkSession = chunks.sparkSession
 
+    @classmethod
+    def over(cls, table: DataFrame, config: SearchConfig = SearchConfig()) -> SearchEngine:
+        """An engine over the chunk table: every chunk is a hit of its own until the files are deduplicated."""
+        chunks = table.withColumn("doc_id", F.col("_id"))
+        return cls(chunks, chunks.where("embedding IS NOT NULL").select(F.col("_id").alias("vec_id"), "embedding"), config)
+
     def parse(self, query: str, now: datetime) -> tuple[str, list[str], list[str]]:
         row = parse.parse(self.spark.createDataFrame([(query,)], "query string"), now.year).first()
         return row["intent_text"], list(row["keywords"]), list(row["filters"])
@@ -50,7 +57,7 @@ class SearchEngine:
         order = [F.desc("rerank_score"), F.desc("combined")] if order_by == "rerank" else [F.desc("combined")]
         top = ranked.orderBy(*order, "bucket", "filename", "doc_id").limit(limit)
         top = top.withColumn("summary", F.when(F.col("combined") == F.max("combined").over(results.Window.partitionBy(F.lit(0))), F.trim(F.substring("chunk_text", 1, 200))))
-        return SearchResult(top, intent, keywords, filters, {"limit": limit})
+        return SearchResult(top, intent, keywords, filters, {"limit": limit}, ranked.agg(F.count("*").alias("total")))
 
     def hybrid_hits(self, keywords: list[str], where, query_vector: list[float], use_intent: bool, fields: dict[str, float], limit: int, fuzzy: bool = False) -> DataFrame:
         """One hit per file above the threshold, with combined, semantic_score and keyword_score."""
@@ -77,7 +84,7 @@ class SearchEngine:
         where = predicates.builder_filter(**filters)
         terms = [r for r in self.spark.createDataFrame([(query_text,)], "t string").select(analyze(F.col("t")).alias("w")).first()["w"]]
         fields = {f: b for f, b in retrieve.BUILDER_FIELDS.items() if f in self.chunks.columns}
-        matches = retrieve.keyword_search(self.chunks, list(dict.fromkeys(terms)), fields, where, False, self.config)
+        matches = retrieve.keyword_search(self.chunks, list(dict.fromkeys(terms)), fields, where, True, self.config)
         words = retrieve.top(matches, "bm25", max(size + from_, self.config.knn_k), "doc_id")
         hits = words.withColumn("combined", F.round("bm25", 4))
         if self.vectors is not None and any(query_vector):

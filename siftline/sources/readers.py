@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftline.schema import CHUNK
 
 TOPIC, DEAD_TOPIC = "file-upload-events", "file-upload-events-dlq"
+#: Columns of a message; a resent one also has how often it was tried again.
 MESSAGE = "key string, value string, topic string, partition int, offset long, timestamp timestamp"
 # Types by file suffix (fixed values).
 SUFFIXES = {"pdf": "application/pdf", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation", "txt": "text/plain", "html": "text/html", "csv": "text/csv", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg"}
@@ -26,7 +31,7 @@ def kafka_table(spark: SparkSession, servers: str, topic: str = DEAD_TOPIC) -> D
 
 def file_stream(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
     """Messages as JSON lines in a folder: the same columns without a broker."""
-    reader = spark.readStream.schema(MESSAGE)
+    reader = spark.readStream.schema(MESSAGE + ", retry_count int").option("recursiveFileLookup", "true")
     return (reader.option("maxFilesPerTrigger", most) if most else reader).json(path)
 
 
@@ -38,15 +43,56 @@ def blobs(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return rows.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), "content", F.col("length").alias("size"), F.coalesce(F.element_at(kinds, suffix), F.lit("application/octet-stream")).alias("content_type"))
 
 
+def fetch(records: DataFrame, root: str, key: str = "object_key") -> DataFrame:
+    """records with content and fetch_error of the object root/key, read where the records are; a file that can't be read has an error."""
+    names = records.columns
+    schema = T.StructType([*records.schema, T.StructField("content", T.BinaryType()), T.StructField("fetch_error", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+        for batch in batches:
+            for i, path in enumerate(batch.column(names.index(key)).to_pylist()):
+                content = error = None
+                try:
+                    if ".." in path.split("/"):
+                        raise OSError("a path outside the store")
+                    with store.open_input_stream(f"{base.rstrip('/')}/{path}") as stream:
+                        content = stream.read()
+                except (OSError, pa.ArrowException) as e:
+                    error = type(e).__name__ + ": " + str(e)[:200]
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, pa.array([content], pa.binary()), pa.array([error], pa.string())], names=[*names, "content", "fetch_error"])
+
+    return records.mapInArrow(run, schema)
+
+
+def _files(spark: SparkSession, path: str):
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath, jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    jpath, fs = _files(spark, path)
+    return fs.exists(jpath)
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of a table's whole versions (folders v-<number> whose write was committed), in order."""
+    jpath, fs = _files(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(jpath)] if fs.exists(jpath) else []
+    return sorted(int(n[2:]) for n in names if n.startswith("v-") and n[2:].isdigit() and exists(spark, f"{path}/{n}/_SUCCESS"))
+
+
 def chunk_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CHUNK).parquet(path)
+    """The table's last whole version."""
+    return spark.read.schema(CHUNK).parquet(f"{path}/v-{versions(spark, path)[-1]}")
 
 
 def create_chunk_table(spark: SparkSession, path: str) -> None:
     """An empty table with the declared schema, unless there is one."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath):
-        spark.createDataFrame([], CHUNK).write.parquet(path)
+    if not versions(spark, path):
+        spark.createDataFrame([], CHUNK).write.mode("overwrite").parquet(f"{path}/v-0")
 
 
 def point_get(table: DataFrame, key: str) -> DataFrame:
@@ -54,15 +100,23 @@ def point_get(table: DataFrame, key: str) -> DataFrame:
 
 
 def swap_in(df: DataFrame, path: str) -> None:
-    """Writes beside a table, then takes its place: a single writer's copy-on-write."""
-    spark = df.sparkSession
-    df.write.mode("overwrite").parquet(path + "__next")
-    jvm = spark._jvm.org.apache.hadoop.fs
-    here, after = jvm.Path(path), jvm.Path(path + "__next")
-    fs = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(here, True)
-    fs.rename(after, here)
+    """Writes the next version of a table: a single writer's copy-on-write.
 
-
-def append_json(df: DataFrame, path: str) -> None:
-    df.write.mode("append").json(path)
+    A version counts once its write is committed, so a crash at any point leaves a whole table. The version
+    before stays for readers that still use it; older ones go.
+    """
+    spark = df.sparkSession
+    now = versions(spark, path)
+    after = now[-1] + 1 if now else 0
+    df.write.mode("overwrite").parquet(f"{path}/v-{after}")
+    for old in now[:-1]:
+        jpath, fs = _files(spark, f"{path}/v-{old}")
+        fs.delete(jpath, True)
+
+
+def append_json(df: DataFrame, path: str, batch: str | None = None) -> None:
+    """Adds rows to a topic's folder; those of a named batch are written once, however often the batch is repeated."""
+    if batch is None:
+        df.write.mode("append").json(path)
+    elif not exists(df.sparkSession, f"{path}/batch={batch}/_SUCCESS"):
+        df.write.mode("overwrite").json(f"{path}/batch={batch}")

@@ -2,51 +2,96 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from siftline.config import IngestConfig, RetryPolicy
-from siftline.operators import dead_letters, ingest
-from siftline.sources.readers import append_json, chunk_table, create_chunk_table, swap_in
+from siftline.functions.embed import embed
+from siftline.operators import chunking, dead_letters, ingest
+from siftline.sources.readers import append_json, chunk_table, create_chunk_table, fetch, swap_in
+
+FACTS = ["object_key", "bucket", "filename", "extension", "download_url"]
+
+
+def _stamp(at: Column) -> Column:
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ssXXX")
+
+
+def chunk_rows(files: DataFrame, config: IngestConfig = IngestConfig()) -> DataFrame:
+    """Chunk rows of files (facts, mime, size, text): texts cut and embedded. A text too short for a chunk gives none."""
+    cut = chunking.explode_chunks(files, "text", config.chunk_size, config.chunk_overlap, config.min_chunk)
+    return cut.select(
+        ingest.chunk_key(F.col("object_key"), F.col("chunk_index")).alias("_id"), *FACTS, F.col("mime").alias("mime_type"), F.col("size").alias("size_bytes"), "chunk_index", "chunk_total", "chunk_text",
+        embed(F.col("chunk_text")).cast("array<float>").alias("embedding"), F.col("filename").alias("title"), F.col("timestamp").alias("uploaded_at"), F.current_timestamp().alias("indexed_at"), F.lit("ok").alias("ingestion_status"),
+    )
+
 
+def apply_batch(messages: DataFrame, table_path: str, dead_path: str, config: IngestConfig = IngestConfig(), store: str | None = None, batch: str | None = None) -> None:
+    """One micro-batch: deletes and upserts into the chunk table; bad messages, oversized and failed files to the dead letters, with the count of their retries.
 
-def apply_batch(messages: DataFrame, table_path: str, dead_path: str, config: IngestConfig = IngestConfig()) -> None:
-    """One micro-batch: upserts and deletes into the chunk table, bad messages and oversized files to the dead letters."""
+    store: the folder of buckets that the events speak of. Its files are fetched, extracted, cut into chunks
+    and embedded; a file's new chunks replace all its old ones, and files without text leave none. Without a
+    store a file's facts are one row. batch: a name that a repeated micro-batch has again; its letters are
+    written once.
+    """
     spark = messages.sparkSession
+    if "retry_count" not in messages.columns:
+        messages = messages.withColumn("retry_count", F.lit(0))
     decoded = ingest.decode_events(messages)
-    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    bad = decoded.where("NOT ok").select(dead_letters.envelope(F.col("value"), F.lit("JSONDecodeError"), F.lit(""), F.lit(""), now).alias("value"))
+    now = _stamp(F.current_timestamp())
+    letter = lambda error: dead_letters.envelope(F.col("value"), error, F.col("bucket"), F.col("key"), now, F.col("retry_count")).alias("value")
+    bad = decoded.where("NOT ok").withColumn("bucket", F.lit("")).withColumn("key", F.lit("")).select(letter(F.lit("JSONDecodeError")))
     records = ingest.derive(ingest.explode_records(decoded), config).withColumn("branch", ingest.size_branch(F.col("size"), config))
-    large = records.where("action = 'ingest' AND branch = 'too_large'").select(dead_letters.envelope(F.col("value"), F.lit("file too large"), F.col("bucket"), F.col("key"), now).alias("value"))
+    large = records.where("action = 'ingest' AND branch = 'too_large'").select(letter(F.lit("file too large")))
     letters = bad.unionByName(large)
-    if not letters.isEmpty():
-        append_json(letters, dead_path)
     # the last event of an object decides
-    last = records.where("action <> 'skip' AND branch = 'ok'").groupBy("object_key").agg(F.max_by(F.struct("action", "bucket", "filename", "extension", "content_type", "download_url", "size"), F.struct("timestamp", "offset")).alias("e")).select("object_key", "e.*")
+    facts = ["action", *[c for c in FACTS if c != "object_key"], "content_type", "size", "key", "value", "retry_count", "timestamp"]
+    last = records.where("action <> 'skip' AND branch = 'ok'").groupBy("object_key").agg(F.max_by(F.struct(*facts), F.struct("timestamp", "offset")).alias("e")).select("object_key", "e.*")
+    created = last.where("action = 'ingest'")
+    gone = last.where("action = 'delete'").select("object_key")
+    if store is None:
+        fresh = created.select(
+            ingest.chunk_key(F.col("object_key"), F.lit(0)).alias("_id"), *FACTS, F.col("content_type").alias("mime_type"), F.col("size").alias("size_bytes"),
+            F.lit(0).alias("chunk_index"), F.lit(1).alias("chunk_total"), F.lit("ok").alias("ingestion_status"),
+        )
+    else:
+        read = fetch(created, store).withColumn("mime", ingest.detect_mime(F.col("content"), F.col("content_type")))
+        read = read.withColumn("r", ingest.extract(F.col("content"), F.col("mime"))).withColumn("failed", F.coalesce("fetch_error", "r.error")).withColumn("text", F.col("r.text")).drop("content", "r").cache()
+        letters = letters.unionByName(read.where("failed IS NOT NULL").select(letter(F.col("failed"))))
+        files = read.where("failed IS NULL")
+        fresh = chunk_rows(files.where("trim(text) <> ''"), config)
+        gone = gone.union(files.where("trim(text) = ''").select("object_key"))
+    if not letters.isEmpty():
+        append_json(letters, dead_path, batch)
     create_chunk_table(spark, table_path)
-    table = chunk_table(spark, table_path)
-    kept = ingest.delete_by_key(table, last.where("action = 'delete'"))
-    fresh = last.where("action = 'ingest'").select(
-        ingest.chunk_key(F.col("object_key"), F.lit(0)).alias("_id"), "object_key", "bucket", "filename", "extension", F.col("content_type").alias("mime_type"), "download_url",
-        F.col("size").alias("size_bytes"), F.lit(0).alias("chunk_index"), F.lit(1).alias("chunk_total"), F.lit("ok").alias("ingestion_status"),
-    )
-    swap_in(ingest.upsert(kept, fresh), table_path)
+    kept = ingest.delete_by_key(chunk_table(spark, table_path), gone)
+    swap_in(ingest.upsert(kept, fresh, replace_file=None if store is None else "object_key"), table_path)
+    if store is not None:
+        read.unpersist()
 
 
-def start(messages: DataFrame, table_path: str, dead_path: str, checkpoint: str, config: IngestConfig = IngestConfig()) -> StreamingQuery:
+def start(messages: DataFrame, table_path: str, dead_path: str, checkpoint: str, config: IngestConfig = IngestConfig(), store: str | None = None) -> StreamingQuery:
     """Runs until the source is drained; offsets move only after a batch is in, and repeating a batch changes nothing."""
-    return messages.writeStream.foreachBatch(lambda df, _: apply_batch(df, table_path, dead_path, config)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return messages.writeStream.foreachBatch(lambda df, n: apply_batch(df, table_path, dead_path, config, store, f"ingest-{n}")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
 
+def retry_batch(letters: DataFrame, main_path: str, dead_path: str, permanent_path: str, policy: RetryPolicy = RetryPolicy(), now: datetime | None = None, batch: str | None = None) -> None:
+    """One micro-batch of dead letters: payloads whose wait is over go back to the main topic with their count, spent ones to the permanent log.
 
-def retry_batch(letters: DataFrame, main_path: str, dead_path: str, permanent_path: str, policy: RetryPolicy = RetryPolicy()) -> None:
-    """One micro-batch of dead letters: payloads due go back to the main topic with their count carried, spent ones to the permanent log."""
-    moved = dead_letters.transition(letters, policy=policy)
-    spent = moved.where("action = 'permanent'").select(F.to_json(F.struct("letter.*", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("logged_at"))).alias("value"))
-    again = moved.where("action = 'retry'")
-    append_json(again.select(F.col("letter.original_payload").alias("value"), F.col("next_count").alias("retry_count")), main_path)
-    append_json(spent, permanent_path)
+    Letters that are not due yet go back to the dead letters as they are; a letter whose time can't be read is due.
+    """
+    at = F.current_timestamp() if now is None else F.lit(now)
+    moved = dead_letters.transition(letters, policy=policy).withColumn("due_at", dead_letters.due_at(F.col("letter.failed_at")))
+    early = (F.col("action") == "retry") & F.coalesce(F.col("due_at") > at, F.lit(False))
+    spent = moved.where("action = 'permanent'").select(F.to_json(F.struct("letter.*", _stamp(at).alias("logged_at"))).alias("value"))
+    again = moved.where((F.col("action") == "retry") & ~early).select(F.col("letter.original_payload").alias("value"), F.col("next_count").alias("retry_count"), at.alias("timestamp"))
+    append_json(again, main_path, batch)
+    append_json(spent, permanent_path, batch)
+    append_json(moved.where(early).select("value"), dead_path, batch)
 
 
-def start_retry(letters: DataFrame, main_path: str, dead_path: str, permanent_path: str, checkpoint: str, policy: RetryPolicy = RetryPolicy()) -> StreamingQuery:
-    return letters.writeStream.foreachBatch(lambda df, _: retry_batch(df, main_path, dead_path, permanent_path, policy)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def start_retry(letters: DataFrame, main_path: str, dead_path: str, permanent_path: str, checkpoint: str, policy: RetryPolicy = RetryPolicy(), now: datetime | None = None) -> StreamingQuery:
+    return letters.writeStream.foreachBatch(lambda df, n: retry_batch(df, main_path, dead_path, permanent_path, policy, now, f"retry-{n}")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

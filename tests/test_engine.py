@@ -1,7 +1,7 @@
 """Contracts of the engine's operators on literal rows."""
 
 import random
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -170,3 +170,76 @@ def test_engine_end_to_end(spark):
     assert len(page.collect()) == 2 and facets["extension"].first().key == "pdf" and size.first().total_size == 40
     assert [r.filename for r in engine.suggest("F").collect()] == ["f0.pdf", "f1.pdf", "f2.pdf"]
     assert retrieve.clamp_limit("x") == SearchConfig().default_limit
+
+
+def record(name, key, size=10, kind="application/octet-stream"):
+    return f'{{"Records":[{{"eventName":"s3:{name}","s3":{{"bucket":{{"name":"u"}},"object":{{"key":"{key}","size":{size},"contentType":"{kind}"}}}}}}]}}'
+
+
+def messages(spark, values, start=0):
+    return spark.createDataFrame([(str(i), v, "t", 0, start + i, datetime(2024, 1, 1, 0, 0, start + i)) for i, v in enumerate(values)], readers.MESSAGE)
+
+
+def test_files_are_found_by_their_sentences(spark, tmp_path):
+    store = tmp_path / "store" / "u" / "reports"
+    store.mkdir(parents=True)
+    sentence = "The lighthouse keeper counted seventeen pelicans before breakfast."
+    (store / "birds.html").write_text("<html><head><style>x</style></head><body><p>" + sentence + "</p>" + "<p>Filler about tides and harbours.</p>" * 60 + "</body></html>")
+    (store / "engine.txt").write_text("Gearbox oil is changed every ninety days. " * 30)
+    (store / "blank.txt").write_text("   \n ")
+    (store / "scan.pdf").write_bytes(b"%PDF-1.7 no text here")
+    kinds = {"birds.html": "text/html", "engine.txt": "text/plain", "blank.txt": "text/plain", "scan.pdf": "application/pdf", "missing.txt": "text/plain"}
+    messages(spark, [record("ObjectCreated:Put", f"reports/{n}", kind=k) for n, k in kinds.items()]).write.json(f"{tmp_path}/in")
+    for _ in range(2):  # the second run has nothing to do
+        query = ingestion.start(readers.file_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/table", f"{tmp_path}/dead", f"{tmp_path}/ck", store=f"{tmp_path}/store")
+        query.awaitTermination(120)
+        assert query.exception() is None
+    table = readers.chunk_table(spark, f"{tmp_path}/table")
+    rows = table.collect()
+    assert {r.filename for r in rows} == {"birds.html", "engine.txt"} and all(len(r.embedding) == 64 and r.chunk_total > 1 for r in rows)
+    errors = sorted(r.key for r in spark.read.json(spark.read.option("recursiveFileLookup", "true").json(f"{tmp_path}/dead").rdd.map(lambda r: r.value)).collect())
+    assert errors == ["reports/missing.txt", "reports/scan.pdf"]
+    found = SearchEngine.over(table).search("lighthouse keeper counted seventeen pelicans", limit=3, now=datetime(2024, 2, 1))
+    hits = found.hits.collect()
+    assert hits[0].filename == "birds.html" and "pelicans" in hits[0].chunk_text and found.total.first().total >= 1
+    # a shorter text leaves no old chunk behind, a blank one none at all
+    (store / "engine.txt").write_text("Gearbox oil is changed every ninety days.")
+    (store / "birds.html").write_text("<p> </p>")
+    ingestion.apply_batch(messages(spark, [record("ObjectCreated:Put", f"reports/{n}", kind=kinds[n]) for n in ("engine.txt", "birds.html")], 10), f"{tmp_path}/table", f"{tmp_path}/dead", store=f"{tmp_path}/store")
+    assert [(r.filename, r.chunk_total) for r in readers.chunk_table(spark, f"{tmp_path}/table").collect()] == [("engine.txt", 1)]
+
+
+def test_retries_wait_and_end(spark, tmp_path):
+    """A payload that always fails is resent after 60, 300 and 900 seconds and then kept as permanent."""
+    payload = record("ObjectCreated:Put", "gone.txt", kind="text/plain")
+    text = lambda where: spark.read.option("recursiveFileLookup", "true").schema(readers.MESSAGE + ", retry_count int").json(f"{tmp_path}/{where}")
+    sent = messages(spark, [payload])
+    for count, wait in ((0, 60), (1, 300), (2, 900)):
+        ingestion.apply_batch(sent, f"{tmp_path}/table", f"{tmp_path}/dead{count}", store=f"{tmp_path}/store", batch="ingest-0")
+        ingestion.apply_batch(sent, f"{tmp_path}/table", f"{tmp_path}/dead{count}", store=f"{tmp_path}/store", batch="ingest-0")
+        letters = text(f"dead{count}").select("value")
+        assert letters.count() == 1
+        failed = dead_letters.transition(letters).select(F.col("letter.failed_at").cast("timestamp").alias("t"), "retry_count").first()
+        assert failed.retry_count == count
+        late = lambda s: failed.t.replace(tzinfo=None) + timedelta(seconds=s)  # noqa: B023, E731
+        ingestion.retry_batch(letters, f"{tmp_path}/early{count}", f"{tmp_path}/back{count}", f"{tmp_path}/never", now=late(wait - 1))
+        assert text(f"early{count}").count() == 0 and [r.value for r in text(f"back{count}").collect()] == [r.value for r in letters.collect()]
+        ingestion.retry_batch(letters, f"{tmp_path}/main{count}", f"{tmp_path}/dead{count}", f"{tmp_path}/log", now=late(wait))
+        sent = text(f"main{count}")
+        assert [(r.value, r.retry_count) for r in sent.collect()] == [(payload, count + 1)]
+    ingestion.apply_batch(sent, f"{tmp_path}/table", f"{tmp_path}/dead3", store=f"{tmp_path}/store")
+    ingestion.retry_batch(text("dead3").select("value"), f"{tmp_path}/main3", f"{tmp_path}/dead3", f"{tmp_path}/log", now=datetime(2099, 1, 1))
+    assert text("main3").count() == 0 and [r.retry_count for r in spark.read.json(text("log").rdd.map(lambda r: r.value)).collect()] == [3]
+
+
+def test_upsert_takes_one_row_of_a_key_and_versions_survive(spark, tmp_path):
+    old = spark.createDataFrame([("a", 1, "x")], "_id string, size_bytes long, author string")
+    new = spark.createDataFrame([("a", 2, "y"), ("a", 3, None), ("b", 1, "z"), (None, 9, "n")], "_id string, size_bytes long, author string")
+    assert sorted(map(tuple, ingest.upsert(old, new).collect())) == [("a", 3, "x"), ("b", 1, "z")]
+    assert sorted(map(tuple, ingest.upsert(old, new, order=-F.col("size_bytes")).collect())) == [("a", 2, "y"), ("b", 1, "z")]
+    path = f"{tmp_path}/t"
+    readers.create_chunk_table(spark, path)
+    for _ in range(3):
+        readers.swap_in(readers.chunk_table(spark, path), path)
+    (tmp_path / "t" / "v-9").mkdir()  # a write that was never committed
+    assert readers.versions(spark, path) == [2, 3] and readers.chunk_table(spark, path).count() == 0
