@@ -89,7 +89,7 @@ BATCH_BYTES = 6 << 20
 def bound_batches(spark: SparkSession) -> None:
     """Bounds Arrow batches of this session by bytes: 10,000 rows of long texts would take hundreds of MB on both sides."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(name, "-1")
+    now = spark.conf.get(name).lower().rstrip("b")
     if not now.isdigit() or int(now) > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
 
