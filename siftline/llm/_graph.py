@@ -13,8 +13,8 @@ from siftline.llm._common import SMALL_SLICE, among, drop_out, mix, slices, text
 
 #: Edges that a task of a star step takes.
 EDGES_PER_TASK = 200_000
-#: Centres per bucket of the second round of comparisons.
-CENTRES = 4
+#: Further rounds of comparisons with a centre, after the first.
+ROUNDS = 2
 #: Rows of a bucket from which on it is split by size.
 SMALL = 16
 #: Frequent tokens that come last in the order of a prefix filter, and how many of a slice of texts are looked at for them.
@@ -80,9 +80,9 @@ def linked_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFram
     """Components (id, root) of all verified links between ids that share a bucket (key, id, size, n), without all pairs of a bucket.
 
     Similar ids must not differ in size by more than 1 / least: wide buckets are split by size class. Each
-    round compares the members of every bucket that still spans several components with a few centres of
-    the bucket: the least id, then the least ids under `CENTRES` further salts. Buckets inside one
-    component need no more. Small buckets that still span several are compared pair by pair, members of
+    round compares the members of every bucket that still spans several components with one centre of the
+    bucket: the least id, then the least ids under `ROUNDS` further salts. Buckets inside one component need
+    no more and leave before the next round. Small buckets that still span several are compared pair by pair, members of
     wide ones by prefix filter: similar ids share `least` of their tokens, so in any one order of all tokens
     they share one of their first 1 - least, with enough tokens behind it on both sides. So no candidate link
     is left out, and no pair is compared twice.
@@ -95,20 +95,20 @@ def linked_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFram
     """
     spark = buckets.sparkSession
     buckets = write_out(by_size(buckets, 1 / least), f"{name}-buckets")
-    tried = write_out(_centre_pairs(buckets, [0]), f"{name}-pairs")
+    tried = write_out(_centre_pairs(buckets, 0), f"{name}-pairs")
     links = write_out(verify(tried), f"{name}-links")
     roots = components(links)
     used = [buckets, tried, links]
-    for salts in (range(1, 1 + CENTRES), None):
+    for turn in range(1, ROUNDS + 2):
         rows = buckets.join(roots.withColumnRenamed("id", "known"), F.col("id") == F.col("known"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
         spans = rows.groupBy(F.col("key").alias("open")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("open", "n")
         rows = write_out(rows.join(spans, F.col("key") == F.col("open")).select("key", "id", "root", "n"), f"{name}-open")
-        if salts is None:
+        if turn > ROUNDS:
             small = rows.where(F.col("n") <= SMALL).select("key", "id", "root")
             wide = rows.where(F.col("n") > SMALL).select("id", "root").distinct()
             pairs = _cross_pairs(small).union(_prefix_pairs(wide, prefix, name, least, jaccard)).distinct()
         else:
-            pairs = _centre_pairs(rows, [((s * 0x9E3779B97F4A7C15) & 0x7FFFFFFFFFFFFFFF) for s in salts])
+            pairs = _centre_pairs(rows, (turn * 0x9E3779B97F4A7C15) & 0x7FFFFFFFFFFFFFFF)
         pairs = write_out(pairs.join(tried, ["a", "b"], "left_anti"), f"{name}-pairs")
         drop_out(spark, rows)
         if pairs.isEmpty():
@@ -146,12 +146,12 @@ def _prefix_pairs(members: DataFrame, prefix: Callable[[DataFrame], DataFrame],
     return near.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
 
 
-def _centre_pairs(rows: DataFrame, salts: list[int]) -> DataFrame:
-    """Pairs (a, b) of members and their buckets' centres, one centre for each salt."""
-    least = [F.min(F.col("id").bitwiseXOR(F.lit(s))).bitwiseXOR(F.lit(s)).alias(f"c{j}") for j, s in enumerate(salts)]
-    centres = rows.groupBy(F.col("key").alias("at_key")).agg(*least)
-    pairs = rows.join(centres, F.col("key") == F.col("at_key")).select("id", F.explode(F.array_distinct(F.array(*[f"c{j}" for j in range(len(salts))]))).alias("c"))
-    return pairs.where(F.col("id") != F.col("c")).select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
+def _centre_pairs(rows: DataFrame, salt: int) -> DataFrame:
+    """Pairs (a, b) of members and their buckets' centres: the least ids under the salt."""
+    centre = F.min(F.col("id").bitwiseXOR(F.lit(salt))).bitwiseXOR(F.lit(salt)).alias("c")
+    centres = rows.groupBy(F.col("key").alias("at_key")).agg(centre)
+    pairs = rows.join(centres, (F.col("key") == F.col("at_key")) & (F.col("id") != F.col("c")))
+    return pairs.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
 
 
 def frequent_tokens(texts: DataFrame, tokens: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
