@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm._common import SMALL_SLICE, among, drop_out, mix, slices, text_array, trimmed, write_out
@@ -18,8 +18,8 @@ ROUNDS = 2
 #: Rows of a bucket from which on it is split by size.
 SMALL = 16
 #: Frequent tokens that come last in the order of a prefix filter, and how many of a slice of texts are looked at for them.
-COMMON = 16_384
-COMMON_OF_SLICE = 1_024
+COMMON = 65_536
+COMMON_OF_SLICE = 4_096
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -76,22 +76,22 @@ def by_size(buckets: DataFrame, ratio: float, small: int = SMALL) -> DataFrame:
     return buckets.select(F.explode(key).alias("key"), "id").distinct()
 
 
-def linked_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], prefix: Callable[[DataFrame], DataFrame], name: str, least: float, jaccard: bool = True) -> DataFrame:
+def linked_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], prefix: Callable[[DataFrame], DataFrame], name: str, least: float, need: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Components (id, root) of all verified links between ids that share a bucket (key, id, size, n), without all pairs of a bucket.
 
     Similar ids must not differ in size by more than 1 / least: wide buckets are split by size class. Each
     round compares the members of every bucket that still spans several components with one centre of the
     bucket: the least id, then the least ids under `ROUNDS` further salts. Buckets inside one component need
     no more and leave before the next round. Small buckets that still span several are compared pair by pair, members of
-    wide ones by prefix filter: similar ids share `least` of their tokens, so in any one order of all tokens
-    they share one of their first 1 - least, with enough tokens behind it on both sides. So no candidate link
-    is left out, and no pair is compared twice.
+    wide ones by prefix filter: similar ids have so many tokens in common that in any one order of all tokens
+    they share one of their first ones, with enough tokens behind it on both sides. So no candidate link is
+    left out, and no pair is compared twice.
 
     prefix: for a table of ids, (id, token, place, all) of the first tokens of each text, in an order that is
     the same for all texts and has frequent tokens last; place counts from 1, all is the number of the text's
-    tokens, and places go to floor((1 - least) * all) + 1. Different elements of one text are different
-    tokens. jaccard: similar means a Jaccard similarity of `least`, else that `least` of the larger text's
-    tokens are common.
+    tokens, and places go to one more than the tokens that the smaller of two similar texts may lack. Different
+    elements of one text are different tokens. need: the tokens that similar texts of so many tokens have in
+    common at least; by default those of a Jaccard similarity of `least`.
     """
     spark = buckets.sparkSession
     buckets = write_out(by_size(buckets, 1 / least), f"{name}-buckets")
@@ -106,7 +106,7 @@ def linked_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFram
         if turn > ROUNDS:
             small = rows.where(F.col("n") <= SMALL).select("key", "id", "root")
             wide = rows.where(F.col("n") > SMALL).select("id", "root").distinct()
-            pairs = _cross_pairs(small).union(_prefix_pairs(wide, prefix, name, least, jaccard)).distinct()
+            pairs = _cross_pairs(small).union(_prefix_pairs(wide, prefix, name, need or (lambda n, m: least / (1 + least) * (n + m)))).distinct()
         else:
             pairs = _centre_pairs(rows, (turn * 0x9E3779B97F4A7C15) & 0x7FFFFFFFFFFFFFFF)
         pairs = write_out(pairs.join(tried, ["a", "b"], "left_anti"), f"{name}-pairs")
@@ -131,7 +131,7 @@ def _cross_pairs(rows: DataFrame) -> DataFrame:
     return rows.join(other, (F.col("key") == F.col("k2")) & (F.col("root") < F.col("root2"))).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
 
 
-def _prefix_pairs(members: DataFrame, prefix: Callable[[DataFrame], DataFrame], name: str, least: float, jaccard: bool) -> DataFrame:
+def _prefix_pairs(members: DataFrame, prefix: Callable[[DataFrame], DataFrame], name: str, need: Callable[[Column, Column], Column]) -> DataFrame:
     """Pairs of members (id, root) of two components that share one of their first tokens and can still have enough in common behind it."""
     members = write_out(members, f"{name}-wide")
     first = prefix(members.select("id"))
@@ -140,9 +140,8 @@ def _prefix_pairs(members: DataFrame, prefix: Callable[[DataFrame], DataFrame],
     spans = first.groupBy(F.col("token").alias("t")).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("t")
     first = first.join(spans, F.col("token") == F.col("t"), "left_semi")
     other = first.select(*[F.col(c).alias(f"{c}2") for c in first.columns])
-    need = least / (1 + least) * (F.col("all") + F.col("all2")) if jaccard else least * F.greatest("all", "all2")
     behind = 1 + F.least(F.col("all") - F.col("place"), F.col("all2") - F.col("place2"))
-    near = first.join(other, (F.col("token") == F.col("token2")) & (F.col("root") < F.col("root2")) & (behind >= need - 1e-6))
+    near = first.join(other, (F.col("token") == F.col("token2")) & (F.col("root") < F.col("root2")) & (behind >= need(F.col("all"), F.col("all2")) - 1e-6))
     return near.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
 
 
@@ -169,10 +168,11 @@ def frequent_tokens(texts: DataFrame, tokens: Callable[[pa.Array], tuple[np.ndar
     return np.array([r["token"] for r in reversed(rows)], np.int64).view(np.uint64)
 
 
-def first_tokens(texts: DataFrame, tokens: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], least: float) -> DataFrame:
+def first_tokens(texts: DataFrame, tokens: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], spare: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """(id, token, place, all) of the first tokens of texts (id, text) as `linked_components` takes them: by hash, frequent tokens last.
 
-    tokens: for an array of texts, their tokens as (values, offsets); equal ones of a text count once.
+    tokens: for an array of texts, their tokens as (values, offsets); equal ones of a text count once. spare: how
+    many of so many tokens a similar text of no more tokens may lack.
     """
     common = frequent_tokens(texts, tokens)
     by_value = np.argsort(common)
@@ -193,7 +193,7 @@ def first_tokens(texts: DataFrame, tokens: Callable[[pa.Array], tuple[np.ndarray
             values, text = values[fresh], text[fresh]
             all_ = np.bincount(text, minlength=len(offsets) - 1)
             place = np.arange(len(values)) - np.repeat(np.cumsum(all_) - all_, all_) + 1
-            first = place <= np.floor((1 - least) * all_ + 1e-9)[text] + 1
+            first = place <= spare(all_)[text] + 1
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             out = [pa.array(ids[text[first]], pa.int64()), pa.array(values[first].view(np.int64)), pa.array(place[first], pa.int32()), pa.array(all_[text[first]], pa.int32())]
             yield pa.RecordBatch.from_arrays(out, names=["id", "token", "place", "all"])

@@ -212,10 +212,11 @@ def align_pairs(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -
     return rows.mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
-def word_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The words of texts, the nth occurrence of a word being a token of its own."""
+def pair_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of neighbouring words of texts, the nth occurrence of a pair being a token of its own."""
     codes, offsets, distinct = lower_words(texts)
-    return labelled_runs(hashes_of(distinct)[codes], offsets), offsets
+    values, at = shingles(hashes_of(distinct)[codes], offsets, 2)
+    return labelled_runs(values, at), at
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, sketches: int = SKETCHES) -> DataFrame:
@@ -229,7 +230,10 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, sketches: int =
     wanted = write_out(buckets.select(F.col("id").alias("wanted")).distinct(), "near-wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     texts = write_out(among(texts, "id", wanted, "wanted"), "near-texts")
-    roots = linked_components(buckets, lambda pairs: align_pairs(pairs, texts, least), lambda ids: first_tokens(texts.join(ids, "id", "left_semi"), word_tokens, least), "near", least, jaccard=False)
+    # an edit changes two pairs of neighbours at most, so of n pairs (n + 1 words) 2 * edits may be missing
+    spare = lambda n: 2 * np.floor((1 - least) * (n + 1) + 1e-9)
+    need = lambda n, m: F.greatest(n, m) - 2 * F.floor((1 - least) * (F.greatest(n, m) + 1) + 1e-9)
+    roots = linked_components(buckets, lambda pairs: align_pairs(pairs, texts, least), lambda ids: first_tokens(texts.join(ids, "id", "left_semi"), pair_tokens, spare), "near", least, need)
     drop_out(spark, keyed, buckets, wanted, texts)
     same = marked.select("doc_id", "h1", "h2").join(first.withColumnsRenamed({"h1": "g1", "h2": "g2"}), (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left").select("doc_id", "first")
     out = same.join(roots.withColumnRenamed("id", "known"), F.col("first") == F.col("known"), "left")

@@ -106,3 +106,28 @@ def test_one_row_of_each_class(spark):
     assert got.columns == docs.columns
     assert sorted(tuple(r)[2] for r in got.collect()) == [2, 4, 5, 6, 7]
     assert m.keep_one_of_each(docs.limit(0)).collect() == []
+
+
+def test_first_pairs_of_similar_texts_meet(spark):
+    """Similar texts in one wide bucket share one of their first word pairs, whatever is frequent."""
+    rng = random.Random(31)
+    word = lambda: rng.choice("abcdefgh") + rng.choice("aeiou") + rng.choice("rst")
+    texts = []
+    for _ in range(60):
+        a = [word() for _ in range(rng.randrange(5, 90))]
+        b = list(a)
+        for _ in range(int(0.2 * len(a))):
+            at = rng.randrange(len(b))
+            b[at : at + 1] = rng.choice([[], [word()], [word()]])
+        assert m.similar(a, b, 0.8)
+        texts += [a, b]
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id long, text string")
+    spare = lambda n: 2 * np.floor(0.2 * (n + 1) + 1e-9)
+    first = {}
+    for r in m.first_tokens(rows, m.pair_tokens, spare).collect():
+        first.setdefault(r.id, {})[r.token] = r
+    for i in range(0, len(texts), 2):
+        shared = first[i].keys() & first[i + 1].keys()
+        need = lambda n: n - 2 * int(0.2 * (n + 1) + 1e-9)
+        fit = [t for t in shared if 1 + min(first[k][t]["all"] - first[k][t].place for k in (i, i + 1)) >= need(max(first[k][t]["all"] for k in (i, i + 1)))]
+        assert fit or texts[i] == texts[i + 1], i
