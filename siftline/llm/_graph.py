@@ -87,8 +87,8 @@ def linked_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFram
     they share one of their first ones, with enough tokens behind it on both sides. So no candidate link is
     left out, and no pair is compared twice.
 
-    prefix: for a table of ids, (id, token, place, all) of the first tokens of each text, in an order that is
-    the same for all texts and has frequent tokens last; place counts from 1, all is the number of the text's
+    prefix: for a table (id, root), (id, root, token, place, all) of the first tokens of each text, in an order
+    that is the same for all texts and has frequent tokens last; place counts from 1, all is the number of the text's
     tokens, and places go to one more than the tokens that the smaller of two similar texts may lack. Different
     elements of one text are different tokens. need: the tokens that similar texts of so many tokens have in
     common at least; by default those of a Jaccard similarity of `least`.
@@ -133,12 +133,7 @@ def _cross_pairs(rows: DataFrame) -> DataFrame:
 
 def _prefix_pairs(members: DataFrame, prefix: Callable[[DataFrame], DataFrame], name: str, need: Callable[[Column, Column], Column]) -> DataFrame:
     """Pairs of members (id, root) of two components that share one of their first tokens and can still have enough in common behind it."""
-    members = write_out(members, f"{name}-wide")
-    first = prefix(members.select("id"))
-    first = write_out(first.join(members.withColumnRenamed("id", "m"), F.col("id") == F.col("m")).drop("m"), f"{name}-prefix")
-    # only tokens of two components can link anything
-    spans = first.groupBy(F.col("token").alias("t")).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("t")
-    first = first.join(spans, F.col("token") == F.col("t"), "left_semi")
+    first = write_out(prefix(write_out(members, f"{name}-wide")), f"{name}-prefix")
     other = first.select(*[F.col(c).alias(f"{c}2") for c in first.columns])
     behind = 1 + F.least(F.col("all") - F.col("place"), F.col("all2") - F.col("place2"))
     near = first.join(other, (F.col("token") == F.col("token2")) & (F.col("root") < F.col("root2")) & (behind >= need(F.col("all"), F.col("all2")) - 1e-6))
@@ -169,7 +164,7 @@ def frequent_tokens(texts: DataFrame, tokens: Callable[[pa.Array], tuple[np.ndar
 
 
 def first_tokens(texts: DataFrame, tokens: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], spare: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """(id, token, place, all) of the first tokens of texts (id, text) as `linked_components` takes them: by hash, frequent tokens last.
+    """(id, root, token, place, all) of the first tokens of texts (id, text, root) as `linked_components` takes them: by hash, frequent tokens last.
 
     tokens: for an array of texts, their tokens as (values, offsets); equal ones of a text count once. spare: how
     many of so many tokens a similar text of no more tokens may lack.
@@ -194,8 +189,8 @@ def first_tokens(texts: DataFrame, tokens: Callable[[pa.Array], tuple[np.ndarray
             all_ = np.bincount(text, minlength=len(offsets) - 1)
             place = np.arange(len(values)) - np.repeat(np.cumsum(all_) - all_, all_) + 1
             first = place <= spare(all_)[text] + 1
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            out = [pa.array(ids[text[first]], pa.int64()), pa.array(values[first].view(np.int64)), pa.array(place[first], pa.int32()), pa.array(all_[text[first]], pa.int32())]
-            yield pa.RecordBatch.from_arrays(out, names=["id", "token", "place", "all"])
+            ids, roots = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2))
+            out = [pa.array(ids[text[first]], pa.int64()), pa.array(roots[text[first]], pa.int64()), pa.array(values[first].view(np.int64)), pa.array(place[first], pa.int32()), pa.array(all_[text[first]], pa.int32())]
+            yield pa.RecordBatch.from_arrays(out, names=["id", "root", "token", "place", "all"])
 
-    return texts.select("id", "text").mapInArrow(trimmed(run), "id long, token long, place int, all int")
+    return texts.select("id", "text", "root").mapInArrow(trimmed(run), "id long, root long, token long, place int, all int")

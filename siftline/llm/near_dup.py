@@ -233,7 +233,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, sketches: int =
     # an edit changes two pairs of neighbours at most, so of n pairs (n + 1 words) 2 * edits may be missing
     spare = lambda n: 2 * np.floor((1 - least) * (n + 1) + 1e-9)
     need = lambda n, m: F.greatest(n, m) - 2 * F.floor((1 - least) * (F.greatest(n, m) + 1) + 1e-9)
-    roots = linked_components(buckets, lambda pairs: align_pairs(pairs, texts, least), lambda ids: first_tokens(texts.join(ids, "id", "left_semi"), pair_tokens, spare), "near", least, need)
+    roots = linked_components(buckets, lambda pairs: align_pairs(pairs, texts, least), lambda members: first_tokens(texts.join(members, "id"), pair_tokens, spare), "near", least, need)
     drop_out(spark, keyed, buckets, wanted, texts)
     same = marked.select("doc_id", "h1", "h2").join(first.withColumnsRenamed({"h1": "g1", "h2": "g2"}), (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left").select("doc_id", "first")
     out = same.join(roots.withColumnRenamed("id", "known"), F.col("first") == F.col("known"), "left")

@@ -250,7 +250,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, bands: int =
     wanted = write_out(buckets.select(F.col("id").alias("wanted")).distinct(), "passage-wanted")
     one = among(paragraphs, "id", wanted, "wanted").groupBy("id").agg(F.min("doc_id").alias("at_doc"), F.min_by("first_word", "doc_id").alias("first_word"), F.min("n_words").alias("n_words"))
     texts = write_out(paragraph_texts(docs, one).groupBy("id").agg(F.first("text").alias("text")), "passage-texts")
-    roots = linked_components(buckets, lambda pairs: similar_paragraphs(pairs, texts, least), lambda ids: first_tokens(texts.join(ids, "id", "left_semi"), shingle_tokens, lambda n: np.floor((1 - least) * n + 1e-9)), "passages", least)
+    roots = linked_components(buckets, lambda pairs: similar_paragraphs(pairs, texts, least), lambda members: first_tokens(texts.join(members, "id"), shingle_tokens, lambda n: np.floor((1 - least) * n + 1e-9)), "passages", least)
     drop_out(spark, buckets, wanted, texts)
     spots = parts.select("kind", "doc_id", "first_word", "n_words", "id")
     named = spots.where("kind = 0").join(roots.withColumnRenamed("id", "known"), F.col("id") == F.col("known"), "left").select("kind", "doc_id", "first_word", "n_words", F.coalesce("root", "id").alias("class"))

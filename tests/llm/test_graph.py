@@ -54,7 +54,7 @@ def test_wide_buckets_lose_no_link(spark, jaccard):
         compared.append(pairs.count())
         return pairs.where(ok("a", "b"))
 
-    got = {r.id: r.root for r in m.linked_components(buckets, verify, lambda ids: prefixes.join(ids, "id", "left_semi"), "test", 0.8, None if jaccard else lambda n, k: 0.8 * F.greatest(n, k)).collect()}
+    got = {r.id: r.root for r in m.linked_components(buckets, verify, lambda members: prefixes.join(members, "id"), "test", 0.8, None if jaccard else lambda n, k: 0.8 * F.greatest(n, k)).collect()}
     want = {i: r for i, r in roots_of(sets, truth).items() if any(i in p for p in truth)}
     assert got == want and len(truth) >= 30
     assert sum(compared) < 150 * 149 / 2 / 3

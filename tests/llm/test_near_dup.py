@@ -121,7 +121,7 @@ def test_first_pairs_of_similar_texts_meet(spark):
             b[at : at + 1] = rng.choice([[], [word()], [word()]])
         assert m.similar(a, b, 0.8)
         texts += [a, b]
-    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id long, text string")
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id long, text string").withColumn("root", m.F.col("id"))
     spare = lambda n: 2 * np.floor(0.2 * (n + 1) + 1e-9)
     first = {}
     for r in m.first_tokens(rows, m.pair_tokens, spare).collect():
