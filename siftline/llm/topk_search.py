@@ -8,7 +8,8 @@ cannot reach the result, and survivors are compacted. Local results merge by a s
 
 Edge cases: vectors that are null, empty or hold null or non-finite components take no part; vectors of
 different lengths are never compared; equal scores rank by smaller id; repeated ids are separate
-candidates, but a query never meets a row of its own id; an empty table gives an empty result.
+candidates, but a query never meets a row of its own id; a query row that is repeated gives one result, an id
+with several vectors one for each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -71,17 +72,18 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = 20, scale: float = SC
     chunks, blocks = max(1, -(-sizes["n"] // CHUNK)), max(1, -(-sizes["q"] // QUERY_BLOCK))
     spread = F.xxhash64("vec_id", "v")
     candidates = whole.select(F.col("vec_id").alias("vec_id"), F.col("v").alias("v"), F.size("v").alias("dims"), F.pmod(spread, F.lit(chunks)).alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    asked = whole.where("is_query").select(F.col("vec_id").alias("query_id"), F.col("v").alias("query"), F.size("v").alias("dims"), F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk"))
+    # rows that repeat a query are one query; an id with two vectors asks twice
+    asked = whole.where("is_query").select("vec_id", "v").distinct().select(F.col("vec_id").alias("query_id"), F.col("v").alias("query"), F.xxhash64("v").alias("query_key"), F.size("v").alias("dims"), F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk"))
 
     def local(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            return pd.DataFrame({"query_id": [], "query_key": [], "vec_id": [], "score": []})
         query_ids, ids = left["query_id"].to_numpy(), right["vec_id"].to_numpy()
         q, c, s = search_chunk(query_ids, np.stack(left["query"].to_numpy()), ids, np.stack(right["v"].to_numpy()), k)
-        return pd.DataFrame({"query_id": query_ids[q], "vec_id": ids[c], "score": np.rint(s).astype(np.int64)})
+        return pd.DataFrame({"query_id": query_ids[q], "query_key": left["query_key"].to_numpy()[q], "vec_id": ids[c], "score": np.rint(s).astype(np.int64)})
 
-    near = asked.groupBy("block", "chunk", "dims").cogroup(candidates.groupBy("block", "chunk", "dims")).applyInPandas(local, "query_id long, vec_id long, score long")
-    best = near.groupBy("query_id").applyInArrow(lambda table: _merge(table, k), "query_id long, rank int, vec_id long, score long")
+    near = asked.groupBy("block", "chunk", "dims").cogroup(candidates.groupBy("block", "chunk", "dims")).applyInPandas(local, "query_id long, query_key long, vec_id long, score long")
+    best = near.groupBy("query_id", "query_key").applyInArrow(lambda table: _merge(table, k), "query_id long, rank int, vec_id long, score long")
     return best
 
 
@@ -102,9 +104,9 @@ WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id,
+  SELECT q.vec_id AS query_id, q.e AS query, c.vec_id,
          CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM (SELECT DISTINCT vec_id, e FROM v WHERE vec_id % 20 = 0) q JOIN v c ON q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id, query ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY rank <= 20
 """

@@ -21,7 +21,7 @@ def test_against_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=20).tolist()) for i in range(300)]
     rows += [(300 + i, rows[3][1]) for i in range(60)]
-    rows += [(400, None), (401, []), (402, [None] * 20), (403, [float("nan")] * 20), (404, [float("inf")] * 20), (420, [1.0, 2.0]), (421, [2.0, 1.0])]
+    rows += [(400, None), (401, []), (402, [None] * 20), (403, [float("nan")] * 20), (404, [float("inf")] * 20), (420, [1.0, 2.0]), (421, [2.0, 1.0]), rows[20], rows[20], (40, rows[7][1])]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, score string")
     got = sorted(tuple(r) for r in m.top_k(df, F.col("vec_id") % 20 == 0).collect())
     assert got == brute(rows, 20)
