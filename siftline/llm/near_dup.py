@@ -34,6 +34,8 @@ WORDS = 3
 SKETCHES = 48
 SHORT = 64
 SIMILARITY = 0.8
+#: Bins of a text's word counts, a byte each.
+BINS = 256
 #: Bits of a run's place beside its hash, and the greatest value.
 PLACE = np.uint64((1 << 24) - 1)
 END = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -177,27 +179,64 @@ def lower_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return words_of(pc.utf8_lower(texts))
 
 
+def profiles_of(words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """(texts x BINS) counts of each text's words by hash, up to 255. An edit takes at most one from a bin and adds one to a bin, so counts bound the edits from below."""
+    n = len(offsets) - 1
+    at = np.repeat(np.arange(n), np.diff(offsets)) * BINS + (mix(words) % np.uint64(BINS)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=n * BINS), 255).astype(np.uint8).reshape(n, BINS)
+
+
+def can_be_similar(a: np.ndarray, b: np.ndarray, longest: np.ndarray, least: float) -> np.ndarray:
+    """Whether texts of these profiles, the longer of each two having `longest` words, may be similar: false only if they can't."""
+    d = a.astype(np.int16) - b
+    more, less = np.maximum(d, 0).sum(1), np.maximum(-d, 0).sum(1)
+    return np.maximum(more, less) <= np.floor((1 - least) * longest + 1e-9)
+
+
 def sketch_documents(docs: DataFrame, sketches: int = SKETCHES, k: int = WORDS, least: float = SIMILARITY) -> DataFrame:
-    """doc_id, h1, h2 (128 bits of the whole text), size (words), keys."""
+    """doc_id, h1, h2 (128 bits of the whole text), size (words), profile (word counts), keys."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=SMALL_SLICE):
             texts = text_array(batch.column(1))
             codes, offsets, distinct = lower_words(texts)
-            keys, at = candidate_keys(hashes_of(distinct)[codes], offsets, sketches, k, least)
+            words = hashes_of(distinct)[codes]
+            keys, at = candidate_keys(words, offsets, sketches, k, least)
+            counts = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(np.arange(batch.num_rows + 1, dtype=np.int32) * BINS), pa.py_buffer(profiles_of(words, offsets))])
             whole = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t) for t in texts.to_pylist()), ">i8").astype(np.int64).reshape(-1, 2)
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole[:, 0]), pa.array(whole[:, 1]), pa.array(np.diff(offsets).astype(np.int32)), lists], names=["doc_id", "h1", "h2", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole[:, 0]), pa.array(whole[:, 1]), pa.array(np.diff(offsets).astype(np.int32)), counts, lists], names=["doc_id", "h1", "h2", "size", "profile", "keys"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), "doc_id long, h1 long, h2 long, size int, profile binary, keys array<long>")
+
+
+def two_sides(pairs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+    """The written pairs (a, b) with the columns of rows (id, ...) for both, as <name>_a and <name>_b; of rows, only those of a side's ids travel."""
+    out = pairs
+    for s in "ab":
+        side = rows.select(F.col("id").alias(f"id_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in columns])
+        side = among(side, f"id_{s}", pairs.select(F.col(s).alias("of")), "of")
+        out = out.join(side, F.col(s) == F.col(f"id_{s}"))
+    return out.select("a", "b", *[f"{c}_{s}" for c in columns for s in "ab"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), "doc_id long, h1 long, h2 long, size int, keys array<long>")
+
+def close_pairs(pairs: DataFrame, profiles: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) of ids whose word counts (id, size, profile) allow them to be similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: B023, E731
+            a, b = (np.frombuffer(b"".join(column(f"profile_{s}").to_pylist()), np.uint8).reshape(-1, BINS) for s in "ab")
+            longest = np.maximum(*(column(f"size_{s}").to_numpy() for s in "ab"))
+            yield batch.select(["a", "b"]).filter(pa.array(can_be_similar(a, b, longest, least)))
+
+    return two_sides(pairs, profiles, "size", "profile").mapInArrow(trimmed(run), "a long, b long")
 
 
 def align_pairs(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) of ids whose texts (id, text) are similar by alignment."""
-    left = texts.select(F.col("id").alias("ida"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("id").alias("idb"), F.col("text").alias("text_b"))
-    rows = pairs.join(left, F.col("a") == F.col("ida")).join(right, F.col("b") == F.col("idb")).select("a", "b", "text_a", "text_b")
+    rows = two_sides(pairs, texts, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text_a", SMALL_SLICE):
@@ -233,8 +272,16 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, sketches: int =
     # an edit changes two pairs of neighbours at most, so of n pairs (n + 1 words) 2 * edits may be missing
     spare = lambda n: 2 * np.floor((1 - least) * (n + 1) + 1e-9)
     need = lambda n, m: F.greatest(n, m) - 2 * F.floor((1 - least) * (F.greatest(n, m) + 1) + 1e-9)
-    roots = linked_components(buckets, lambda pairs: align_pairs(pairs, texts, least), lambda members: first_tokens(texts.join(members, "id"), pair_tokens, spare), "near", least, need)
-    drop_out(spark, keyed, buckets, wanted, texts)
+    profiles = marked.select(F.col("doc_id").alias("id"), "size", "profile").where("id IS NOT NULL")
+    close = []
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        # word counts rule most chance candidates out, so that few texts travel
+        close.append(write_out(close_pairs(pairs, profiles, least), "near-close"))
+        return align_pairs(close[-1], texts, least)
+
+    roots = linked_components(buckets, verify, lambda members: first_tokens(among(texts, "id", members.withColumnRenamed("id", "member"), "member", "inner"), pair_tokens, spare), "near", least, need)
+    drop_out(spark, keyed, buckets, wanted, texts, *close)
     same = marked.select("doc_id", "h1", "h2").join(first.withColumnsRenamed({"h1": "g1", "h2": "g2"}), (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left").select("doc_id", "first")
     out = same.join(roots.withColumnRenamed("id", "known"), F.col("first") == F.col("known"), "left")
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "first")).alias("class_id"))

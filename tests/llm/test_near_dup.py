@@ -131,3 +131,23 @@ def test_first_pairs_of_similar_texts_meet(spark):
         need = lambda n: n - 2 * int(0.2 * (n + 1) + 1e-9)
         fit = [t for t in shared if 1 + min(first[k][t]["all"] - first[k][t].place for k in (i, i + 1)) >= need(max(first[k][t]["all"] for k in (i, i + 1)))]
         assert fit or texts[i] == texts[i + 1], i
+
+
+def test_profiles_pass_every_similar_pair():
+    rng = random.Random(37)
+    sides = [[], []]
+    for i in range(400):
+        n = rng.choice([1, 3, 10, 60, 400, 2000])
+        word = lambda: rng.randrange(rng.choice([3, 50, 100000]))  # noqa: B023, E731
+        a = [word() for _ in range(n)]
+        b = list(a) if i % 4 else [word() for _ in range(n)]
+        for _ in range(int(0.2 * n) if i % 4 else 0):
+            at = rng.randrange(len(b))
+            b[at : at + 1] = rng.choice([[], [word()], [word(), word()]])
+        sides[0].append(a)
+        sides[1].append(b)
+    counts = [m.profiles_of(np.array(sum(s, []), np.uint64), np.cumsum([0] + [len(t) for t in s])) for s in sides]
+    longest = np.array([max(len(a), len(b)) for a, b in zip(*sides, strict=True)])
+    passed = m.can_be_similar(*counts, longest, 0.8)
+    true = np.array([m.similar(a, b, 0.8) for a, b in zip(*sides, strict=True)])
+    assert true.sum() > 100 and not (true & ~passed).any() and (~passed).sum() > 20
