@@ -81,8 +81,9 @@ def linked_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFram
 
     Similar ids must not differ in size by more than 1 / least: wide buckets are split by size class. Each
     round compares the members of every bucket that still spans several components with one centre of the
-    bucket: the least id, then the least ids under `ROUNDS` further salts. Buckets inside one component need
-    no more and leave before the next round. Small buckets that still span several are compared pair by pair, members of
+    bucket: the least id, then the least ids under `ROUNDS` further salts. A centre has then been compared with
+    its whole bucket and leaves it. Buckets whose other members are inside one component need no more and leave
+    before the next round. Small buckets that still span several are compared pair by pair, members of
     wide ones by prefix filter: similar ids have so many tokens in common that in any one order of all tokens
     they share one of their first ones, with enough tokens behind it on both sides. So no candidate link is
     left out, and no pair is compared twice.
@@ -94,32 +95,34 @@ def linked_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFram
     common at least; by default those of a Jaccard similarity of `least`.
     """
     spark = buckets.sparkSession
-    buckets = write_out(by_size(buckets, 1 / least), f"{name}-buckets")
-    tried = write_out(_centre_pairs(buckets, 0), f"{name}-pairs")
-    links = write_out(verify(tried), f"{name}-links")
-    roots = components(links)
-    used = [buckets, tried, links]
-    for turn in range(1, ROUNDS + 2):
-        rows = buckets.join(roots.withColumnRenamed("id", "known"), F.col("id") == F.col("known"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-        spans = rows.groupBy(F.col("key").alias("open")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("open", "n")
-        rows = write_out(rows.join(spans, F.col("key") == F.col("open")).select("key", "id", "root", "n"), f"{name}-open")
+    rest = write_out(by_size(buckets, 1 / least), f"{name}-buckets")
+    tried, links, roots, used = None, None, None, []
+    for turn in range(ROUNDS + 2):
+        rows = rest
+        if roots is not None:
+            rows = rest.join(roots.withColumnRenamed("id", "known"), F.col("id") == F.col("known"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+            spans = rows.groupBy(F.col("key").alias("open")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("open", "n")
+            rows = write_out(rows.join(spans, F.col("key") == F.col("open")).select("key", "id", "root", "n"), f"{name}-open")
+            drop_out(spark, rest)
         if turn > ROUNDS:
             small = rows.where(F.col("n") <= SMALL).select("key", "id", "root")
             wide = rows.where(F.col("n") > SMALL).select("id", "root").distinct()
             pairs = _cross_pairs(small).union(_prefix_pairs(wide, prefix, name, need or (lambda n, m: least / (1 + least) * (n + m)))).distinct()
         else:
-            pairs = _centre_pairs(rows, (turn * 0x9E3779B97F4A7C15) & 0x7FFFFFFFFFFFFFFF)
-        pairs = write_out(pairs.join(tried, ["a", "b"], "left_anti"), f"{name}-pairs")
+            rest = write_out(_with_centres(rows, (turn * 0x9E3779B97F4A7C15) & 0x7FFFFFFFFFFFFFFF), f"{name}-rest")
+            pairs = rest.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
+        pairs = write_out(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), f"{name}-pairs")
         drop_out(spark, rows)
-        if pairs.isEmpty():
-            drop_out(spark, pairs)
+        used.append(pairs)
+        if roots is not None and pairs.isEmpty():
             continue
+        tried = pairs if tried is None else tried.union(pairs)
         found = write_out(verify(pairs), f"{name}-links")
-        tried = tried.union(pairs)
-        used += [pairs, found]
-        if not found.isEmpty():
-            links = links.union(found)
-            drop_out(spark, roots)
+        used.append(found)
+        if roots is None or not found.isEmpty():
+            links = found if links is None else links.union(found)
+            if roots is not None:
+                drop_out(spark, roots)
             roots = components(links)
     drop_out(spark, *used)
     return roots
@@ -140,12 +143,11 @@ def _prefix_pairs(members: DataFrame, prefix: Callable[[DataFrame], DataFrame],
     return near.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
 
 
-def _centre_pairs(rows: DataFrame, salt: int) -> DataFrame:
-    """Pairs (a, b) of members and their buckets' centres: the least ids under the salt."""
+def _with_centres(rows: DataFrame, salt: int) -> DataFrame:
+    """(key, id, c) of the members of buckets other than the centre c of their bucket: its least id under the salt."""
     centre = F.min(F.col("id").bitwiseXOR(F.lit(salt))).bitwiseXOR(F.lit(salt)).alias("c")
     centres = rows.groupBy(F.col("key").alias("at_key")).agg(centre)
-    pairs = rows.join(centres, (F.col("key") == F.col("at_key")) & (F.col("id") != F.col("c")))
-    return pairs.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
+    return rows.join(centres, (F.col("key") == F.col("at_key")) & (F.col("id") != F.col("c"))).select("key", "id", "c")
 
 
 def frequent_tokens(texts: DataFrame, tokens: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
