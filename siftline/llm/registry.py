@@ -6,6 +6,7 @@ from siftline.llm.decontaminate import op10_decontaminate
 from siftline.llm.line_dedup import op4_line_dedup
 from siftline.llm.near_dup import op2_order_minhash
 from siftline.llm.ngram_scoring import op5_lm_scoring
+from siftline.llm.periodic_runs import op11_periodic_runs
 from siftline.llm.quality_crf import op6_quality_classifier
 from siftline.llm.sentencepiece_stream import op9_sentencepiece
 from siftline.llm.substring_dedup import op1_substring_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_decontaminate": op10_decontaminate,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 SQL = {
