@@ -7,6 +7,7 @@ from siftline.llm.line_dedup import op4_line_dedup
 from siftline.llm.near_dup import op2_order_minhash
 from siftline.llm.ngram_scoring import op5_lm_scoring
 from siftline.llm.periodic_runs import op11_periodic_runs
+from siftline.llm.phrase_mining import OP13_SQL, op13_phrase_mining
 from siftline.llm.quality_crf import op6_quality_classifier
 from siftline.llm.sentencepiece_stream import op9_sentencepiece
 from siftline.llm.substring_dedup import op1_substring_dedup
@@ -26,8 +27,10 @@ QUERIES = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_decontaminate": op10_decontaminate,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_phrase_mining": op13_phrase_mining,
 }
 
 SQL = {
     "op7_topk_search": OP7_SQL,
+    "op13_phrase_mining": OP13_SQL,
 }
