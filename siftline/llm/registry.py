@@ -14,6 +14,7 @@ from siftline.llm.substring_dedup import op1_substring_dedup
 from siftline.llm.token_counts import op3_token_counts
 from siftline.llm.topk_search import OP7_SQL, op7_topk_search
 from siftline.llm.toxicity import op8_toxicity
+from siftline.llm.warc_zip import OP12_SQL, op12_warc_zip
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
@@ -27,10 +28,12 @@ QUERIES = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_decontaminate": op10_decontaminate,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_warc_zip": op12_warc_zip,
     "op13_phrase_mining": op13_phrase_mining,
 }
 
 SQL = {
     "op7_topk_search": OP7_SQL,
+    "op12_warc_zip": OP12_SQL,
     "op13_phrase_mining": OP13_SQL,
 }
