@@ -35,7 +35,12 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def l2_normalise(a: Column) -> Column:
-    return F.when(norm(a) > 0, F.transform(a, lambda x: x.cast("double") / norm(a))).otherwise(F.transform(a, lambda x: x.cast("double")))
+    # the array and its length are bound once, not made again for each component
+    def unit(bound: Column) -> Column:
+        scaled = lambda v, length: F.transform(v, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(x.cast("double")))
+        return F.transform(F.array(norm(bound)), lambda length: scaled(bound, length))[0]
+
+    return F.transform(F.array(a), unit)[0]
 
 
 def vector(values: list[float]) -> Column:

@@ -775,19 +775,29 @@ def short_date(spark, sf):
     return table(spark, sf, "events").select("event_id", fx.short_date(F.col("ts")).alias("shown"))
 
 
-@query("embed_text")
-def embed_text(spark, sf):
+def _embed_sql(text: str) -> str:
+    return f"""WITH w AS (SELECT doc_id, unnest({WORDS % text}) AS word FROM documents), s AS (SELECT doc_id, ('0x' || left(md5(word), 4))::INTEGER % 128 AS slot FROM w),
+c AS (SELECT doc_id, slot // 2 AS dim, sum(CASE WHEN slot % 2 = 0 THEN 1 ELSE -1 END) AS x FROM s GROUP BY ALL)
+SELECT doc_id, CAST(dim AS INTEGER) AS dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 6) AS value FROM c WHERE x <> 0"""
+
+
+def _embedded(spark, sf, most_chars: int | None = None) -> DataFrame:
+    """The components of each document's vector that are not 0."""
     from siftline.functions.embed import embed
 
-    return table(spark, sf, "documents").select("doc_id", embed(F.col("text")).alias("embedding"))
+    found = table(spark, sf, "documents").select("doc_id", F.posexplode(embed(F.col("text"), most_chars=most_chars)).alias("dim", "x"))
+    return found.where("x <> 0").select("doc_id", "dim", F.round("x", 6).alias("value"))
+
+
+@query("embed_text", _embed_sql("text"))
+def embed_text(spark, sf):
+    return _embedded(spark, sf)
 
 
-@query("embed_text_legacy")
+@query("embed_text_legacy", _embed_sql("substring(text, 1, 300)"))
 def embed_text_legacy(spark, sf):
     """The legacy service embeds the first 300 characters."""
-    from siftline.functions.embed import embed
-
-    return table(spark, sf, "documents").select("doc_id", embed(F.col("text"), most_chars=300).alias("embedding"))
+    return _embedded(spark, sf, 300)
 
 
 @query("search_engine")

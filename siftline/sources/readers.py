@@ -115,7 +115,10 @@ def swap_in(df: DataFrame, path: str) -> None:
 
 
 def append_json(df: DataFrame, path: str, batch: str | None = None) -> None:
-    """Adds rows to a topic's folder; those of a named batch are written once, however often the batch is repeated."""
+    """Adds rows to a topic's folder; those of a named batch are written once, however often the batch is repeated.
+
+    Names are for a folder and all time: a stream's batches carry its query's id, which a new checkpoint changes.
+    """
     if batch is None:
         df.write.mode("append").json(path)
     elif not exists(df.sparkSession, f"{path}/batch={batch}/_SUCCESS"):

@@ -73,9 +73,14 @@ def apply_batch(messages: DataFrame, table_path: str, dead_path: str, config: In
         read.unpersist()
 
 
+def batch_name(df: DataFrame, kind: str, number: int) -> str:
+    """A name that only this batch of this query has: numbers begin anew with each checkpoint, and ids don't."""
+    return f"{kind}-{df.sparkSession.sparkContext.getLocalProperty('sql.streaming.queryId') or 'batch'}-{number}"
+
+
 def start(messages: DataFrame, table_path: str, dead_path: str, checkpoint: str, config: IngestConfig = IngestConfig(), store: str | None = None) -> StreamingQuery:
     """Runs until the source is drained; offsets move only after a batch is in, and repeating a batch changes nothing."""
-    return messages.writeStream.foreachBatch(lambda df, n: apply_batch(df, table_path, dead_path, config, store, f"ingest-{n}")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return messages.writeStream.foreachBatch(lambda df, n: apply_batch(df, table_path, dead_path, config, store, batch_name(df, "ingest", n))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def retry_batch(letters: DataFrame, main_path: str, dead_path: str, permanent_path: str, policy: RetryPolicy = RetryPolicy(), now: datetime | None = None, batch: str | None = None) -> None:
@@ -94,4 +99,4 @@ def retry_batch(letters: DataFrame, main_path: str, dead_path: str, permanent_pa
 
 
 def start_retry(letters: DataFrame, main_path: str, dead_path: str, permanent_path: str, checkpoint: str, policy: RetryPolicy = RetryPolicy(), now: datetime | None = None) -> StreamingQuery:
-    return letters.writeStream.foreachBatch(lambda df, n: retry_batch(df, main_path, dead_path, permanent_path, policy, now, f"retry-{n}")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return letters.writeStream.foreachBatch(lambda df, n: retry_batch(df, main_path, dead_path, permanent_path, policy, now, batch_name(df, "retry", n))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -243,3 +243,24 @@ def test_upsert_takes_one_row_of_a_key_and_versions_survive(spark, tmp_path):
         readers.swap_in(readers.chunk_table(spark, path), path)
     (tmp_path / "t" / "v-9").mkdir()  # a write that was never committed
     assert readers.versions(spark, path) == [2, 3] and readers.chunk_table(spark, path).count() == 0
+
+
+def test_letters_of_two_checkpoints_over_one_folder_all_stay(spark, tmp_path):
+    """Batch numbers start at 0 with each checkpoint; no letter is taken for another stream's."""
+    for run in (1, 2):
+        messages(spark, [f"{{broken {run}"]).write.json(f"{tmp_path}/in{run}")
+        for _ in range(2):  # the second start has nothing to do
+            query = ingestion.start(readers.file_stream(spark, f"{tmp_path}/in{run}"), f"{tmp_path}/table", f"{tmp_path}/dead", f"{tmp_path}/ck{run}")
+            query.awaitTermination(120)
+            assert query.exception() is None
+    found = spark.read.option("recursiveFileLookup", "true").schema("value string").json(f"{tmp_path}/dead")
+    assert sorted(r.value[:30] for r in found.collect()) == ['{"original_payload":"{broken 1', '{"original_payload":"{broken 2']
+
+
+def test_embedding_is_the_same_in_any_batch(spark):
+    texts = ["b a b", "", None, "é x1_ x1_", "a b b " * 500]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    together = {r.i: r.e for r in frame.coalesce(1).select("i", embed(F.col("t")).alias("e")).collect()}
+    alone = {r.i: r.e for r in frame.repartition(5).select("i", embed(F.col("t")).alias("e")).collect()}
+    assert together == alone and together[1] == together[2] == [0.0] * 64
+    assert together[0] == pytest.approx(together[4], abs=0)
