@@ -10,23 +10,13 @@ from pyspark.sql import functions as F
 
 from siftline.config import SearchConfig
 from siftline.functions.text import analyze, cosine, vector
+from siftline.operators.inverted import InvertedIndex, field_terms, within
 
 # Fields and boosts of the two keyword searches (fixed values).
 LIVE_FIELDS = {"filename": 3.0, "object_key": 2.0, "chunk_text": 1.0, "extension": 1.0, "bucket": 1.0, "mime_type": 1.0}
 BUILDER_FIELDS = {"chunk_text": 3.0, "filename": 2.0, "tags": 1.0}
 
 
-def field_terms(field: str) -> Column:
-    """Terms of a field; keyword fields are one term each."""
-    if field in ("chunk_text", "author", "title"):
-        return analyze(F.col(field))
-    if field == "filename":
-        return analyze(F.col(field), "filename")
-    if field == "tags":
-        return F.transform(F.col(field), lambda t: F.lower(t))
-    return F.array(F.lower(F.col(field)))
-
-
 def postings(chunks: DataFrame, text: str = "chunk_text", key: str = "doc_id") -> DataFrame:
     """term, key, tf, dl: an inverted index; write it sorted by term so that lookups prune row groups."""
     terms = chunks.select(key, analyze(F.col(text)).alias("terms"))
@@ -97,26 +87,28 @@ def expand_terms(chunks: DataFrame, fields: list[str], query: list[str], config:
     return out
 
 
-def osa_distance(a: str, b: str) -> int:
-    """Edits with a swap of neighbours as one."""
-    before, row = [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        older, before, row = before, row, [i] + [0] * len(b)
-        for j, y in enumerate(b, 1):
-            row[j] = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                row[j] = min(row[j], older[j - 2] + 1)
-    return row[-1]
+def fuzzy_terms(vocabulary: DataFrame, term: str, config: SearchConfig = SearchConfig()) -> DataFrame:
+    """Terms of a vocabulary within the allowed edits of one term that share its first characters, with `edits`: a scan, where no index has the terms."""
+    return within(vocabulary.where(F.substring("term", 1, config.fuzzy_prefix) == term[: config.fuzzy_prefix]), term, edits_allowed(term))
 
 
-def fuzzy_terms(vocabulary: DataFrame, term: str, config: SearchConfig = SearchConfig()) -> DataFrame:
-    """Terms of a vocabulary within the allowed edits of one term that share its first characters, with `edits`."""
-    most = edits_allowed(term)
-    close = vocabulary.where((F.substring("term", 1, config.fuzzy_prefix) == term[: config.fuzzy_prefix]) & (F.abs(F.length("term") - len(term)) <= most))
-    # plain edit distance counts a swap as two, so twice the bound keeps every candidate for the exact count
-    close = close.where(F.levenshtein("term", F.lit(term)) <= 2 * most)
-    edits = F.udf(lambda w: osa_distance(term, w), "int")
-    return close.withColumn("edits", edits("term")).where(F.col("edits") <= most)
+def indexed_search(index: InvertedIndex, chunks: DataFrame, query: list[str], fields: dict[str, float], k: int, where: Column | None = None, fuzzy: bool = False, key: str = "doc_id") -> DataFrame:
+    """The k best chunks with `bm25`, found in an index instead of the texts; chunks are read by key for the hits alone, and by `where` for the keys it allows."""
+    terms = index.expand(query, edits_allowed) if fuzzy else query
+    if not terms:
+        return top(keyword_search(chunks, [], fields, where), "bm25", k, key)
+    allowed = None if where is None else chunks.where(where).select(key)
+    best = index.search(terms, fields, k, allowed)
+    return chunks.join(F.broadcast(best.withColumnRenamed("key", "_hit")), F.col(key) == F.col("_hit")).drop("_hit")
+
+
+def indexed_matches(index: InvertedIndex, chunks: DataFrame, query: list[str], fields: dict[str, float], where: Column | None = None, fuzzy: bool = False, key: str = "doc_id") -> DataFrame:
+    """All chunks that match, with `bm25`, found in an index."""
+    terms = index.expand(query, edits_allowed) if fuzzy else query
+    if not terms:
+        return keyword_search(chunks, [], fields, where)
+    rows = chunks if where is None else chunks.where(where)
+    return rows.join(index.matches(terms, fields).withColumnRenamed("key", "_hit"), F.col(key) == F.col("_hit")).drop("_hit")
 
 
 def knn_search(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id", where: Column | None = None) -> DataFrame:
@@ -179,4 +171,5 @@ def highlight(text: Column, terms: list[str], size: int = 200, fragments: int =
 
 
 def suggest(chunks: DataFrame, prefix: str, size: int = 5) -> DataFrame:
+    """File names by a scan; `operators.suggest` keeps them in a table."""
     return chunks.where(F.lower("filename").startswith(prefix.lower())).select("filename").distinct().orderBy("filename").limit(size)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable
 from datetime import datetime
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 
 from siftline.config import CachePolicy, SearchConfig
 from siftline.functions import text as fx
-from siftline.operators import cache, chunking, corpus as fixture, dead_letters, images, ingest, parse, predicates, quality, report, results, retrieve
+from siftline.operators import cache, chunking, corpus as fixture, dead_letters, images, ingest, parse, predicates, quality, report, results, retrieve, suggest
+from siftline.operators.inverted import InvertedIndex
+from siftline.sources.readers import shared_folder, versions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -349,9 +352,27 @@ def _bm25_sql(terms: list[str], fields: dict[str, float], where: str = "true") -
 ONE = {"chunk_text": 1.0}
 
 
+def _folder(spark, sf, name: str) -> str:
+    """A place in the shared folder for what this application derives from the tables of sf."""
+    return f"{shared_folder(spark)}/{name}-{spark.sparkContext.applicationId}-{hashlib.md5(sf.encode()).hexdigest()[:16]}"
+
+
+def index(spark, sf) -> InvertedIndex:
+    """The inverted index of the chunks: written by the first query that asks, read by all."""
+    found = InvertedIndex(spark, _folder(spark, sf, "index"))
+    if not found.segments():
+        found.add(chunks(spark, sf), list(retrieve.LIVE_FIELDS))
+    return found
+
+
+def keyword_hits(spark, sf, terms: list[str], fields: dict[str, float], k: int, allowed=None) -> DataFrame:
+    """doc_id, bm25 of the k best."""
+    return index(spark, sf).search(terms, fields, k, allowed).withColumnRenamed("key", "doc_id")
+
+
 @query("bm25_topk", f"WITH {CORPUS}, {_bm25_sql(TERMS, ONE)} SELECT doc_id, round(bm25, 6) AS bm25 FROM scored WHERE bm25 > 0 ORDER BY round(bm25, 9) DESC, doc_id LIMIT 50")
 def bm25_topk(spark, sf):
-    return retrieve.top(retrieve.keyword_search(chunks(spark, sf), TERMS, ONE), "bm25", 50, "doc_id").select("doc_id", F.round("bm25", 6).alias("bm25"))
+    return keyword_hits(spark, sf, TERMS, ONE, 50).select("doc_id", F.round("bm25", 6).alias("bm25"))
 
 
 MULTI = [*TERMS, "doc_17", "src3", "pdf"]
@@ -359,12 +380,25 @@ MULTI = [*TERMS, "doc_17", "src3", "pdf"]
 
 @query("bm25_multi_field", f"WITH {CORPUS}, {_bm25_sql(MULTI, {f: b for f, b in retrieve.LIVE_FIELDS.items()})} SELECT doc_id, round(bm25, 6) AS bm25 FROM scored WHERE bm25 > 0 ORDER BY round(bm25, 9) DESC, doc_id LIMIT 50")
 def bm25_multi_field(spark, sf):
-    return retrieve.top(retrieve.keyword_search(chunks(spark, sf), MULTI, retrieve.LIVE_FIELDS), "bm25", 50, "doc_id").select("doc_id", F.round("bm25", 6).alias("bm25"))
+    return keyword_hits(spark, sf, MULTI, retrieve.LIVE_FIELDS, 50).select("doc_id", F.round("bm25", 6).alias("bm25"))
 
 
 @query("bm25_filtered", f"WITH {CORPUS}, {_bm25_sql(TERMS, ONE, where=chr(39).join(['extension = ', 'pdf', '']))} SELECT doc_id, round(bm25, 6) AS bm25 FROM scored WHERE bm25 > 0 ORDER BY round(bm25, 9) DESC, doc_id LIMIT 20")
 def bm25_filtered(spark, sf):
-    return retrieve.top(retrieve.keyword_search(chunks(spark, sf), TERMS, ONE, F.col("extension") == "pdf"), "bm25", 20, "doc_id").select("doc_id", F.round("bm25", 6).alias("bm25"))
+    allowed = chunks(spark, sf).where("extension = 'pdf'").select("doc_id")
+    return keyword_hits(spark, sf, TERMS, ONE, 20, allowed).select("doc_id", F.round("bm25", 6).alias("bm25"))
+
+
+@query("bm25_scan", f"WITH {CORPUS}, {_bm25_sql(TERMS, ONE)} SELECT doc_id, round(bm25, 6) AS bm25 FROM scored WHERE bm25 > 0")
+def bm25_scan(spark, sf):
+    """Every match, scored from the texts: what answers where no index is at hand."""
+    return retrieve.keyword_search(chunks(spark, sf), TERMS, ONE).select("doc_id", F.round("bm25", 6).alias("bm25"))
+
+
+@query("bm25_matches", f"WITH {CORPUS}, {_bm25_sql(TERMS, ONE)} SELECT doc_id, round(bm25, 6) AS bm25 FROM scored WHERE bm25 > 0")
+def bm25_matches(spark, sf):
+    """Every match, scored from the index."""
+    return index(spark, sf).matches(TERMS, ONE).select(F.col("key").alias("doc_id"), F.round("bm25", 6).alias("bm25"))
 
 
 @query("match_all_fallback", f"WITH {CORPUS} SELECT doc_id, 1.0::DOUBLE AS bm25 FROM corpus WHERE extension = 'csv'")
@@ -417,13 +451,13 @@ f AS (SELECT doc_id, knn_norm, bm25_norm, round(0.6 * coalesce(knn_norm, 0) + 0.
 
 def fused(spark, sf) -> DataFrame:
     near = retrieve.knn_search(table(spark, sf, "embeddings"), query_vector(spark, sf), 200).withColumnRenamed("vec_id", "doc_id")
-    words = retrieve.top(retrieve.keyword_search(chunks(spark, sf), TERMS, ONE), "bm25", 200, "doc_id")
+    words = keyword_hits(spark, sf, TERMS, ONE, 200)
     return retrieve.fuse(near, words, "doc_id")
 
 
 @query("minmax_normalise", f"WITH {ARMS} SELECT doc_id, round(bm25_norm, 6) AS bm25_norm FROM bn")
 def minmax_normalise(spark, sf):
-    words = retrieve.top(retrieve.keyword_search(chunks(spark, sf), TERMS, ONE), "bm25", 200, "doc_id")
+    words = keyword_hits(spark, sf, TERMS, ONE, 200)
     return words.select("doc_id", F.round(retrieve.min_max("bm25"), 6).alias("bm25_norm"))
 
 
@@ -518,7 +552,10 @@ def index_stats(spark, sf):
 
 @query("suggest_prefix", f"WITH {CORPUS} SELECT DISTINCT filename FROM corpus WHERE lower(filename) LIKE 'doc!_1%' ESCAPE '!' ORDER BY 1 LIMIT 5")
 def suggest_prefix(spark, sf):
-    return retrieve.suggest(chunks(spark, sf), "DOC_1")
+    path = _folder(spark, sf, "completions")
+    if not versions(spark, path):
+        suggest.write_completions(chunks(spark, sf).select(F.col("filename").alias("name"), F.lit(0.0).alias("weight")), path)
+    return suggest.complete(suggest.completion_table(spark, path), "DOC_1").select(F.col("name").alias("filename"))
 
 
 @query("highlight_snippet")
@@ -533,8 +570,13 @@ def snippet_fallback(spark, sf):
 
 @query("fuzzy_terms", f"WITH {TOKENS}, v AS (SELECT DISTINCT unnest(terms) AS term FROM t) SELECT term, CAST(damerau_levenshtein(term, 'thesnd') AS INTEGER) AS edits FROM v WHERE left(term, 2) = 'th' AND damerau_levenshtein(term, 'thesnd') <= 2")
 def fuzzy_terms(spark, sf):
+    return index(spark, sf).near_terms("thesnd", retrieve.edits_allowed("thesnd")).select("term", "edits")
+
+
+@query("fuzzy_terms_scan", f"WITH {TOKENS}, v AS (SELECT DISTINCT unnest(terms) AS term FROM t) SELECT term, CAST(damerau_levenshtein(term, 'erhation') AS INTEGER) AS edits FROM v WHERE left(term, 2) = 'er' AND damerau_levenshtein(term, 'erhation') <= 2")
+def fuzzy_terms_scan(spark, sf):
     vocabulary = table(spark, sf, "documents").select(F.explode(fx.analyze(F.col("text"))).alias("term")).distinct()
-    return retrieve.fuzzy_terms(vocabulary, "thesnd").select("term", "edits")
+    return retrieve.fuzzy_terms(vocabulary, "erhation").select("term", "edits")
 
 
 @query("rerank_lexical", f"WITH {HITS}, p AS (SELECT * FROM h WHERE combined < 0.9 ORDER BY combined DESC, doc_id LIMIT 50) SELECT doc_id, round(len(list_intersect({WORDS % 'substring(chunk_text, 1, 1000)'}, ['the', 'licensed', 'and'])) / 3.0, 6) AS rerank_score, false AS fast_path FROM p")
@@ -804,7 +846,7 @@ def embed_text_legacy(spark, sf):
 def search_engine(spark, sf):
     from siftline.plans.search import SearchEngine
 
-    engine = SearchEngine(chunks(spark, sf), table(spark, sf, "embeddings"))
+    engine = SearchEngine(chunks(spark, sf), table(spark, sf, "embeddings"), index=index(spark, sf))
     found = engine.search("pdf files about licensed software", limit=10, now=NOW, query_vector=query_vector(spark, sf))
     return found.hits.select("doc_id", "filename", "bucket", "combined", "rerank_score", "summary")
 
@@ -813,5 +855,5 @@ def search_engine(spark, sf):
 def library_search(spark, sf):
     from siftline.plans.search import SearchEngine
 
-    page, _, _ = SearchEngine(chunks(spark, sf), table(spark, sf, "embeddings")).hybrid("licensed the", query_vector(spark, sf), size=10, extension="pdf")
+    page, _, _ = SearchEngine(chunks(spark, sf), table(spark, sf, "embeddings"), index=index(spark, sf)).hybrid("licensed the", query_vector(spark, sf), size=10, extension="pdf")
     return page.select("doc_id", "filename", "combined", "snippet")

@@ -12,6 +12,7 @@ from siftline.config import SearchConfig
 from siftline.functions.embed import embed
 from siftline.functions.text import analyze
 from siftline.operators import parse, predicates, results, retrieve
+from siftline.operators.inverted import InvertedIndex
 
 
 @dataclass
@@ -25,10 +26,10 @@ class SearchResult:
 
 
 class SearchEngine:
-    """Chunks (doc_id, filename, chunk_text, ...) and vectors (vec_id, embedding) with one document per id."""
+    """Chunks (doc_id, filename, chunk_text, ...) and vectors (vec_id, embedding) with one document per id; an index of the chunks spares the scans of their texts."""
 
-    def __init__(self, chunks: DataFrame, vectors: DataFrame | None = None, config: SearchConfig = SearchConfig()):
-        self.chunks, self.vectors, self.config = chunks, vectors, config
+    def __init__(self, chunks: DataFrame, vectors: DataFrame | None = None, config: SearchConfig = SearchConfig(), index: InvertedIndex | None = None):
+        self.chunks, self.vectors, self.config, self.index = chunks, vectors, config, index
         self.spark: SparkSession = chunks.sparkSession
 
     @classmethod
@@ -62,7 +63,10 @@ class SearchEngine:
     def hybrid_hits(self, keywords: list[str], where, query_vector: list[float], use_intent: bool, fields: dict[str, float], limit: int, fuzzy: bool = False) -> DataFrame:
         """One hit per file above the threshold, with combined, semantic_score and keyword_score."""
         pool = retrieve.pool_size(limit, self.config)
-        words = retrieve.top(retrieve.keyword_search(self.chunks, keywords, fields, where, fuzzy, self.config), "bm25", pool, "doc_id")
+        if self.index:
+            words = retrieve.indexed_search(self.index, self.chunks, keywords, fields, pool, where, fuzzy)
+        else:
+            words = retrieve.top(retrieve.keyword_search(self.chunks, keywords, fields, where, fuzzy, self.config), "bm25", pool, "doc_id")
         use_knn = use_intent and self.vectors is not None and any(query_vector)
         if not use_knn:
             hits = words.withColumn("combined", F.round("bm25", 4)).withColumn("semantic_score", F.lit(0.0)).withColumn("keyword_score", F.col("combined"))
@@ -84,7 +88,11 @@ class SearchEngine:
         where = predicates.builder_filter(**filters)
         terms = [r for r in self.spark.createDataFrame([(query_text,)], "t string").select(analyze(F.col("t")).alias("w")).first()["w"]]
         fields = {f: b for f, b in retrieve.BUILDER_FIELDS.items() if f in self.chunks.columns}
-        matches = retrieve.keyword_search(self.chunks, list(dict.fromkeys(terms)), fields, where, True, self.config)
+        asked = list(dict.fromkeys(terms))
+        if self.index:
+            matches = retrieve.indexed_matches(self.index, self.chunks, asked, fields, where, True)
+        else:
+            matches = retrieve.keyword_search(self.chunks, asked, fields, where, True, self.config)
         words = retrieve.top(matches, "bm25", max(size + from_, self.config.knn_k), "doc_id")
         hits = words.withColumn("combined", F.round("bm25", 4))
         if self.vectors is not None and any(query_vector):

@@ -77,6 +77,22 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(jpath)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    jpath, fs = _files(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(jpath)] if fs.exists(jpath) else []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; a local session without one takes its warehouse."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        where = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+    return where.rstrip("/")
+
+
 def versions(spark: SparkSession, path: str) -> list[int]:
     """Numbers of a table's whole versions (folders v-<number> whose write was committed), in order."""
     jpath, fs = _files(spark, path)

@@ -77,10 +77,6 @@ def test_edits_allowed(term, most):
     assert retrieve.edits_allowed(term) == most
 
 
-def test_swap_is_one_edit():
-    assert retrieve.osa_distance("report", "reprot") == 1 and retrieve.osa_distance("", "ab") == 2
-
-
 def test_fuzzy_search_finds_a_swapped_word(spark):
     chunks = spark.createDataFrame([(1, "the report is here", "a.pdf"), (2, "nothing at all", "b.pdf")], "doc_id long, chunk_text string, filename string")
     assert [r.doc_id for r in retrieve.keyword_search(chunks, ["reprot"], {"chunk_text": 1.0}, fuzzy=True).collect()] == [1]
