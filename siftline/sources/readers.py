@@ -1,4 +1,4 @@
-"""Sources and sinks: message topics, files, the chunk table."""
+"""Sources and sinks: message topics, files, versions of small tables. The chunk table is in `chunk_store`."""
 
 from __future__ import annotations
 
@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftline.schema import CHUNK
-
 TOPIC, DEAD_TOPIC = "file-upload-events", "file-upload-events-dlq"
 #: Columns of a message; a resent one also has how often it was tried again.
 MESSAGE = "key string, value string, topic string, partition int, offset long, timestamp timestamp"
@@ -72,6 +70,11 @@ def _files(spark: SparkSession, path: str):
     return jpath, jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    jpath, fs = _files(spark, path)
+    fs.delete(jpath, True)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     jpath, fs = _files(spark, path)
     return fs.exists(jpath)
@@ -95,20 +98,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 def versions(spark: SparkSession, path: str) -> list[int]:
     """Numbers of a table's whole versions (folders v-<number> whose write was committed), in order."""
-    jpath, fs = _files(spark, path)
-    names = [s.getPath().getName() for s in fs.listStatus(jpath)] if fs.exists(jpath) else []
-    return sorted(int(n[2:]) for n in names if n.startswith("v-") and n[2:].isdigit() and exists(spark, f"{path}/{n}/_SUCCESS"))
-
-
-def chunk_table(spark: SparkSession, path: str) -> DataFrame:
-    """The table's last whole version."""
-    return spark.read.schema(CHUNK).parquet(f"{path}/v-{versions(spark, path)[-1]}")
-
-
-def create_chunk_table(spark: SparkSession, path: str) -> None:
-    """An empty table with the declared schema, unless there is one."""
-    if not versions(spark, path):
-        spark.createDataFrame([], CHUNK).write.mode("overwrite").parquet(f"{path}/v-0")
+    return sorted(int(n[2:]) for n in folders(spark, path) if n.startswith("v-") and n[2:].isdigit() and exists(spark, f"{path}/{n}/_SUCCESS"))
 
 
 def point_get(table: DataFrame, key: str) -> DataFrame:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from siftline.config import IngestConfig, RetryPolicy
 from siftline.functions.embed import embed
 from siftline.operators import chunking, dead_letters, ingest
-from siftline.sources.readers import append_json, chunk_table, create_chunk_table, fetch, swap_in
+from siftline.sources.chunk_store import Alias, ChunkStore, Outcome
+from siftline.sources.readers import append_json, fetch, remove
 
 FACTS = ["object_key", "bucket", "filename", "extension", "download_url"]
 
@@ -29,13 +31,13 @@ def chunk_rows(files: DataFrame, config: IngestConfig = IngestConfig()) -> DataF
     )
 
 
-def apply_batch(messages: DataFrame, table_path: str, dead_path: str, config: IngestConfig = IngestConfig(), store: str | None = None, batch: str | None = None) -> None:
+def apply_batch(messages: DataFrame, table_path: str, dead_path: str, config: IngestConfig = IngestConfig(), store: str | None = None, batch: tuple[str, int] | None = None) -> Outcome:
     """One micro-batch: deletes and upserts into the chunk table; bad messages, oversized and failed files to the dead letters, with the count of their retries.
 
     store: the folder of buckets that the events speak of. Its files are fetched, extracted, cut into chunks
     and embedded; a file's new chunks replace all its old ones, and files without text leave none. Without a
-    store a file's facts are one row. batch: a name that a repeated micro-batch has again; its letters are
-    written once.
+    store a file's facts are one row. batch: name and number that a repeated micro-batch has again; its letters and its
+    commit are written once. Returns the counts of the commit.
     """
     spark = messages.sparkSession
     if "retry_count" not in messages.columns:
@@ -52,6 +54,7 @@ def apply_batch(messages: DataFrame, table_path: str, dead_path: str, config: In
     last = records.where("action <> 'skip' AND branch = 'ok'").groupBy("object_key").agg(F.max_by(F.struct(*facts), F.struct("timestamp", "offset")).alias("e")).select("object_key", "e.*")
     created = last.where("action = 'ingest'")
     gone = last.where("action = 'delete'").select("object_key")
+    replaced = aside = None
     if store is None:
         fresh = created.select(
             ingest.chunk_key(F.col("object_key"), F.lit(0)).alias("_id"), *FACTS, F.col("content_type").alias("mime_type"), F.col("size").alias("size_bytes"),
@@ -59,28 +62,33 @@ def apply_batch(messages: DataFrame, table_path: str, dead_path: str, config: In
         )
     else:
         read = fetch(created, store).withColumn("mime", ingest.detect_mime(F.col("content"), F.col("content_type")))
-        read = read.withColumn("r", ingest.extract(F.col("content"), F.col("mime"))).withColumn("failed", F.coalesce("fetch_error", "r.error")).withColumn("text", F.col("r.text")).drop("content", "r").cache()
+        read = read.withColumn("r", ingest.extract(F.col("content"), F.col("mime"))).withColumn("failed", F.coalesce("fetch_error", "r.error")).withColumn("text", F.col("r.text")).drop("content", "r")
+        # files are fetched and extracted once; what they gave outlives any executor
+        aside = f"{table_path.rstrip('/')}/_fetched-{uuid.uuid4().hex}"
+        read.write.parquet(aside)
+        read = spark.read.schema(read.schema).parquet(aside)
         letters = letters.unionByName(read.where("failed IS NOT NULL").select(letter(F.col("failed"))))
         files = read.where("failed IS NULL")
         fresh = chunk_rows(files.where("trim(text) <> ''"), config)
         gone = gone.union(files.where("trim(text) = ''").select("object_key"))
+        replaced = files.where("trim(text) <> ''").select("object_key")
     if not letters.isEmpty():
-        append_json(letters, dead_path, batch)
-    create_chunk_table(spark, table_path)
-    kept = ingest.delete_by_key(chunk_table(spark, table_path), gone)
-    swap_in(ingest.upsert(kept, fresh, replace_file=None if store is None else "object_key"), table_path)
-    if store is not None:
-        read.unpersist()
+        append_json(letters, dead_path, batch and f"{batch[0]}-{batch[1]}")
+    table = ChunkStore(spark, Alias(spark, table_path).target() or table_path)
+    outcome = table.commit(ingest.empty_to_null(fresh), gone, replaced, batch)
+    if aside:
+        remove(spark, aside)
+    return outcome
 
 
-def batch_name(df: DataFrame, kind: str, number: int) -> str:
-    """A name that only this batch of this query has: numbers begin anew with each checkpoint, and ids don't."""
-    return f"{kind}-{df.sparkSession.sparkContext.getLocalProperty('sql.streaming.queryId') or 'batch'}-{number}"
+def batch_of(df: DataFrame, kind: str, number: int) -> tuple[str, int]:
+    """A name and number that only this batch of this query has: numbers begin anew with each checkpoint, and ids don't."""
+    return f"{kind}-{df.sparkSession.sparkContext.getLocalProperty('sql.streaming.queryId') or 'batch'}", number
 
 
 def start(messages: DataFrame, table_path: str, dead_path: str, checkpoint: str, config: IngestConfig = IngestConfig(), store: str | None = None) -> StreamingQuery:
     """Runs until the source is drained; offsets move only after a batch is in, and repeating a batch changes nothing."""
-    return messages.writeStream.foreachBatch(lambda df, n: apply_batch(df, table_path, dead_path, config, store, batch_name(df, "ingest", n))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return messages.writeStream.foreachBatch(lambda df, n: apply_batch(df, table_path, dead_path, config, store, batch_of(df, "ingest", n))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def retry_batch(letters: DataFrame, main_path: str, dead_path: str, permanent_path: str, policy: RetryPolicy = RetryPolicy(), now: datetime | None = None, batch: str | None = None) -> None:
@@ -99,4 +107,28 @@ def retry_batch(letters: DataFrame, main_path: str, dead_path: str, permanent_pa
 
 
 def start_retry(letters: DataFrame, main_path: str, dead_path: str, permanent_path: str, checkpoint: str, policy: RetryPolicy = RetryPolicy(), now: datetime | None = None) -> StreamingQuery:
-    return letters.writeStream.foreachBatch(lambda df, n: retry_batch(df, main_path, dead_path, permanent_path, policy, now, batch_name(df, "retry", n))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return letters.writeStream.foreachBatch(lambda df, n: retry_batch(df, main_path, dead_path, permanent_path, policy, now, "{}-{}".format(*batch_of(df, "retry", n)))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def reindex(spark: SparkSession, messages: DataFrame, alias: str, fresh: str, dead_path: str, checkpoint: str, config: IngestConfig = IngestConfig(), store: str | None = None) -> None:
+    """Builds a second table from the earliest event on and lets the alias stand for it.
+
+    Readers of the alias see the old table until the new one holds every event that had come; what came while it was
+    built is replayed before the switch and once more after it. Events only point at objects, so replaying them is harmless.
+    """
+    if Alias(spark, fresh).target():
+        raise ValueError(f"{fresh} is an alias")
+    ChunkStore(spark, fresh).create()
+
+    def drain() -> int:
+        query = start(messages, fresh, dead_path, checkpoint, config, store)
+        query.awaitTermination()
+        if query.exception():
+            raise query.exception()
+        return ChunkStore(spark, fresh).versions()[-1]
+
+    done = -1
+    while done != (done := drain()):  # until a run finds nothing more
+        pass
+    Alias(spark, alias).switch(fresh)
+    drain()  # what a live stream put into the old table between the last run and the switch

@@ -11,7 +11,7 @@ from siftline.functions import text as fx
 from siftline.functions.embed import embed
 from siftline.operators import cache, chunking, dead_letters, ingest, parse, predicates, quality, results, retrieve
 from siftline.plans.search import SearchEngine
-from siftline.sources import readers
+from siftline.sources import chunk_store, readers
 from siftline.streaming import ingestion
 
 
@@ -140,7 +140,7 @@ def test_stream_equals_batch(spark, tmp_path):
     query.awaitTermination(120)
     assert query.exception() is None
     ingestion.apply_batch(frame, f"{tmp_path}/batch", f"{tmp_path}/dead2")
-    names = lambda where: sorted((r._id, r.filename, r.extension) for r in readers.chunk_table(spark, f"{tmp_path}/{where}").collect())
+    names = lambda where: sorted((r._id, r.filename, r.extension) for r in chunk_store.chunk_table(spark, f"{tmp_path}/{where}").collect())
     assert names("stream") == names("batch") == [("u__a b.PDF#0", "a b.PDF", "pdf"), ("u__d.pdf#0", "d.pdf", "pdf")]
     assert spark.read.json(f"{tmp_path}/dead").count() == spark.read.json(f"{tmp_path}/dead2").count() == 2
 
@@ -190,7 +190,7 @@ def test_files_are_found_by_their_sentences(spark, tmp_path):
         query = ingestion.start(readers.file_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/table", f"{tmp_path}/dead", f"{tmp_path}/ck", store=f"{tmp_path}/store")
         query.awaitTermination(120)
         assert query.exception() is None
-    table = readers.chunk_table(spark, f"{tmp_path}/table")
+    table = chunk_store.chunk_table(spark, f"{tmp_path}/table")
     rows = table.collect()
     assert {r.filename for r in rows} == {"birds.html", "engine.txt"} and all(len(r.embedding) == 64 and r.chunk_total > 1 for r in rows)
     errors = sorted(r.key for r in spark.read.json(spark.read.option("recursiveFileLookup", "true").json(f"{tmp_path}/dead").rdd.map(lambda r: r.value)).collect())
@@ -202,7 +202,7 @@ def test_files_are_found_by_their_sentences(spark, tmp_path):
     (store / "engine.txt").write_text("Gearbox oil is changed every ninety days.")
     (store / "birds.html").write_text("<p> </p>")
     ingestion.apply_batch(messages(spark, [record("ObjectCreated:Put", f"reports/{n}", kind=kinds[n]) for n in ("engine.txt", "birds.html")], 10), f"{tmp_path}/table", f"{tmp_path}/dead", store=f"{tmp_path}/store")
-    assert [(r.filename, r.chunk_total) for r in readers.chunk_table(spark, f"{tmp_path}/table").collect()] == [("engine.txt", 1)]
+    assert [(r.filename, r.chunk_total) for r in chunk_store.chunk_table(spark, f"{tmp_path}/table").collect()] == [("engine.txt", 1)]
 
 
 def test_retries_wait_and_end(spark, tmp_path):
@@ -211,8 +211,8 @@ def test_retries_wait_and_end(spark, tmp_path):
     text = lambda where: spark.read.option("recursiveFileLookup", "true").schema(readers.MESSAGE + ", retry_count int").json(f"{tmp_path}/{where}")
     sent = messages(spark, [payload])
     for count, wait in ((0, 60), (1, 300), (2, 900)):
-        ingestion.apply_batch(sent, f"{tmp_path}/table", f"{tmp_path}/dead{count}", store=f"{tmp_path}/store", batch="ingest-0")
-        ingestion.apply_batch(sent, f"{tmp_path}/table", f"{tmp_path}/dead{count}", store=f"{tmp_path}/store", batch="ingest-0")
+        ingestion.apply_batch(sent, f"{tmp_path}/table", f"{tmp_path}/dead{count}", store=f"{tmp_path}/store", batch=("ingest", 0))
+        ingestion.apply_batch(sent, f"{tmp_path}/table", f"{tmp_path}/dead{count}", store=f"{tmp_path}/store", batch=("ingest", 0))
         letters = text(f"dead{count}").select("value")
         assert letters.count() == 1
         failed = dead_letters.transition(letters).select(F.col("letter.failed_at").cast("timestamp").alias("t"), "retry_count").first()
@@ -234,11 +234,10 @@ def test_upsert_takes_one_row_of_a_key_and_versions_survive(spark, tmp_path):
     assert sorted(map(tuple, ingest.upsert(old, new).collect())) == [("a", 3, "x"), ("b", 1, "z")]
     assert sorted(map(tuple, ingest.upsert(old, new, order=-F.col("size_bytes")).collect())) == [("a", 2, "y"), ("b", 1, "z")]
     path = f"{tmp_path}/t"
-    readers.create_chunk_table(spark, path)
-    for _ in range(3):
-        readers.swap_in(readers.chunk_table(spark, path), path)
+    for n in range(4):
+        readers.swap_in(spark.range(n), path)
     (tmp_path / "t" / "v-9").mkdir()  # a write that was never committed
-    assert readers.versions(spark, path) == [2, 3] and readers.chunk_table(spark, path).count() == 0
+    assert readers.versions(spark, path) == [2, 3] and spark.read.parquet(f"{path}/v-3").count() == 3
 
 
 def test_letters_of_two_checkpoints_over_one_folder_all_stay(spark, tmp_path):
