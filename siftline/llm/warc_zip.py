@@ -38,7 +38,7 @@ from siftline.llm._common import bound_batches, shared_dir, slices, trimmed, wri
 #: Bytes of records after which an archive is closed.
 ARCHIVE_BYTES = 256 << 20
 #: Bytes of an archive whose records one task reads.
-RANGE_BYTES = 32 << 20
+RANGE_BYTES = 8 << 20
 #: Digests of repeated payloads, 32 bytes and an id each, that may be broadcast: at most some 60 MB.
 FEW_DIGESTS = 300_000
 #: A digest with one of so many rows is hot; there are at most as many hot ones.
@@ -281,7 +281,7 @@ RECORD = "path string, place bigint, length bigint, record_type string, record_i
 
 
 def read_archives(archives: DataFrame, payload: bool = False, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """The records of archives (path), one row each; with `payload` also the payloads (null: a revisit's)."""
+    """The records of archives (path, perhaps bytes), one row each; with `payload` also the payloads (null: a revisit's)."""
     bound_batches(archives.sparkSession)
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,7 +322,11 @@ def read_archives(archives: DataFrame, payload: bool = False, range_bytes: int =
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*held, strict=True), kinds, strict=False)], names=names)
 
     places = archives.select("path").mapInArrow(locate, "path string, place bigint, length bigint")
-    dealt = places.repartition("path", F.expr(f"place div {range_bytes}")).sortWithinPartitions("path", "place")
+    # a fixed number of tasks: the places are a few bytes each, and what they point at is not
+    tasks = max(1, int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if "bytes" in archives.columns:
+        tasks = -(-(archives.agg(F.sum("bytes")).first()[0] or 1) // range_bytes)
+    dealt = places.repartition(tasks, "path", F.expr(f"place div {range_bytes}")).sortWithinPartitions("path", "place")
     return dealt.mapInArrow(trimmed(read), schema)
 
 
