@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -21,9 +22,11 @@ SMALL_SLICE = 3 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is set only where the session names none."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a local session without one takes its warehouse."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
     return where.rstrip("/")
 
@@ -44,6 +47,12 @@ def drop_out(spark: SparkSession, *frames: DataFrame) -> None:
             jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets shuffle files of finished tables go: Spark deletes them when the driver's garbage is collected, else up to half an hour later."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Rows of keys, 8 to 16 bytes each, that may be broadcast: at most 32 MB. More are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm._common import SMALL_SLICE, among, drop_out, mix, slices, text_array, trimmed, write_out
+from siftline.llm._common import SMALL_SLICE, among, drop_out, mix, release, slices, text_array, trimmed, write_out
 
 #: Edges that a task of a star step takes.
 EDGES_PER_TASK = 200_000
@@ -44,6 +44,8 @@ def components(edges: DataFrame) -> DataFrame:
         after = write_out(small.where(F.col("a") != F.col("b")).distinct().coalesce(tasks), "small-star")
         seen = after.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)).alias("x")).first()
         drop_out(spark, now, large)
+        del both, least, large, low, pairs, small
+        release(spark)
         now = after
         if (seen["n"], seen["x"]) == state:
             break
@@ -101,7 +103,10 @@ def linked_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFram
         rows = rest
         if roots is not None:
             rows = rest.join(roots.withColumnRenamed("id", "known"), F.col("id") == F.col("known"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-            spans = rows.groupBy(F.col("key").alias("open")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("open", "n")
+            # buckets of the same members have the same pairs and centres: one of them stays
+            members = [F.bit_xor(F.xxhash64("id", F.lit(salt))).alias(f"set{salt}") for salt in (0, 1)]
+            spans = rows.groupBy(F.col("key").alias("open")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), *members).where("lo < hi")
+            spans = spans.groupBy("n", "set0", "set1").agg(F.min("open").alias("open")).select("open", "n")
             rows = write_out(rows.join(spans, F.col("key") == F.col("open")).select("key", "id", "root", "n"), f"{name}-open")
             drop_out(spark, rest)
         if turn > ROUNDS:
@@ -124,6 +129,7 @@ def linked_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFram
             if roots is not None:
                 drop_out(spark, roots)
             roots = components(links)
+        release(spark)
     drop_out(spark, *used)
     return roots
 
