@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from siftline.config import CachePolicy, SearchConfig
 from siftline.functions import text as fx
-from siftline.operators import cache, chunking, corpus as fixture, dead_letters, images, ingest, parse, predicates, quality, report, results, retrieve, suggest
+from siftline.operators import cache, chunking, corpus as fixture, dead_letters, documents, exif, images, ingest, parse, predicates, quality, report, results, retrieve, suggest
 from siftline.operators.inverted import InvertedIndex
 from siftline.operators.vector_index import VectorIndex
+from siftline.sources import generators
 from siftline.sources.readers import shared_folder, versions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,6 +166,43 @@ def extract_result(spark, sf):
     return table(spark, sf, "pages").select("page_id", ingest.extract(F.encode("html", "UTF-8"), kind).alias("r")).select("page_id", "r.error", "r.success")
 
 
+CONTROL = r"[\x00-\x08\x0b-\x1f]"
+KINDS = [documents.WORD, documents.SLIDES, documents.SHEETS, documents.PDF]
+
+
+def made_files(spark, sf) -> DataFrame:
+    """Each document as an office or PDF file with properties."""
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("doc_id") % 4 + 1).cast("int"))
+    rows = table(spark, sf, "documents").select(
+        "doc_id", F.regexp_replace("text", CONTROL, " ").alias("text"), kind.alias("mime"), F.concat(F.lit("Title é "), "doc_id").alias("title"), F.concat(F.lit("Author "), F.col("doc_id") % 10).alias("author"), F.lit("").alias("created"), F.col("lang").alias("language")
+    )
+    return generators.office_files(rows).select("doc_id", "mime", "content")
+
+
+@query("extract_office_pdf", f"""WITH d AS (SELECT doc_id, lang, regexp_replace(text, {quote(CONTROL)}, ' ', 'g') AS t FROM documents), l AS (SELECT *, len(string_split(t, chr(10))) AS n FROM d)
+SELECT doc_id, md5(trim(t)) AS digest, CASE WHEN doc_id % 4 = 3 THEN 'en' ELSE lang END AS language, 'Author ' || (doc_id % 10) AS author, 'Title é ' || doc_id AS title,
+  CAST(CASE doc_id % 4 WHEN 0 THEN 1 + n // 40 WHEN 2 THEN 0 ELSE ceil(n / 40.0) END AS INTEGER) AS page_count FROM l""")
+def extract_office_pdf(spark, sf):
+    """Text and properties of files made of the documents: the round trip through four formats."""
+    found = documents.extracted(made_files(spark, sf), F.struct(F.lit(None).cast("string").alias("text"), F.lit(False).alias("success"), F.lit("other").alias("error")))
+    found = found.withColumns(ingest.metadata_columns(F.col("meta"), F.lit("f")))
+    return found.select("doc_id", F.md5(F.encode("r.text", "UTF-8")).alias("digest"), "language", "author", "title", "page_count")
+
+
+@query("image_exif", """SELECT event_id, CAST(100 + event_id % 900 AS INTEGER) AS width, CAST(80 + user_id % 700 AS INTEGER) AS height, CAST(1 + event_id % 8 AS INTEGER) AS orientation, 'Maker ' || (event_id % 5) AS camera_make,
+  CASE WHEN event_id % 3 <> 0 THEN strftime(ts, '%Y:%m:%d %H:%M:%S') END AS capture_date, CASE WHEN event_id % 4 <> 0 THEN round((event_id % 648001 - 324000) / 3600.0, 6) END AS gps_lat,
+  CASE WHEN event_id % 4 <> 0 THEN round((event_id * 7 % 1296001 - 648000) / 3600.0, 6) END AS gps_lon, CASE WHEN event_id % 4 <> 0 THEN CAST(event_id % 3000 - 500 AS DOUBLE) END AS gps_alt_m FROM events""")
+def image_exif(spark, sf):
+    """Facts of photos made of the events, read back from their headers."""
+    n, has = F.col("event_id"), F.col("event_id") % 4 != 0
+    rows = table(spark, sf, "events").select(
+        "event_id", (100 + n % 900).cast("int").alias("width"), (80 + F.col("user_id") % 700).cast("int").alias("height"), (1 + n % 8).cast("int").alias("orientation"), F.concat(F.lit("Maker "), n % 5).alias("make"), F.lit("M").alias("model"),
+        F.when(n % 3 != 0, F.date_format("ts", "yyyy:MM:dd HH:mm:ss")).alias("taken"), F.when(has, n % 648001 - 324000).alias("lat"), F.when(has, n * 7 % 1296001 - 648000).alias("lon"), F.when(has, n % 3000 - 500).alias("alt"),
+    )
+    found = exif.with_image_facts(generators.photos(rows).select("event_id", "content"))
+    return found.select("event_id", *[F.col(f"image.{c}") for c in ("width", "height", "orientation", "camera_make", "capture_date", "gps_lat", "gps_lon", "gps_alt_m")])
+
+
 @query("mime_detection", "SELECT i, mime FROM (VALUES (0, 'application/pdf'), (1, 'image/png'), (2, 'image/jpeg'), (3, 'application/octet-stream'), (4, 'text/plain')) AS t(i, mime)")
 def mime_detection(spark, sf):
     cases = spark.createDataFrame([(0, "255044462D312E37", "application/octet-stream"), (1, "89504E470D0A1A0A00", "application/octet-stream"), (2, "FFD8FFE0", "application/octet-stream"), (3, "00112233", "application/octet-stream"), (4, "25504446", "text/plain")], "i int, h string, declared string")

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from siftline.config import IngestConfig, RetryPolicy
 from siftline.functions.embed import embed
-from siftline.operators import chunking, dead_letters, ingest
+from siftline.operators import chunking, dead_letters, documents, exif, images, ingest
 from siftline.sources.chunk_store import Alias, ChunkStore, Outcome
 from siftline.sources.readers import append_json, fetch, remove
 
@@ -27,10 +27,26 @@ def chunk_rows(files: DataFrame, config: IngestConfig = IngestConfig()) -> DataF
     cut = chunking.explode_chunks(files, "text", config.chunk_size, config.chunk_overlap, config.min_chunk)
     return cut.select(
         ingest.chunk_key(F.col("object_key"), F.col("chunk_index")).alias("_id"), *FACTS, F.col("mime").alias("mime_type"), F.col("size").alias("size_bytes"), "chunk_index", "chunk_total", "chunk_text",
-        embed(F.col("chunk_text")).cast("array<float>").alias("embedding"), F.col("filename").alias("title"), F.col("timestamp").alias("uploaded_at"), F.current_timestamp().alias("indexed_at"), F.lit("ok").alias("ingestion_status"),
+        embed(F.col("chunk_text")).cast("array<float>").alias("embedding"), *[c for c in ("language", "tags", "author", "title", "page_count") if c in files.columns], *[F.col("created").try_cast("timestamp").alias("doc_created_at") for c in files.columns if c == "created"], F.col("timestamp").alias("uploaded_at"), F.current_timestamp().alias("indexed_at"), F.lit("ok").alias("ingestion_status"),
     )
 
 
+def described(files: DataFrame, config: IngestConfig = IngestConfig()) -> DataFrame:
+    """files (filename, mime, content) with `r`: struct(text, success, error), and language, author, title, page_count, created, tags.
+
+    Texts and properties come from the files; an image's text is its caption, made of the facts in its header.
+    """
+    out = documents.extracted(files, ingest.extract(F.col("content"), F.col("mime"))).withColumn("_picture", F.when(ingest.is_image(F.col("mime")), F.col("content")))
+    out = exif.with_image_facts(out, "_picture")
+    said = lambda name: F.col(f"image.{name}")
+    date = F.coalesce(said("capture_date"), said("datetime"))
+    text = images.caption(F.col("filename"), said("width"), said("height"), F.col("mime"), said("camera_make"), said("camera_model"), date, said("gps_lat"), said("gps_lon"), said("user_comment"))
+    error = F.coalesce(images.validation_error(F.col("content"), F.col("mime"), config), said("error"))
+    image = F.struct(F.when(error.isNull(), text).alias("text"), error.isNull().alias("success"), error.alias("error"))
+    out = out.withColumn("r", F.when(ingest.is_image(F.col("mime")), image).otherwise(F.col("r"))).withColumns(ingest.metadata_columns(F.col("meta"), F.col("filename")))
+    return out.withColumn("tags", ingest.tags(F.col("author"), F.col("title"), F.col("page_count"), F.col("filename"))).drop("_picture", "image", "meta")
+
+
 def apply_batch(messages: DataFrame, table_path: str, dead_path: str, config: IngestConfig = IngestConfig(), store: str | None = None, batch: tuple[str, int] | None = None) -> Outcome:
     """One micro-batch: deletes and upserts into the chunk table; bad messages, oversized and failed files to the dead letters, with the count of their retries.
 
@@ -62,7 +78,7 @@ def apply_batch(messages: DataFrame, table_path: str, dead_path: str, config: In
         )
     else:
         read = fetch(created, store).withColumn("mime", ingest.detect_mime(F.col("content"), F.col("content_type")))
-        read = read.withColumn("r", ingest.extract(F.col("content"), F.col("mime"))).withColumn("failed", F.coalesce("fetch_error", "r.error")).withColumn("text", F.col("r.text")).drop("content", "r")
+        read = described(read, config).withColumn("failed", F.coalesce("fetch_error", "r.error")).withColumn("text", F.col("r.text")).drop("content", "r")
         # files are fetched and extracted once; what they gave outlives any executor
         aside = f"{table_path.rstrip('/')}/_fetched-{uuid.uuid4().hex}"
         read.write.parquet(aside)
