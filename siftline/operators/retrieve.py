@@ -146,6 +146,12 @@ def clamp_limit(limit: int | str | None, config: SearchConfig = SearchConfig())
     return min(n, config.max_limit) if n > 0 else config.default_limit
 
 
+def clamped(limit: Column, config: SearchConfig = SearchConfig()) -> Column:
+    """clamp_limit of a column of texts."""
+    n = limit.try_cast("int")
+    return F.when(n > 0, F.least(n, F.lit(config.max_limit))).otherwise(F.lit(config.default_limit)).cast("int")
+
+
 def pool_size(limit: int, config: SearchConfig = SearchConfig()) -> int:
     return max(2 * max(limit, config.rerank_pool), 50)
 

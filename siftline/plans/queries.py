@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from siftline.config import CachePolicy, SearchConfig
+from siftline.config import CachePolicy, IngestConfig, SearchConfig
 from siftline.functions import text as fx
 from siftline.operators import cache, chunking, corpus as fixture, dead_letters, documents, exif, images, ingest, parse, predicates, quality, report, results, retrieve, suggest
 from siftline.operators.inverted import InvertedIndex
 from siftline.operators.vector_index import VectorIndex
 from siftline.sources import generators
+from siftline.sources.chunk_store import ChunkStore
 from siftline.sources.readers import shared_folder, versions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +43,25 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _pick(values: list[str], key: str, duck: bool = False) -> str:
+    """SQL for the value of a row: the list's element at key modulo its length."""
+    found = ", ".join(quote(v) for v in values)
+    return f"([{found}])[CAST({key} % {len(values)} AS INTEGER) + 1]" if duck else f"element_at(array({found}), CAST({key} % {len(values)} AS INTEGER) + 1)"
+
+
+def _asked(duck: bool = False) -> str:
+    """SQL of a question for each part: the patterns of ASKED with the part's size, file type and day in them."""
+    text = _pick(ASKED, "p_partkey", duck)
+    for old, new in (("2.5MB", "CAST(p_size AS STRING) || '.5MB'"), (" pdf", f"' ' || {_pick(fixture.EXTENSIONS, 'p_size', duck)}"), ("5th", "CAST(1 + p_partkey % 28 AS STRING) || 'th'"), ("budget", "p_brand")):
+        text = f"replace({text}, {quote(old)}, {new})"
+    return text
+
+
+def asked(spark: SparkSession, sf: str) -> DataFrame:
+    """i, query: a question for each part."""
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("i"), F.expr(_asked()).alias("query"))
+
+
 def rows(spark: SparkSession, values: list, column: str = "query") -> DataFrame:
     return spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, {column} string")
 
@@ -135,10 +157,11 @@ def size_guard_split(spark, sf):
     return table(spark, sf, "documents").select(ingest.size_branch(F.col("n_chars") * 65536).alias("branch")).groupBy("branch").agg(F.count("*").alias("n"))
 
 
-@query("size_literal_parse", f"""WITH t AS (SELECT i, upper(trim(literal)) AS s FROM {literal_rows(LITERALS, 'literal')}), p AS (SELECT i, regexp_extract(s, '^(\\d+(?:\\.\\d+)?)\\s*(KB|MB|GB|TB)?$', 1) AS n, regexp_extract(s, '^(\\d+(?:\\.\\d+)?)\\s*(KB|MB|GB|TB)?$', 2) AS u FROM t)
+@query("size_literal_parse", f"""WITH t AS (SELECT i, upper(trim(literal)) AS s FROM (SELECT p_partkey AS i, replace({_pick(LITERALS, 'p_partkey', True)}, '10', CAST(p_size AS STRING)) AS literal FROM part)), p AS (SELECT i, regexp_extract(s, '^(\\d+(?:\\.\\d+)?)\\s*(KB|MB|GB|TB)?$', 1) AS n, regexp_extract(s, '^(\\d+(?:\\.\\d+)?)\\s*(KB|MB|GB|TB)?$', 2) AS u FROM t)
 SELECT i, CASE WHEN n <> '' AND NOT (u = '' AND contains(n, '.')) THEN CAST(floor(CAST(n AS DOUBLE) * CASE u WHEN 'KB' THEN 1024 WHEN 'MB' THEN 1048576 WHEN 'GB' THEN 1073741824 WHEN 'TB' THEN 1099511627776 ELSE 1 END) AS BIGINT) END AS bytes FROM p""")
 def size_literal_parse(spark, sf):
-    return rows(spark, LITERALS, "literal").select("i", fx.size_bytes(F.col("literal")).alias("bytes"))
+    literal = F.expr(f"replace({_pick(LITERALS, 'p_partkey')}, '10', CAST(p_size AS STRING))")
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("i"), fx.size_bytes(literal).alias("bytes"))
 
 
 # ---- chunking and extraction -----------------------------------------------------------------------
@@ -203,10 +226,15 @@ def image_exif(spark, sf):
     return found.select("event_id", *[F.col(f"image.{c}") for c in ("width", "height", "orientation", "camera_make", "capture_date", "gps_lat", "gps_lon", "gps_alt_m")])
 
 
-@query("mime_detection", "SELECT i, mime FROM (VALUES (0, 'application/pdf'), (1, 'image/png'), (2, 'image/jpeg'), (3, 'application/octet-stream'), (4, 'text/plain')) AS t(i, mime)")
+HEADS = ["255044462D312E37", "89504E470D0A1A0A00", "FFD8FFE0", "00112233", "504B0304"]
+
+
+@query("mime_detection", """SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'text/plain' ELSE (['application/pdf', 'image/png', 'image/jpeg', 'application/octet-stream', 'application/zip'])[CAST(doc_id % 5 AS INTEGER) + 1] END AS mime FROM documents""")
 def mime_detection(spark, sf):
-    cases = spark.createDataFrame([(0, "255044462D312E37", "application/octet-stream"), (1, "89504E470D0A1A0A00", "application/octet-stream"), (2, "FFD8FFE0", "application/octet-stream"), (3, "00112233", "application/octet-stream"), (4, "25504446", "text/plain")], "i int, h string, declared string")
-    return cases.select("i", ingest.detect_mime(F.unhex("h"), F.col("declared")).alias("mime"))
+    """Types of documents with the first bytes of other files before their text."""
+    content = F.concat(F.unhex(F.expr(_pick(HEADS, "doc_id"))), F.encode("text", "UTF-8"))
+    declared = F.when(F.col("doc_id") % 7 == 0, "text/plain").otherwise("application/octet-stream")
+    return table(spark, sf, "documents").select("doc_id", ingest.detect_mime(content, declared).alias("mime"))
 
 
 # ---- upsert and delete -------------------------------------------------------------------------------
@@ -247,6 +275,45 @@ def delete_by_key(spark, sf):
     return ingest.delete_by_key(base.select("_id", "object_key"), base.where("doc_id % 10 = 3").select("object_key")).select("_id")
 
 
+def stored(spark, sf, name: str) -> ChunkStore:
+    """A chunk table of four columns, its own for each call."""
+    kinds = "_id string, object_key string, size_bytes long, author string"
+    return ChunkStore(spark, f"{_folder(spark, sf, name)}-{uuid.uuid4().hex}", T.StructType.fromDDL(kinds))
+
+
+@query("store_upsert", MERGED)
+def store_upsert(spark, sf):
+    """The same merge as upsert_merge, by a base and two deltas that are merged on reading; the second delta is a repeated batch."""
+    old, new = even_ids(spark, sf)
+    chunk_table = stored(spark, sf, "store")
+    chunk_table.commit(old, batch=("load", 0))
+    chunk_table.compact()
+    chunk_table.commit(new, batch=("load", 1))
+    chunk_table.commit(new, batch=("load", 1))
+    return chunk_table.read()
+
+
+@query("store_replace_delete", f"WITH {CORPUS} SELECT _id, bucket AS object_key, CASE WHEN bucket IN ('src1', 'src2') THEN 0 ELSE size_bytes END AS size_bytes FROM corpus WHERE bucket <> 'src4' AND (bucket NOT IN ('src1', 'src2') OR doc_id % 40 < 20)")
+def store_replace_delete(spark, sf):
+    """Files rewritten and deleted by tombstones: a bucket of the corpus stands for a file."""
+    base = chunks(spark, sf).select("_id", F.col("bucket").alias("object_key"), "size_bytes", F.col("owner").alias("author"), "doc_id")
+    chunk_table = stored(spark, sf, "store")
+    chunk_table.commit(base.drop("doc_id"))
+    anew = base.where("object_key IN ('src1', 'src2') AND doc_id % 40 < 20").select("_id", "object_key", F.lit(0).cast("long").alias("size_bytes"))
+    chunk_table.commit(anew, deleted=base.where("object_key = 'src4'").select("object_key").distinct(), replaced=anew.select("object_key").distinct())
+    return chunk_table.read().select("_id", "object_key", "size_bytes")
+
+
+@query("store_bulk_outcome", "SELECT coalesce(e, 'written') AS outcome, count(*) AS n FROM (SELECT CASE WHEN doc_id % 9 = 0 THEN 'no key' WHEN n_chars > 5000 THEN 'too long' END AS e FROM documents) GROUP BY 1")
+def store_bulk_outcome(spark, sf):
+    """Written and refused rows of one commit, counted while it is written."""
+    rows_ = chunks(spark, sf).select(F.when(F.col("doc_id") % 9 != 0, F.col("_id")).alias("_id"), "object_key", "size_bytes", F.col("owner").alias("author"))
+    chunk_table = stored(spark, sf, "store")
+    done = chunk_table.commit(rows_, check=F.when(F.col("size_bytes") > 5000 * 1024, "too long"))
+    refused = chunk_table.refused(done.version).select(F.col("_error").alias("outcome"))
+    return chunk_table.read().select(F.lit("written").alias("outcome")).unionByName(refused).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
 @query("bulk_outcome", "SELECT count(*) FILTER (doc_id % 9 <> 0) AS success, count(*) FILTER (doc_id % 9 = 0) AS failed FROM documents")
 def bulk_outcome(spark, sf):
     return ingest.bulk_outcome(chunks(spark, sf).select(F.when(F.col("doc_id") % 9 != 0, F.col("_id")).alias("_id")))
@@ -259,7 +326,8 @@ def point_get(spark, sf):
 
 # ---- query parsing -------------------------------------------------------------------------------------
 
-CLEAN = f"(SELECT i, lower(trim(query)) AS q FROM {literal_rows(ASKED)})"
+ASKED_ROWS = f"(SELECT p_partkey AS i, {_asked(duck=True)} AS query FROM part)"
+CLEAN = f"(SELECT i, lower(trim(query)) AS q FROM {ASKED_ROWS})"
 
 
 def _array(parts: list[str]) -> str:
@@ -273,7 +341,7 @@ EXT_SQL = f"array_to_string(list_transform(list_concat(regexp_extract_all(q, {qu
 
 
 def _parsed(expression: Callable) -> Callable:
-    return lambda spark, sf: rows(spark, ASKED).withColumn("q", F.lower(F.trim("query"))).select("i", F.array_join(expression(F.col("q")), "|").alias("found"))
+    return lambda spark, sf: asked(spark, sf).withColumn("q", F.lower(F.trim("query"))).select("i", F.array_join(expression(F.col("q")), "|").alias("found"))
 
 
 query("parse_dates", f"SELECT i, {DATE_SQL} AS found FROM {CLEAN}")(_parsed(lambda q: parse.date_filters(q, 2024)))
@@ -295,14 +363,20 @@ def _intent_sql() -> str:
 
 @query("parse_keywords", f"SELECT i, array_to_string(w, ' ') AS intent_text, array_to_string(list_filter(w, lambda x: length(x) > 2), '|') AS keywords FROM (SELECT i, {_intent_sql()} AS w FROM {CLEAN})")
 def parse_keywords(spark, sf):
-    return parse.parse(rows(spark, ASKED), 2024).select("i", "intent_text", F.array_join("keywords", "|").alias("keywords"))
+    return parse.parse(asked(spark, sf), 2024).select("i", "intent_text", F.array_join("keywords", "|").alias("keywords"))
+
 
+RANGES = {"last_week": 7, "last_month": 30, "last_year": 365, "yesterday": 1, "today": 1, "other": 7}
 
-@query("date_ranges", "SELECT key, epoch_us(TIMESTAMP '2024-03-01' - to_days(days)) AS from_us, epoch_us(TIMESTAMP '2024-03-01') AS to_us FROM (VALUES ('last_week', 7), ('last_month', 30), ('last_year', 365), ('yesterday', 1), ('today', 1), ('other', 7)) AS t(key, days)")
+
+@query("date_ranges", " UNION ALL ".join(f"SELECT '{k}' AS key, count(*) AS n, epoch_us(min(ts)) AS first_us FROM events WHERE ts >= TIMESTAMP '2024-01-20' - to_days({d}) AND ts <= TIMESTAMP '2024-01-20'" for k, d in RANGES.items()))
 def date_ranges(spark, sf):
-    keys = ["last_week", "last_month", "last_year", "yesterday", "today", "other"]
-    micros = lambda t: int((t - datetime(1970, 1, 1)).total_seconds() * 1_000_000)
-    return spark.createDataFrame([(k, *map(micros, predicates.date_range(k, NOW))) for k in keys], "key string, from_us long, to_us long")
+    """Events in the range that each phrase means on one day."""
+    events, day = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts")), datetime(2024, 1, 20)
+    inside = lambda k: (F.col("ts") >= F.lit(predicates.date_range(k, day)[0])) & (F.col("ts") <= F.lit(predicates.date_range(k, day)[1]))
+    keys = F.array(*[F.when(inside(k), F.lit(k)) for k in RANGES])
+    found = events.select("ts", F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("key")).groupBy("key").agg(F.count("*").alias("n"), F.unix_micros(F.min("ts")).alias("first_us"))
+    return found
 
 
 # ---- filters -----------------------------------------------------------------------------------------------
@@ -572,9 +646,10 @@ def topk_clamped(spark, sf):
     return hits(spark, sf).orderBy(F.desc("combined"), "doc_id").limit(retrieve.clamp_limit(500)).select("doc_id", "combined")
 
 
-@query("limit_clamp", "SELECT i, n FROM (VALUES (0, 10), (1, 10), (2, 7), (3, 50), (4, 10)) AS t(i, n)")
+@query("limit_clamp", "SELECT p_partkey, CAST(CASE p_partkey % 5 WHEN 0 THEN 10 WHEN 1 THEN 10 WHEN 2 THEN 10 ELSE least(p_size * 2, 50) END AS INTEGER) AS n FROM part")
 def limit_clamp(spark, sf):
-    return spark.createDataFrame([(i, retrieve.clamp_limit(v)) for i, v in enumerate([0, -3, 7, 51, "many"])], "i int, n int")
+    wanted = F.expr("CASE p_partkey % 5 WHEN 0 THEN 'many' WHEN 1 THEN CAST(-p_size AS STRING) WHEN 2 THEN NULL ELSE CAST(p_size * 2 AS STRING) END")
+    return table(spark, sf, "part").select("p_partkey", retrieve.clamped(wanted).alias("n"))
 
 
 @query("paginate", f"WITH {HITS} SELECT doc_id, combined FROM h ORDER BY combined DESC, doc_id LIMIT 10 OFFSET 20")
@@ -645,24 +720,24 @@ def rerank_lexical(spark, sf):
     return retrieve.rerank(pool, ["the", "licensed", "and"]).select("doc_id", F.round("rerank_score", 6).alias("rerank_score"), "fast_path")
 
 
-@query("rerank_fast_path", "SELECT doc_id, combined AS rerank_score, true AS fast_path FROM (VALUES (1, 0.97::DOUBLE), (2, 0.5::DOUBLE), (3, 0.2::DOUBLE)) AS t(doc_id, combined)")
+@query("rerank_fast_path", f"WITH {HITS}, p AS (SELECT doc_id, CASE WHEN doc_id = 7 THEN 0.97::DOUBLE ELSE combined / 2 END AS combined FROM h) SELECT doc_id, combined AS rerank_score, true AS fast_path FROM p ORDER BY combined DESC, doc_id LIMIT 50")
 def rerank_fast_path(spark, sf):
-    pool = spark.createDataFrame([(1, 0.97, "a"), (2, 0.5, "the"), (3, 0.2, "the")], "doc_id int, combined double, chunk_text string")
+    pool = hits(spark, sf).withColumn("combined", F.when(F.col("doc_id") == 7, F.lit(0.97)).otherwise(F.col("combined") / 2)).orderBy(F.desc("combined"), "doc_id").limit(50)
     return retrieve.rerank(pool, ["the"]).select("doc_id", "rerank_score", "fast_path")
 
 
 # ---- cache -------------------------------------------------------------------------------------------------------
 
 
-@query("cache_key_gateway", f"SELECT i, 'search:' || sha256(query) AS key FROM {literal_rows(ASKED)}")
+@query("cache_key_gateway", f"SELECT i, 'search:' || sha256(query) AS key FROM {ASKED_ROWS}")
 def cache_key_gateway(spark, sf):
-    return rows(spark, ASKED).select("i", cache.gateway_key(F.col("query")).alias("key"))
+    return asked(spark, sf).select("i", cache.gateway_key(F.col("query")).alias("key"))
 
 
-@query("cache_key_library", f"""SELECT i, 'search:' || left(sha256('{{"bucket":"","date_from":"","date_to":"","ext":"pdf","from":0,"owner":"","q":"' || lower(trim(query)) || '","size":10,"tags":["a","b"]}}'), 32) AS key FROM {literal_rows(ASKED)}""")
+@query("cache_key_library", f"""SELECT i, 'search:' || left(sha256('{{"bucket":"","date_from":"","date_to":"","ext":"pdf","from":0,"owner":"","q":"' || lower(trim(query)) || '","size":10,"tags":["a","b"]}}'), 32) AS key FROM {ASKED_ROWS}""")
 def cache_key_library(spark, sf):
     none = F.lit(None).cast("string")
-    return rows(spark, ASKED).select("i", cache.library_key(F.col("query"), F.lit("PDF"), none, none, F.array(F.lit("b"), F.lit("a")), none, none, F.lit(10), F.lit(0)).alias("key"))
+    return asked(spark, sf).select("i", cache.library_key(F.col("query"), F.lit("PDF"), none, none, F.array(F.lit("b"), F.lit("a")), none, none, F.lit(10), F.lit(0)).alias("key"))
 
 
 def log(spark, sf) -> DataFrame:
@@ -744,9 +819,9 @@ def dlq_chain(spark, sf):
     return dead_letters.transition(state).select("event_id", F.col("action").alias("ended"), "retries")
 
 
-@query("dlq_backoff_schedule", "SELECT i, s FROM (VALUES (0, 60), (1, 300), (2, 900), (3, 900), (9, 900)) AS t(i, s)")
+@query("dlq_backoff_schedule", "SELECT event_id, CAST(([60, 300, 900])[CAST(least(event_id % 12, 2) AS INTEGER) + 1] AS INTEGER) AS s FROM events")
 def dlq_backoff_schedule(spark, sf):
-    return spark.createDataFrame([(i,) for i in (0, 1, 2, 3, 9)], "i int").select("i", dead_letters.backoff(F.col("i")).alias("s"))
+    return table(spark, sf, "events").select("event_id", dead_letters.backoff((F.col("event_id") % 12).cast("int")).alias("s"))
 
 
 # ---- text quality --------------------------------------------------------------------------------------------------
@@ -851,10 +926,12 @@ def image_caption(spark, sf):
     return table(spark, sf, "part").select("p_partkey", text.alias("caption"))
 
 
-@query("image_validation", "SELECT i, e FROM (VALUES (0, 'empty image'), (1, 'unsupported image type'), (2, 'undecodable image'), (3, NULL)) AS t(i, e)")
+@query("image_validation", """SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'empty image' WHEN doc_id % 4 = 0 THEN 'unsupported image type' WHEN strlen(text) + [8, 9, 4, 4, 4][CAST(doc_id % 5 AS INTEGER) + 1] > 5000 THEN 'image too large'
+  WHEN doc_id % 5 NOT IN (1, 2) THEN 'undecodable image' END AS e FROM documents""")
 def image_validation(spark, sf):
-    cases_ = spark.createDataFrame([(0, "", "image/png"), (1, "FFD8FF", "image/gif"), (2, "00FF", "image/png"), (3, "FFD8FFE0", "image/jpeg")], "i int, h string, m string")
-    return cases_.select("i", images.validation_error(F.unhex("h"), F.col("m")).alias("e"))
+    content = F.when(F.col("doc_id") % 9 == 0, F.lit(b"")).otherwise(F.concat(F.unhex(F.expr(_pick(HEADS, "doc_id"))), F.encode("text", "UTF-8")))
+    mime = F.when(F.col("doc_id") % 4 == 0, "image/gif").otherwise("image/jpeg")
+    return table(spark, sf, "documents").select("doc_id", images.validation_error(content, mime, IngestConfig(max_image_bytes=5000)).alias("e"))
 
 
 @query("byte_size_format", "SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', floor(n / 1024.0 * 10 + 0.5) / 10) ELSE printf('%.1f MB', floor(n / 1048576.0 * 10 + 0.5) / 10) END AS shown FROM (SELECT doc_id, n_chars * (doc_id % 1000) AS n FROM documents)")
