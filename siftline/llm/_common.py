@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text worked on at once in a Python worker.
 SLICE_BYTES = 8 << 20
@@ -77,6 +78,14 @@ def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
     return docs.withColumn(name, F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull(), F.coalesce(F.col("text").cast("string"), F.lit("")))), name
 
 
+def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], added: dict[str, str] | None = None) -> DataFrame:
+    """df.mapInArrow(run) for a df with columns of any names: inside they are c0, c1, ...; `added` names and types what run adds behind them."""
+    added = added or {}
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    schema = T.StructType([*plain.schema, *[T.StructField(f"a{i}", T._parse_datatype_string(kind)) for i, kind in enumerate(added.values())]])
+    return plain.mapInArrow(trimmed(run), schema).toDF(*df.columns, *added)
+
+
 def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function for mapInArrow after which the worker, which stays for later tasks, gives its free memory back to the system."""
 

@@ -88,7 +88,7 @@ def linked_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFram
     before the next round. Small buckets that still span several are compared pair by pair, members of
     wide ones by prefix filter: similar ids have so many tokens in common that in any one order of all tokens
     they share one of their first ones, with enough tokens behind it on both sides. So no candidate link is
-    left out, and no pair is compared twice.
+    left out, and no pair is compared twice, nor one whose ids are in one component by then.
 
     prefix: for a table (id, root), (id, root, token, place, all) of the first tokens of each text, in an order
     that is the same for all texts and has frequent tokens last; place counts from 1, all is the number of the text's
@@ -115,7 +115,7 @@ def linked_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFram
             pairs = _cross_pairs(small).union(_prefix_pairs(wide, prefix, name, need or (lambda n, m: least / (1 + least) * (n + m)))).distinct()
         else:
             rest = write_out(_with_centres(rows, (turn * 0x9E3779B97F4A7C15) & 0x7FFFFFFFFFFFFFFF), f"{name}-rest")
-            pairs = rest.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
+            pairs = rest.where("NOT joined").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
         pairs = write_out(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), f"{name}-pairs")
         drop_out(spark, rows)
         used.append(pairs)
@@ -150,10 +150,13 @@ def _prefix_pairs(members: DataFrame, prefix: Callable[[DataFrame], DataFrame],
 
 
 def _with_centres(rows: DataFrame, salt: int) -> DataFrame:
-    """(key, id, c) of the members of buckets other than the centre c of their bucket: its least id under the salt."""
-    centre = F.min(F.col("id").bitwiseXOR(F.lit(salt))).bitwiseXOR(F.lit(salt)).alias("c")
+    """(key, id, c, joined) of the members of buckets other than the centre c of their bucket: its least id under the salt. joined: both are in one component already."""
+    if "root" not in rows.columns:
+        rows = rows.withColumn("root", F.col("id"))
+    centre = F.min(F.struct(F.col("id").bitwiseXOR(F.lit(salt)).alias("c"), "root")).alias("c")
     centres = rows.groupBy(F.col("key").alias("at_key")).agg(centre)
-    return rows.join(centres, (F.col("key") == F.col("at_key")) & (F.col("id") != F.col("c"))).select("key", "id", "c")
+    met = rows.join(centres, F.col("key") == F.col("at_key")).withColumn("joined", F.col("root") == F.col("c.root"))
+    return met.select("key", "id", F.col("c.c").bitwiseXOR(F.lit(salt)).alias("c"), "joined").where("id <> c")
 
 
 def frequent_tokens(texts: DataFrame, tokens: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:

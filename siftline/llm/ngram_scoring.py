@@ -111,8 +111,8 @@ class EliasFano:
 
 
 def quantise(counts: np.ndarray) -> np.ndarray:
-    """Counts on a logarithmic scale of 16 bits; small counts come back exactly after rounding."""
-    return np.rint(np.log2(np.maximum(counts, 1).astype(float)) * STEP).astype(np.uint16)
+    """Counts on a logarithmic scale of 16 bits; small counts come back exactly after rounding, those beyond the scale as its greatest."""
+    return np.minimum(np.rint(np.log2(np.maximum(counts, 1).astype(float)) * STEP), 0xFFFF).astype(np.uint16)
 
 
 def restore(codes: np.ndarray) -> np.ndarray:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm._common import slices, sum_of, text_array, words_of
+from siftline.llm._common import map_rows, slices, sum_of, text_array, words_of
 from siftline.llm._labels import bucket, labelled_sample
 from siftline.llm.boosting import Isotonic
 
@@ -32,6 +32,9 @@ THRESHOLD = 0.3
 OWN = 14
 BESIDE = (1, 2, 3, 5, 7, 8, 10)
 FEATURES = 1 + OWN + 2 * len(BESIDE) + 2
+#: Lines whose features are held at once, and lines of a chain that is cut into blocks.
+BLOCK = 100_000
+LONG = 4096
 
 
 def line_bounds(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -59,9 +62,24 @@ def byte_classes() -> np.ndarray:
 CLASSES = byte_classes()
 
 
-def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(lines x FEATURES), line lengths in bytes, offsets of each text's lines."""
-    data, starts, ends, offsets = line_bounds(texts)
+def repeated_lines(texts: pa.Array, data: np.ndarray, starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether each line occurs more than once in its text."""
+    if not len(data):
+        return np.zeros(len(starts), bool)
+    same = _lines(data, starts).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    document = np.repeat(np.arange(len(texts)), np.diff(offsets))
+    _, which, often = np.unique((document << 32) | same, return_inverse=True, return_counts=True)
+    return often[which] > 1
+
+
+def _lines(data: np.ndarray, starts: np.ndarray) -> pa.LargeStringArray:
+    """The lines, line ends included; a text without a last newline ends where the next text starts, so a line runs to the start of the next."""
+    edge = np.append(starts, len(data)).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(edge), pa.py_buffer(np.ascontiguousarray(data)))
+
+
+def own_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, repeated: np.ndarray) -> np.ndarray:
+    """The shapes of neighbouring lines (lines x OWN); data, starts and ends from the first of them on."""
     kinds = CLASSES[data]
     size = np.maximum(ends - starts, 0)
 
@@ -69,14 +87,11 @@ def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         total = np.concatenate([[0], np.cumsum(kinds == kind, dtype=np.int64)])
         return total[ends] - total[starts]
 
-    small, capital, digit, space, point, sign = (count(k).astype(float) for k in range(6))
+    small, capital, digit, _, point, sign = (count(k).astype(float) for k in range(6))
     letters = small + capital
     shown = np.maximum(letters + digit + point + sign, 1)
     if len(data):
-        edge = np.append(starts, len(data))
-        # a text without a last newline ends where the next text starts, so line i runs from edge[i] to edge[i + 1]
-        lines = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(edge.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes()))
-        codes, at, _ = words_of(lines)
+        codes, at, _ = words_of(_lines(data, starts))
         words = np.diff(at).astype(float)
         line = np.repeat(np.arange(len(starts)), np.diff(at))
         again = np.zeros(len(codes))
@@ -85,28 +100,49 @@ def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         again = sum_of(again, at)
         pairs = np.unique((line << 32) | codes)
         distinct = np.bincount(pairs >> 32, minlength=len(starts)).astype(float)
-        same = lines.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        document = np.repeat(np.arange(len(texts)), np.diff(offsets))
-        _, which, often = np.unique((document << 32) | same, return_inverse=True, return_counts=True)
-        repeated = (often[which] > 1) & (words > 0)
     else:
         words = again = distinct = np.zeros(len(starts))
-        repeated = np.zeros(len(starts), bool)
+    repeated = repeated & (words > 0)
     w = np.maximum(words, 1)
     first, last = np.zeros(len(starts)), np.zeros(len(starts))
     full = size > 0
     if full.any():
         first[full] = kinds[starts[full]] == 1
         last[full] = np.isin(data[ends[full] - 1], [46, 33, 63])
-    own = np.stack([np.log1p(size), np.log1p(words), sign / shown, capital / np.maximum(letters, 1), digit / shown, point / shown, np.minimum(letters / w, 30) / 10, again / w, distinct / w, (words == 0).astype(float), repeated.astype(float), first, last, ((words > 0) & (words <= 3)).astype(float)], axis=1)
-    begin, end = np.zeros(len(starts)), np.zeros(len(starts))
-    begin[offsets[:-1]] = 1
-    end[offsets[1:] - 1] = 1
-    near = own[:, BESIDE]
-    before, after = np.zeros_like(near), np.zeros_like(near)
-    before[1:], after[:-1] = near[:-1], near[1:]
-    before[begin > 0], after[end > 0] = 0, 0
-    return np.concatenate([np.ones((len(starts), 1)), own, before, after, begin[:, None], end[:, None]], axis=1), size, offsets
+    return np.stack([np.log1p(size), np.log1p(words), sign / shown, capital / np.maximum(letters, 1), digit / shown, point / shown, np.minimum(letters / w, 30) / 10, again / w, distinct / w, (words == 0).astype(float), repeated.astype(float), first, last, ((words > 0) & (words <= 3)).astype(float)], axis=1)
+
+
+def feature_blocks(texts: pa.Array, most: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(lines x FEATURES) of `most` neighbouring lines at a time, and of all lines the lengths in bytes and the offsets of each text's lines.
+
+    A block needs the line before and the line after it; nothing else of its features depends on other blocks.
+    """
+    data, starts, ends, offsets = line_bounds(texts)
+    most = most or BLOCK
+    size = np.maximum(ends - starts, 0)
+    repeated = repeated_lines(texts, data, starts, offsets)
+    begin, end = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
+    begin[offsets[:-1]] = True
+    end[offsets[1:] - 1] = True
+    for a in range(0, len(starts), most):
+        b = min(a + most, len(starts))
+        low, high = max(a - 1, 0), min(b + 1, len(starts))
+        to = starts[high] if high < len(starts) else len(data)
+        own = own_features(data[starts[low] : to], starts[low:high] - starts[low], ends[low:high] - starts[low], repeated[low:high])
+        near = own[:, BESIDE]
+        before, after = np.zeros_like(near), np.zeros_like(near)
+        before[1:], after[:-1] = near[:-1], near[1:]
+        before[begin[low:high]], after[end[low:high]] = 0, 0
+        x = np.concatenate([np.ones((high - low, 1)), own, before, after, begin[low:high, None], end[low:high, None]], axis=1)
+        yield x[a - low : b - low], size, offsets
+
+
+def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lines x FEATURES), line lengths in bytes, offsets of each text's lines."""
+    parts = list(feature_blocks(texts))
+    if not parts:
+        return np.zeros((0, FEATURES)), np.zeros(0, np.int64), np.zeros(1, np.int64)
+    return np.concatenate([x for x, _, _ in parts]), *parts[0][1:]
 
 
 class LineChain:
@@ -115,19 +151,30 @@ class LineChain:
     def __init__(self, weights: np.ndarray, moves: np.ndarray, mean: np.ndarray, scale: np.ndarray):
         self.weights, self.moves, self.mean, self.scale = weights, moves, mean, scale
 
+    def emission(self, x: np.ndarray) -> np.ndarray:
+        return ((x - self.mean) / self.scale) @ self.weights
+
     def marginals(self, x: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        return forward_backward(((x - self.mean) / self.scale) @ self.weights, offsets, self.moves)[0]
+        return forward_backward(self.emission(x), offsets, self.moves)[0]
 
 
 def forward_backward(score: np.ndarray, offsets: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """Marginals of good, expected moves (2 x 2), sum of log normalisers; all chains advance together, longest first."""
     n = np.diff(offsets)
+    alpha, beta = np.zeros((len(score), 2)), np.zeros((len(score), 2))
+    emit = np.stack([np.zeros_like(score), score], axis=1)
+    for i in np.flatnonzero(n > LONG):
+        own = slice(offsets[i], offsets[i + 1])
+        alpha[own] = long_alphas(emit[own], moves)
+        beta[own] = long_alphas(emit[own][::-1], moves.T)[::-1] - emit[own]
     order = np.argsort(-n, kind="stable")
     starts, n = offsets[:-1][order], n[order]
+    ends = starts + n - 1
+    n = np.where(n > LONG, 0, n)
+    by_length = np.argsort(-n, kind="stable")
+    starts, n = starts[by_length], n[by_length]
     steps = int(n[0]) if len(n) else 0
     live = np.searchsorted(-n, -np.arange(steps), side="left")
-    alpha, beta = np.zeros((len(score), 2)), np.zeros((len(score), 2))
-    emit = np.stack([np.zeros_like(score), score], axis=1)
     for t in range(steps):
         at = starts[: live[t]] + t
         if t:
@@ -139,7 +186,6 @@ def forward_backward(score: np.ndarray, offsets: np.ndarray, moves: np.ndarray)
         at = starts[: live[t + 1]] + t
         ahead = beta[at + 1] + emit[at + 1]
         beta[at] = np.logaddexp(ahead[:, :1] + moves[:, 0], ahead[:, 1:] + moves[:, 1])
-    ends = starts + n - 1
     norm = np.logaddexp(alpha[ends, 0], alpha[ends, 1])
     each = np.empty(len(score))
     each[:] = np.repeat(norm[np.argsort(order, kind="stable")], np.diff(offsets))
@@ -151,6 +197,34 @@ def forward_backward(score: np.ndarray, offsets: np.ndarray, moves: np.ndarray)
     return good, expected, float(norm.sum())
 
 
+def long_alphas(emit: np.ndarray, moves: np.ndarray, block: int = 512) -> np.ndarray:
+    """Forward scores of one long chain: its blocks advance together, first from either state, then from what the block before ended with."""
+    n, blocks = len(emit), -(-len(emit) // block)
+    e = np.zeros((blocks * block, 2))
+    e[:n] = emit
+    e = e.reshape(blocks, block, 2)
+    step = lambda a, at: np.logaddexp(a[..., :1] + moves[0], a[..., 1:] + moves[1]) + at
+    # from[b, s]: scores at the end of block b if the place before it is in state s
+    through = np.full((blocks, 2, 2), -np.inf)
+    through[:, [0, 1], [0, 1]] = 0
+    for t in range(block):
+        through = step(through, e[:, None, t])
+    before = np.empty((blocks, 2))
+    now = emit[0]
+    for t in range(1, min(block, n)):
+        now = step(now, e[0, t])
+    for b in range(1, blocks):
+        before[b] = now
+        now = np.logaddexp(now[0] + through[b, 0], now[1] + through[b, 1])
+    out = np.empty((blocks, block, 2))
+    a = step(before, e[:, 0])
+    a[0] = emit[0]
+    for t in range(block):
+        a = step(a, e[:, t]) if t else a
+        out[:, t] = a
+    return out.reshape(-1, 2)[:n]
+
+
 def fit_chain(x: np.ndarray, offsets: np.ndarray, y: np.ndarray, rounds: int = 3, steps: int = 60) -> LineChain:
     """Conditional likelihood by Adam; y: 1 for good documents. Lines of bad documents are relabelled between rounds."""
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
@@ -189,8 +263,11 @@ class QualityModel:
         self.chain, self.calibration = chain, calibration
 
     def share(self, texts: pa.Array) -> np.ndarray:
-        x, size, offsets = line_features(texts)
-        return share_of_good(self.chain.marginals(x, offsets), size, offsets)
+        scores, size, offsets = [], np.zeros(0, np.int64), np.zeros(1, np.int64)
+        for x, size, offsets in feature_blocks(texts):
+            scores.append(self.chain.emission(x))
+        good = forward_backward(np.concatenate([*scores, np.zeros(0)]), offsets, self.chain.moves)[0]
+        return share_of_good(good, size, offsets)
 
     def score(self, texts: pa.Array) -> np.ndarray:
         return self.calibration(self.share(texts)) if self.chain else np.full(len(texts), 0.5)
@@ -221,16 +298,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train: Column, label: str =
 def score_quality(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
     """docs with score and predicted beside their columns (or in place of columns of these names)."""
     kept = docs.drop("score", "predicted")
-    names = kept.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", score double, predicted int"
-    at = names.index("text")
+    at = kept.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, at):
             score = model.score(text_array(batch.column(at)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*batch.schema.names, "a0", "a1"])
 
-    return kept.mapInArrow(run, schema)
+    return map_rows(kept, run, {"score": "double", "predicted": "int"})
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -189,7 +189,10 @@ def paragraph_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 for s in spans:
                     ids.append(s["id"])
                     out.append(" ".join(words[s["first_word"] : s["first_word"] + s["n_words"]]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], names=["id", "text"])
+            # another row of the doc_id has other words at the place: only those with the id's hash are the paragraph
+            codes, at, distinct = words_of(pa.array(out, pa.large_string()))
+            own = pa.array(run_hashes_by(hashes_of(distinct)[codes], at).view(np.int64) == np.array(ids, np.int64), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], names=["id", "text"]).filter(own)
 
     return rows.mapInArrow(trimmed(run), "id long, text string")
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm._common import SMALL_SLICE, bound_batches, slices, sum_of, text_array, trimmed, words_of, write_out
+from siftline.llm._common import SMALL_SLICE, bound_batches, map_rows, slices, sum_of, text_array, trimmed, words_of, write_out
 from siftline.llm._labels import bucket, labelled_sample
 from siftline.llm.boosting import BoostedTrees, Isotonic
 
@@ -190,18 +190,16 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = THR
     """docs with score and predicted beside their columns (or in place of columns of these names)."""
     bound_batches(docs.sparkSession)
     kept = docs.drop("score", "predicted")
-    names = kept.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", score double, predicted int"
-    at = names.index("text")
+    at = kept.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = None
-        for batch in slices(batches, most=SMALL_SLICE):
+        for batch in slices(batches, text=at, most=SMALL_SLICE):
             table = table or model.table()
             score = model.score(text_array(batch.column(at)), table)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*batch.schema.names, "a0", "a1"])
 
-    return kept.mapInArrow(trimmed(run), schema)
+    return map_rows(kept, run, {"score": "double", "predicted": "int"})
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
@@ -215,7 +213,7 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHO
             table = table or model.table()
             yield batch.filter(pa.array(model.score(text_array(batch.column(at)), table) < threshold))
 
-    return docs.mapInArrow(trimmed(run), docs.schema)
+    return map_rows(docs, run)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

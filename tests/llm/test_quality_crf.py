@@ -57,3 +57,41 @@ def test_edges(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     empty = m.fit_quality(none, labels, bucket("doc_id", 5) != 0)
     assert m.score_quality(none, empty).collect() == [] and m.score_quality(docs, empty).first().score == 0.5
+
+
+def test_blocks_of_lines_and_of_chains_change_nothing(monkeypatch):
+    rng = np.random.default_rng(5)
+    lines = ["", "Some plain words here.", "§§ 12 ## !!", "CAPS", "again again again", "\t"]
+    texts = pa.array(["\n".join(rng.choice(lines, n)) for n in (1, 2, 700, 1, 3000)] + ["", "no end"], pa.large_string())
+    whole = m.line_features(texts)
+    monkeypatch.setattr(m, "BLOCK", 7)
+    for a, b in zip(whole, m.line_features(texts), strict=True):
+        assert np.array_equal(a, b)
+    score, moves = rng.normal(size=len(whole[0])) * 3, rng.normal(size=(2, 2))
+    want = m.forward_backward(score, whole[2], moves)
+    monkeypatch.setattr(m, "LONG", 600)
+    for a, b in zip(want, m.forward_backward(score, whole[2], moves), strict=True):
+        assert np.allclose(a, b, atol=1e-9)
+
+
+def test_a_text_of_many_lines_is_scored_in_bounded_memory():
+    import resource
+    import time
+
+    chain = m.LineChain(np.linspace(-1, 1, m.FEATURES), np.array([[0.5, -0.5], [-0.5, 0.5]]), np.zeros(m.FEATURES), np.ones(m.FEATURES))
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+    share = m.QualityModel(chain, m.Isotonic()).share(pa.array(["\n" * 1_000_000], pa.large_string()))
+    assert 0 <= share[0] <= 1 and time.time() - began < 60
+    assert (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024 < 500
+
+
+def test_columns_of_any_name(spark):
+    from siftline.llm import toxicity
+    from siftline.llm.boosting import BoostedTrees
+
+    docs = spark.createDataFrame([(1, "a text", 2, "z"), (2, None, 3, "y")], "`a.b` int, text string, `c0` int, `x``y` string")
+    found = m.score_quality(docs, m.QualityModel(None, m.Isotonic()))
+    assert found.columns == ["a.b", "text", "c0", "x`y", "score", "predicted"] and [tuple(r)[:4] for r in found.collect()] == [tuple(r) for r in docs.collect()]
+    model = toxicity.ToxicityModel({}, BoostedTrees(), m.Isotonic().fit(np.zeros(0), np.zeros(0)))
+    assert toxicity.score_toxicity(docs, model).columns == found.columns
+    assert toxicity.drop_toxic(docs, model, 2.0).collect() == docs.collect()

@@ -113,3 +113,14 @@ def test_whole_passages_are_covered(spark):
 
 def test_empty(spark):
     assert m.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_rows_that_repeat_a_doc_id_with_another_text(spark):
+    """The paragraph is taken from the row that holds it, whatever the order of the rows."""
+    words = [f"w{i}" for i in range(40)]
+    near = " ".join([*words[:39], "other"])
+    other = " ".join(f"x{i}" for i in range(45))
+    for rows in ([(1, other), (1, " ".join(words)), (2, near)], [(1, " ".join(words)), (1, other), (2, near)]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        found = {(r.doc_id, r.first_word, r.n_words, r.kept) for r in m.repeated_passages(docs).collect()}
+        assert (2, 0, 40, False) in found and (1, 0, 40, True) in found
