@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions.text import size_bytes
@@ -96,3 +96,17 @@ def builder_filter(extension: str | None = None, bucket: str | None = None, owne
     if buckets is not None:
         out = out & F.col("bucket").isin(*buckets)
     return out
+
+
+def exact(**values: str) -> Column:
+    """Rows whose fields equal the values as they stand: no analysis, no case folding."""
+    out = F.lit(True)
+    for name, value in values.items():
+        out = out & (F.col(name) == F.lit(value))
+    return out
+
+
+def project(hits: DataFrame, include: list[str] | None = None, exclude: list[str] = ("embedding",)) -> DataFrame:
+    """hits with the wanted fields that they have, without the excluded ones; by default all but vectors."""
+    names = [c for c in hits.columns if (include is None or c in include) and c not in exclude]
+    return hits.select(*names)

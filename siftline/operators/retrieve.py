@@ -156,24 +156,77 @@ def pool_size(limit: int, config: SearchConfig = SearchConfig()) -> int:
     return max(2 * max(limit, config.rerank_pool), 50)
 
 
-def rerank(hits: DataFrame, query: list[str], text: str = "chunk_text", score: str = "combined", config: SearchConfig = SearchConfig()) -> DataFrame:
-    """hits with rerank_score: the share of query terms in the first 1000 characters. A clear winner keeps the fused order."""
+def rerank(hits: DataFrame, query: list[str], text: str = "chunk_text", score: str = "combined", config: SearchConfig = SearchConfig(), nearness: float = 0.0) -> DataFrame:
+    """hits with rerank_score: the share of query terms in the first 1000 characters, `nearness` of it by how close together they stand. A clear winner keeps the fused order."""
     words = analyze(F.substring(text, 1, 1000))
     share = F.size(F.array_intersect(words, F.array(*map(F.lit, query)))) / F.lit(max(1, len(set(query)))) if query else F.lit(0.0)
+    if nearness and query:
+        share = (1 - nearness) * share + nearness * proximity(F.substring(text, 1, 1000), query)
     order = Window.partitionBy(F.lit(0)).orderBy(F.desc(score), "doc_id")
     rows = hits.withColumn("_rank", F.row_number().over(order)).withColumn("_next", F.lead(score).over(order))
     clear = F.max(F.when((F.col("_rank") == 1) & (F.col(score) >= config.fast_path_score) & (F.col(score) - F.coalesce("_next", F.lit(0.0)) >= config.fast_path_gap), 1).otherwise(0)).over(Window.partitionBy(F.lit(0)))
     return rows.withColumn("fast_path", clear == 1).withColumn("rerank_score", F.when(F.col("fast_path"), F.col(score)).otherwise(share)).drop("_rank", "_next")
 
 
-def highlight(text: Column, terms: list[str], size: int = 200, fragments: int = 3, no_match: int = 150) -> Column:
-    """Up to three fragments with marked terms; the head of the text where nothing matches."""
+def passages(text: Column, terms: list[str], size: int = 200, fragments: int = 3, weights: dict[str, float] | None = None) -> Column:
+    """array of (score, start, text) of the best passages of `size` characters that hold a term, best first (ties: the earlier).
+
+    A passage scores as BM25 does without lengths, which are alike: for each term weight * tf / (tf + 1.2), the weight being its idf, or 1.
+    """
+    found = F.array().cast("array<struct<score:double,start:int,text:string>>")
+    if not terms:
+        return found
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.length(text) / size) - 1, F.lit(0)).cast("int"))
+
+    def scored(piece: Column, i: Column) -> Column:
+        words = analyze(piece)
+
+        def total(bound: Column) -> Column:
+            out = F.lit(0.0)
+            for t in dict.fromkeys(terms):
+                tf = F.size(F.filter(bound, _is(t)))
+                out = out + F.lit(float((weights or {}).get(t, 1.0))) * tf / (tf + 1.2)
+            return out
+
+        # the words are bound once
+        score = F.transform(F.array(words), total)[0]
+        return F.struct(F.round(score, 9).alias("score"), (-i * size).alias("start"), piece.alias("text"))
+
+    each = F.transform(starts, lambda i: scored(F.substring(text, i * size + 1, F.lit(size)), i))
+    best = F.slice(F.reverse(F.array_sort(F.filter(each, lambda p: p["score"] > 0))), 1, fragments)
+    return F.transform(best, lambda p: F.struct(p["score"].alias("score"), (-p["start"]).alias("start"), p["text"].alias("text")))
+
+
+def highlight(text: Column, terms: list[str], size: int = 200, fragments: int = 3, no_match: int = 150, weights: dict[str, float] | None = None) -> Column:
+    """The best passages with marked terms; the head of the text where nothing matches."""
+    head = F.array(F.substring(text, 1, no_match))
     if not terms:
-        return F.array(F.substring(text, 1, no_match))
+        return head
     pattern = r"(?i)(?<![\p{L}\p{N}_])(" + "|".join(terms) + r")(?![\p{L}\p{N}_])"
-    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length(text) / size) - 1, F.lit(0)).cast("int")), lambda i: F.substring(text, i * size + 1, F.lit(size)))
-    marked = F.transform(F.filter(pieces, lambda p: p.rlike(pattern)), lambda p: F.regexp_replace(p, pattern, "<mark>$1</mark>"))
-    return F.when(F.size(marked) > 0, F.slice(marked, 1, fragments)).otherwise(F.array(F.substring(text, 1, no_match)))
+    marked = F.transform(passages(text, terms, size, fragments, weights), lambda p: F.regexp_replace(p["text"], pattern, "<mark>$1</mark>"))
+    return F.when(F.size(marked) > 0, marked).otherwise(head)
+
+
+def covering_window(words: Column, terms: list[str]) -> Column:
+    """Words in the shortest stretch of an array that holds every term; null if some term is missing. One pass with the last place of each term."""
+    terms = list(dict.fromkeys(terms))
+    start = F.struct(F.lit(0).alias("i"), F.array(*[F.lit(-1)] * len(terms)).alias("last"), F.lit(None).cast("int").alias("best"))
+
+    def step(state: Column, word: Column) -> Column:
+        last = F.array(*[F.when(word == F.lit(t), state["i"]).otherwise(state["last"][n]) for n, t in enumerate(terms)])
+        # a term that is missing yet has place -1
+        whole = F.array_min(last) >= 0
+        return F.struct((state["i"] + 1).alias("i"), last.alias("last"), F.when(whole, F.least(F.coalesce(state["best"], state["i"] + 1), state["i"] - F.array_min(last) + 1)).otherwise(state["best"]).alias("best"))
+
+    return F.aggregate(words, start, step, lambda s: s["best"])
+
+
+def proximity(text: Column, terms: list[str]) -> Column:
+    """1 where the terms stand side by side, less the farther apart they are, 0 where some term is missing."""
+    distinct = len(set(terms))
+    if not distinct:
+        return F.lit(0.0)
+    return F.coalesce(distinct / covering_window(analyze(text), terms), F.lit(0.0))
 
 
 def suggest(chunks: DataFrame, prefix: str, size: int = 5) -> DataFrame:

@@ -698,6 +698,56 @@ def highlight_snippet(spark, sf):
     return chunks(spark, sf).select("doc_id", F.array_join(retrieve.highlight(F.col("chunk_text"), ["licensed", "the"]), " … ").alias("snippet"))
 
 
+PASSAGE = "substring(text, CAST(k * 200 + 1 AS BIGINT), 200)"
+
+
+@query("highlight_passages", f"""WITH p AS (SELECT doc_id, CAST(k * 200 AS INTEGER) AS start, {PASSAGE} AS piece, {WORDS % PASSAGE} AS w FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(greatest(length(text), 1) / 200.0) AS BIGINT))) AS k FROM documents)),
+s AS (SELECT *, CAST(len(list_filter(w, lambda x: x = 'licensed')) AS DOUBLE) AS a, CAST(len(list_filter(w, lambda x: x = 'the')) AS DOUBLE) AS b FROM p),
+r AS (SELECT doc_id, start, piece, round(3.0 * a / (a + 1.2) + 1.0 * b / (b + 1.2), 9) AS score FROM s)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, start) AS INTEGER) AS rank, start, round(score, 6) AS score, md5(piece) AS digest FROM r WHERE score > 0 QUALIFY rank <= 3""")
+def highlight_passages(spark, sf):
+    """The three best passages of each document for two terms of different weight."""
+    best = retrieve.passages(F.col("text"), ["licensed", "the"], weights={"licensed": 3.0})
+    rows_ = table(spark, sf, "documents").select("doc_id", F.posexplode(best).alias("at", "p"))
+    return rows_.select("doc_id", (F.col("at") + 1).alias("rank"), "p.start", F.round("p.score", 6).alias("score"), F.md5(F.encode("p.text", "UTF-8")).alias("digest"))
+
+
+@query("rerank_proximity", f"""WITH w AS (SELECT doc_id, {WORDS % 'substring(text, 1, 1000)'} AS w FROM documents),
+t AS (SELECT doc_id, unnest(list_filter(list_transform(w, lambda x, i: CASE WHEN x IN ('the', 'and') THEN struct_pack(term := x, place := i) END), lambda x: x IS NOT NULL), recursive := true) FROM w),
+l AS (SELECT doc_id, place, max(CASE WHEN term = 'the' THEN place END) OVER r AS a, max(CASE WHEN term = 'and' THEN place END) OVER r AS b FROM t WINDOW r AS (PARTITION BY doc_id ORDER BY place)),
+b AS (SELECT doc_id, min(place - least(a, b) + 1) AS best FROM l WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY doc_id)
+SELECT doc_id, CAST(best AS INTEGER) AS words, round(coalesce(2.0 / best, 0), 6) AS proximity FROM documents LEFT JOIN b USING (doc_id)""")
+def rerank_proximity(spark, sf):
+    """The shortest stretch with both terms in the head of each document, and the nearness that a second ranking takes from it."""
+    head = F.substring("text", 1, 1000)
+    return table(spark, sf, "documents").select("doc_id", retrieve.covering_window(fx.analyze(head), ["the", "and"]).alias("words"), F.round(retrieve.proximity(head, ["the", "and"]), 6).alias("proximity"))
+
+
+@query("ordered_distinct", f"WITH {TOKENS} SELECT doc_id, md5(array_to_string(list_filter(terms, lambda w, i: list_position(terms, w) = i), ' ')) AS digest FROM t")
+def ordered_distinct(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(F.encode(F.array_join(F.array_distinct(fx.analyze(F.col("text"))), " "), "UTF-8")).alias("digest"))
+
+
+@query("filter_exact_keyword", f"WITH {CORPUS} SELECT doc_id FROM corpus WHERE owner = 'user3' AND filename = 'doc_10.txt'")
+def filter_exact_keyword(spark, sf):
+    return chunks(spark, sf).where(predicates.exact(owner="user3", filename="doc_10.txt")).select("doc_id")
+
+
+@query("source_projection", f"WITH {CORPUS} SELECT doc_id, filename, bucket FROM corpus WHERE extension = 'pdf'")
+def source_projection(spark, sf):
+    """Some fields of the hits without the large one; the scan reads no text."""
+    return predicates.project(chunks(spark, sf).where("extension = 'pdf'"), include=["doc_id", "filename", "bucket", "chunk_text", "author"], exclude=["chunk_text", "embedding"])
+
+
+@query("idempotent_extraction", "SELECT count(*) AS pages, 0 AS differing FROM pages")
+def idempotent_extraction(spark, sf):
+    """Pages whose text differs between two extractions of the same bytes."""
+    once = lambda: table(spark, sf, "pages").select("page_id", ingest.extract(F.encode("html", "UTF-8"), F.lit("text/html")).alias("r")).select("page_id", "r.text")
+    a, b = once(), once().toDF("id", "again")
+    both = a.join(b, F.col("page_id") == F.col("id"), "full")
+    return both.agg(F.count("*").alias("pages"), F.count_if(~F.equal_null("text", "again")).cast("int").alias("differing"))
+
+
 @query("snippet_fallback", f"WITH {CORPUS} SELECT doc_id, md5(substring(chunk_text, 1, 150)) AS digest FROM corpus")
 def snippet_fallback(spark, sf):
     return chunks(spark, sf).select("doc_id", F.md5(F.encode(F.element_at(retrieve.highlight(F.col("chunk_text"), ["zzzznever"]), 1), "UTF-8")).alias("digest"))
