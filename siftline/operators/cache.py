@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections import OrderedDict
 from collections.abc import Callable
 
 import pandas as pd
@@ -73,14 +74,17 @@ def recent(log: DataFrame, n: int = 10, contains: str = "") -> DataFrame:
 
 
 class ResultCache:
-    """A driver-side store of small result lists with expiry and hit counts; failures never fail a query."""
+    """A driver-side store of small result lists with expiry and hit counts; failures never fail a query.
 
-    def __init__(self, policy: CachePolicy = CachePolicy(), clock: Callable[[], float] | None = None):
+    It holds `most` entries; the least recently used goes first. A hit count ends twice the popular time after its last hit.
+    """
+
+    def __init__(self, policy: CachePolicy = CachePolicy(), clock: Callable[[], float] | None = None, most: int = 10_000):
         import time
 
-        self.policy, self.clock = policy, clock or time.time
-        self.entries: dict[str, tuple[float, str]] = {}
-        self.counts: dict[str, int] = {}
+        self.policy, self.clock, self.most = policy, clock or time.time, most
+        self.entries: OrderedDict[str, tuple[float, str]] = OrderedDict()
+        self.hits: OrderedDict[str, tuple[float, int]] = OrderedDict()
         self.stats = {"hits": 0, "misses": 0, "stores": 0, "errors": 0}
 
     def get(self, key: str) -> dict | None:
@@ -89,17 +93,30 @@ class ResultCache:
             self.entries.pop(key, None)
             self.stats["misses"] += 1
             return None
-        self.counts[key] = n = self.counts.get(key, 0) + 1
+        self.entries.move_to_end(key)
+        n = self.count(key) + 1
+        self.hits[key] = (self.clock() + 2 * self.policy.popular_ttl, n)
+        self._cut(self.hits)
         self.stats["hits"] += 1
         if self.policy.at_read and n == self.policy.popular_at:
             self.entries[key] = (self.clock() + self.policy.popular_ttl, found[1])
         return json.loads(found[1]) | {"_cache": {"hit": True, "hit_count": n, "key": key}}
 
+    def count(self, key: str) -> int:
+        ends, n = self.hits.get(key, (0.0, 0))
+        return n if ends > self.clock() else 0
+
+    def _cut(self, kept: OrderedDict) -> None:
+        while len(kept) > self.most:
+            kept.popitem(last=False)
+
     def set(self, key: str, payload: dict, ttl: int | None = None, has_filters: bool = False) -> None:
-        popular_ = not self.policy.at_read and self.counts.get(key, 0) >= self.policy.popular_at
+        popular_ = not self.policy.at_read and self.count(key) >= self.policy.popular_at
         ttl = ttl or (self.policy.popular_ttl if popular_ else self.policy.filtered_ttl if has_filters else self.policy.default_ttl)
         kept = {k: v for k, v in payload.items() if not k.startswith("_cache")} | {"_stored_at": self.clock()}
         self.entries[key] = (self.clock() + ttl, json.dumps(kept, default=str))
+        self.entries.move_to_end(key)
+        self._cut(self.entries)
         self.stats["stores"] += 1
 
     def invalidate(self, key: str) -> int:

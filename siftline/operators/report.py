@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,11 +18,15 @@ def validation_flags(latency_ms: Column, dims: Column, chars: Column, image: Col
     return F.filter(found, lambda x: x.isNotNull())
 
 
-def write_report(rows: DataFrame, folder: str) -> list[str]:
-    """One aggregated row as JSON and Markdown."""
-    row = rows.first().asDict()
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    paths = [f"{folder}/report.json", f"{folder}/report.md"]
-    Path(paths[0]).write_text(json.dumps(row, default=str, indent=2))
-    Path(paths[1]).write_text("| measure | value |\n|---|---|\n" + "".join(f"| {k} | {v} |\n" for k, v in row.items()))
-    return paths
+def write_report(cases: DataFrame, folder: str) -> None:
+    """The summary as JSON and as a Markdown table, and each case as JSON in folders by outcome; all by Spark's writers, so any store will do."""
+    total = summary(cases)
+    total.coalesce(1).write.mode("overwrite").json(f"{folder}/summary")
+    lines = F.array(F.lit("| measure | value |"), F.lit("|---|---|"), *[F.concat(F.lit(f"| {c} | "), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(" |")) for c in total.columns])
+    total.select(F.explode(lines).alias("value")).coalesce(1).write.mode("overwrite").text(f"{folder}/markdown")
+    cases.write.mode("overwrite").partitionBy("passed").json(f"{folder}/cases")
+
+
+def dump(chunks: DataFrame, folder: str) -> None:
+    """Chunks as JSON lines in folders by bucket, for a look at what was indexed."""
+    chunks.write.mode("overwrite").partitionBy("bucket").json(folder)

@@ -812,7 +812,14 @@ def recent_queries(spark, sf):
 LONG = CachePolicy(default_ttl=7200, filtered_ttl=7200, popular_ttl=43200, popular_at=3)
 
 
-@query("cache_ttl_replay")
+PROMOTED = """WITH RECURSIVE e AS (SELECT event_id, ts, 'q' || (user_id % 40) AS key, row_number() OVER (PARTITION BY user_id % 40 ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT key, n, event_id, false AS hit, ts + INTERVAL 2 HOUR AS alive, 0 AS hits, NULL::TIMESTAMP AS counted FROM e WHERE n = 1
+ UNION ALL SELECT key, n, event_id, hit, CASE WHEN hit AND so_far + 1 = 3 THEN ts + INTERVAL 12 HOUR WHEN hit THEN alive ELSE ts + INTERVAL 2 HOUR END, CASE WHEN hit THEN so_far + 1 ELSE so_far END, CASE WHEN hit THEN ts + INTERVAL 24 HOUR ELSE counted END
+ FROM (SELECT e.key, e.n, e.event_id, e.ts, e.ts < r.alive AS hit, r.alive, CASE WHEN r.counted IS NOT NULL AND e.ts >= r.counted THEN 0 ELSE r.hits END AS so_far, r.counted FROM r JOIN e ON e.key = r.key AND e.n = r.n + 1))
+SELECT event_id, key, hit, epoch_us(alive) AS expires_us FROM r"""
+
+
+@query("cache_ttl_replay", PROMOTED)
 def cache_ttl_replay(spark, sf):
     return cache.replay(log(spark, sf), LONG).select("event_id", "key", "hit", F.unix_micros("expires_at").alias("expires_us"))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -65,6 +67,29 @@ def fetch(records: DataFrame, root: str, key: str = "object_key") -> DataFrame:
     return records.mapInArrow(run, schema)
 
 
+def put_objects(rows: DataFrame, root: str) -> DataFrame:
+    """Writes objects (bucket, key, content, content_type) to root/bucket/key where the rows are; the events of their creation as messages (key, value, topic)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                place, content = f"{r['bucket']}/{r['key']}", r["content"] or b""
+                if ".." in place.split("/"):
+                    raise ValueError("a path outside the store")
+                store.create_dir(f"{base.rstrip('/')}/{place}".rpartition("/")[0], recursive=True)
+                with store.open_output_stream(f"{base.rstrip('/')}/{place}") as stream:
+                    stream.write(content)
+                event = {"eventName": "s3:ObjectCreated:Put", "s3": {"bucket": {"name": r["bucket"]}, "object": {"key": quote(r["key"], safe="/"), "size": len(content), "contentType": r["content_type"]}}}
+                out.append((place, json.dumps({"Records": [event]}), TOPIC))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.string())] * 3, names=["key", "value", "topic"])
+
+    return rows.select("bucket", "key", "content", "content_type").mapInArrow(run, "key string, value string, topic string")
+
+
 def _files(spark: SparkSession, path: str):
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jpath, jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

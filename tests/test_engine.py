@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from siftline.config import CachePolicy, SearchConfig
 from siftline.functions import text as fx
 from siftline.functions.embed import embed
-from siftline.operators import cache, chunking, dead_letters, documents, ingest, parse, predicates, quality, results, retrieve
+from siftline.operators import cache, chunking, dead_letters, documents, ingest, parse, predicates, quality, report, results, retrieve
 from siftline.plans.search import SearchEngine
 from siftline.sources import chunk_store, generators, readers
 from siftline.streaming import ingestion
@@ -266,3 +266,32 @@ def test_embedding_is_the_same_in_any_batch(spark):
     alone = {r.i: r.e for r in frame.repartition(5).select("i", embed(F.col("t")).alias("e")).collect()}
     assert together == alone and together[1] == together[2] == [0.0] * 64
     assert together[0] == pytest.approx(together[4], abs=0)
+
+
+def test_cache_is_bounded_and_counts_end():
+    now = [0.0]
+    store = cache.ResultCache(CachePolicy(), lambda: now[0], most=3)
+    for k in "abc":
+        store.set(k, {"x": k})
+    assert store.get("a")["_cache"]["hit_count"] == 1
+    store.set("d", {})
+    assert store.get("b") is None and store.get("a") and set(store.entries) == {"a", "c", "d"}  # b was used least recently
+    now[0] = 2 * 1800 + 1
+    store.set("a", {})
+    assert store.get("a")["_cache"]["hit_count"] == 1 and len(store.hits) <= 3
+
+
+def test_reports_dumps_and_uploads(spark, tmp_path):
+    cases = spark.createDataFrame([(1, 10.0, True, 512), (2, 6000.0, False, 384)], "case_id int, latency_ms double, passed boolean, dims int")
+    report.write_report(cases, f"{tmp_path}/report")
+    assert spark.read.json(f"{tmp_path}/report/summary").first().slowest == 2
+    assert "| over_threshold | 1 |" in [r.value for r in spark.read.text(f"{tmp_path}/report/markdown").collect()]
+    assert spark.read.json(f"{tmp_path}/report/cases").where("NOT passed").first().case_id == 2
+    objects = spark.createDataFrame([("u", "a b/ü.txt", b"An uploaded text of some length.", "text/plain"), ("v", "x.txt", b"Another uploaded text.", "text/plain")], "bucket string, key string, content binary, content_type string")
+    sent = readers.put_objects(objects, f"{tmp_path}/store").collect()
+    messages(spark, [r.value for r in sent]).write.json(f"{tmp_path}/in")
+    ingestion.start(readers.file_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/table", f"{tmp_path}/dead", f"{tmp_path}/ck", store=f"{tmp_path}/store").awaitTermination(120)
+    table = chunk_store.chunk_table(spark, f"{tmp_path}/table")
+    assert sorted((r.object_key, r.chunk_text) for r in table.collect()) == [("u/a b/ü.txt", "An uploaded text of some length."), ("v/x.txt", "Another uploaded text.")]
+    report.dump(table, f"{tmp_path}/dump")
+    assert sorted(r.bucket for r in spark.read.json(f"{tmp_path}/dump").collect()) == ["u", "v"]
