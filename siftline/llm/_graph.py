@@ -83,7 +83,7 @@ def linked_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFram
 
     Similar ids must not differ in size by more than 1 / least: wide buckets are split by size class. Each
     round compares the members of every bucket that still spans several components with one centre of the
-    bucket: the least id, then the least ids under `ROUNDS` further salts. A centre has then been compared with
+    bucket: the id that lies in the most buckets (ties: the least under a salt), then `ROUNDS` further ones. A centre has then been compared with
     its whole bucket and leaves it. Buckets whose other members are inside one component need no more and leave
     before the next round. Small buckets that still span several are compared pair by pair, members of
     wide ones by prefix filter: similar ids have so many tokens in common that in any one order of all tokens
@@ -97,17 +97,21 @@ def linked_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFram
     common at least; by default those of a Jaccard similarity of `least`.
     """
     spark = buckets.sparkSession
-    rest = write_out(by_size(buckets, 1 / least), f"{name}-buckets")
+    rest = write_out(by_size(buckets, 1 / least), f"{name}-keyed")
+    # ids that lie in the most buckets come first as centres: near copies share more with what they were made of than with each other
+    often = rest.groupBy(F.col("id").alias("counted")).agg(F.count("*").cast("int").alias("often"))
+    keyed, rest = rest, write_out(rest.join(often, F.col("id") == F.col("counted")).select("key", "id", "often"), f"{name}-buckets")
+    drop_out(spark, keyed)
     tried, links, roots, used = None, None, None, []
     for turn in range(ROUNDS + 2):
         rows = rest
         if roots is not None:
-            rows = rest.join(roots.withColumnRenamed("id", "known"), F.col("id") == F.col("known"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+            rows = rest.join(roots.withColumnRenamed("id", "known"), F.col("id") == F.col("known"), "left").select("key", "id", "often", F.coalesce("root", "id").alias("root"))
             # buckets of the same members have the same pairs and centres: one of them stays
             members = [F.bit_xor(F.xxhash64("id", F.lit(salt))).alias(f"set{salt}") for salt in (0, 1)]
             spans = rows.groupBy(F.col("key").alias("open")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), *members).where("lo < hi")
             spans = spans.groupBy("n", "set0", "set1").agg(F.min("open").alias("open")).select("open", "n")
-            rows = write_out(rows.join(spans, F.col("key") == F.col("open")).select("key", "id", "root", "n"), f"{name}-open")
+            rows = write_out(rows.join(spans, F.col("key") == F.col("open")).select("key", "id", "often", "root", "n"), f"{name}-open")
             drop_out(spark, rest)
         if turn > ROUNDS:
             small = rows.where(F.col("n") <= SMALL).select("key", "id", "root")
@@ -150,13 +154,13 @@ def _prefix_pairs(members: DataFrame, prefix: Callable[[DataFrame], DataFrame],
 
 
 def _with_centres(rows: DataFrame, salt: int) -> DataFrame:
-    """(key, id, c, joined) of the members of buckets other than the centre c of their bucket: its least id under the salt. joined: both are in one component already."""
+    """(key, id, often, c, joined) of the members of buckets other than the centre c of their bucket: that which lies in the most buckets, then the least id under the salt. joined: both are in one component already."""
     if "root" not in rows.columns:
         rows = rows.withColumn("root", F.col("id"))
-    centre = F.min(F.struct(F.col("id").bitwiseXOR(F.lit(salt)).alias("c"), "root")).alias("c")
+    centre = F.min(F.struct((-F.col("often")).alias("o"), F.col("id").bitwiseXOR(F.lit(salt)).alias("c"), "root")).alias("c")
     centres = rows.groupBy(F.col("key").alias("at_key")).agg(centre)
     met = rows.join(centres, F.col("key") == F.col("at_key")).withColumn("joined", F.col("root") == F.col("c.root"))
-    return met.select("key", "id", F.col("c.c").bitwiseXOR(F.lit(salt)).alias("c"), "joined").where("id <> c")
+    return met.select("key", "id", "often", F.col("c.c").bitwiseXOR(F.lit(salt)).alias("c"), "joined").where("id <> c")
 
 
 def frequent_tokens(texts: DataFrame, tokens: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
