@@ -254,11 +254,13 @@ def _tagged(field: str) -> Column:
 
 def _packed(number: bool) -> list[Column]:
     """Columns of a block's keys (gaps, if they are numbers), frequencies and lengths."""
-    keys = F.transform("p", lambda x: x["key"])
+    part = lambda name: F.transform("p", lambda x: x[name])
     if not number:
-        return [keys.alias("keys"), F.transform("p", lambda x: x["tf"]).alias("tfs"), F.transform("p", lambda x: x["dl"]).alias("dls")]
-    gap = lambda x, i: F.when(i == 0, x.cast("long")).otherwise(x.cast("long") - F.element_at(keys, F.greatest(i, F.lit(1))).cast("long"))
-    return [F.transform(keys, gap).alias("gaps"), F.transform("p", lambda x: x["tf"]).alias("tfs"), F.transform("p", lambda x: x["dl"]).alias("dls")]
+        return [part("key").alias("keys"), part("tf").alias("tfs"), part("dl").alias("dls")]
+    # the key before is taken from the column itself: a list made inside would be made again for each element
+    before = lambda i: F.element_at(F.col("p"), F.greatest(i, F.lit(1)))["key"].cast("long")
+    gap = lambda x, i: F.when(i == 0, x["key"].cast("long")).otherwise(x["key"].cast("long") - before(i))
+    return [F.transform("p", gap).alias("gaps"), part("tf").alias("tfs"), part("dl").alias("dls")]
 
 
 def unpacked(rows: DataFrame) -> Column:
