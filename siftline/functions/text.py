@@ -67,9 +67,20 @@ def from_millis(n: Column) -> Column:
     return F.timestamp_millis(n)
 
 
+def year_of(at: Column) -> Column:
+    """A year in four digits, or in as many as it has beyond them, without a plus sign."""
+    year = F.year(at)
+    return F.when(year.between(0, 9999), F.lpad(year.cast("string"), 4, "0")).otherwise(year.cast("string"))
+
+
+def full_time(at: Column) -> Column:
+    """A time as '2024-01-05 09:30:00'."""
+    return F.concat(year_of(at), F.date_format(at, "-MM-dd HH:mm:ss"))
+
+
 def short_date(at: Column) -> Column:
     """A day as 'Jan 5, 2024'."""
-    return F.date_format(at, "MMM d, yyyy")
+    return F.concat(F.date_format(at, "MMM d, "), year_of(at))
 
 
 def percent(x: Column) -> Column:

@@ -1003,7 +1003,7 @@ def percent_format(spark, sf):
 
 @query("from_millis", "SELECT event_id, strftime(epoch_ms(event_id * 86400123), '%Y-%m-%d %H:%M:%S') AS shown FROM events")
 def from_millis(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.date_format(fx.from_millis(F.col("event_id") * 86400123), "yyyy-MM-dd HH:mm:ss").alias("shown"))
+    return table(spark, sf, "events").select("event_id", fx.full_time(fx.from_millis(F.col("event_id") * 86400123)).alias("shown"))
 
 
 @query("short_date", "SELECT event_id, strftime(ts, '%b %-d, %Y') AS shown FROM events")

@@ -38,3 +38,11 @@ def test_equals_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() >= 0
+
+
+def test_times_of_years_beyond_four_digits_equal_sql(spark, tmp_path):
+    duckdb.sql("SELECT i AS event_id, epoch_ms(i * 86400123) AS ts FROM (SELECT unnest([0, 1, 2932896, 2932897, 6000000, 100000000]) AS i)").write_parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    for name in ("from_millis", "short_date"):
+        assert sorted((r.event_id, r.shown) for r in QUERIES[name](spark, str(tmp_path)).collect()) == sorted(con.execute(SQL[name]).fetchall())
