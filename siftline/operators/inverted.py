@@ -1,9 +1,10 @@
-"""A persisted inverted index: posting blocks with score bounds, a dictionary, and deletion neighbourhoods for fuzzy terms.
+"""A persisted inverted index: posting blocks with score bounds, and a sorted dictionary, in which fuzzy terms are looked up too.
 
 Documents are dealt into blocks of about `WIDTH` by a hash of their key, so a posting list, however long, is spread over
 blocks that no task has to hold together. A row of `postings` has one term's documents of one block: keys and lengths,
 term frequencies, and from the greatest frequency and the least length a bound of its scores under any average length.
-Rows are sorted by field and term, so a lookup reads the row groups of its terms only.
+Rows are sorted by field and term, so a lookup reads the row groups of its terms only. Texts are dealt by block before
+they are cut into terms: a block's terms are counted together, and what moves is the texts and the finished rows.
 
 A search adds up the bounds of its terms block by block, from narrow columns; it scores the blocks with the greatest
 bounds first, and then only those whose bound reaches the k-th score found so far. What a bound rules out could not have
@@ -16,24 +17,27 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.config import SearchConfig
 from siftline.functions.text import analyze
-from siftline.sources.readers import exists, folders
+from siftline.sources.readers import exists, folders, remove
 
 #: Documents of a block, on average.
 WIDTH = 1024
+#: Blocks that a task cuts into terms.
+BLOCKS_PER_TASK = 8
 #: Blocks that are scored before bounds rule out others.
 FIRST = 32
 #: Rows of block numbers that may be broadcast: 16 bytes each.
 FEW_BLOCKS = 1_000_000
-#: Characters behind the fixed prefix whose deletions are indexed; terms within so many edits share a deletion of their starts.
-START = 8
-MOST_EDITS = 2
 
 
 def field_terms(field: str) -> Column:
@@ -47,29 +51,6 @@ def field_terms(field: str) -> Column:
     return F.array(F.lower(F.col(field)))
 
 
-def deletions(text: str, most: int) -> set[str]:
-    """A string and what is left of it after up to `most` deletions."""
-    out = level = {text}
-    for _ in range(most):
-        level = {t[:i] + t[i + 1 :] for t in level for i in range(len(t))}
-        out = out | level
-    return out
-
-
-def _fewer(texts: Column) -> Column:
-    """Strings with one character less than those of an array."""
-    one = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
-    return F.array_distinct(F.flatten(F.transform(F.filter(texts, lambda t: F.length(t) > 0), one)))
-
-
-def deletion_keys(terms: DataFrame, prefix: int) -> DataFrame:
-    """terms (term, ...) with `variant`: their first characters and each deletion of up to MOST_EDITS of the next START ones."""
-    none = F.array(F.substring("term", prefix + 1, START))
-    rows = terms.withColumn("_0", none).withColumn("_1", _fewer(F.col("_0"))).withColumn("_2", _fewer(F.col("_1")))
-    variants = F.array_distinct(F.concat("_0", "_1", "_2"))
-    return rows.select(*terms.columns, F.explode(variants).alias("v")).select(*terms.columns, F.concat(F.substring("term", 1, prefix), F.lit("|"), "v").alias("variant"))
-
-
 def osa(term: Column, asked: str) -> Column:
     """Edits between a column and a fixed string, a swap of neighbours as one: row by row of the edit table, in SQL functions."""
     b = F.array(*[F.lit(c) for c in asked]) if asked else F.array().cast("array<string>")
@@ -108,7 +89,7 @@ class Stats:
 
 
 class InvertedIndex:
-    """An index in a folder: segments `s-<number>` with tables postings, terms, deletions and fields."""
+    """An index in a folder: segments `s-<number>` with tables postings, terms and fields."""
 
     def __init__(self, spark: SparkSession, path: str, config: SearchConfig = SearchConfig()):
         self.spark, self.path, self.config = spark, path.rstrip("/"), config
@@ -122,25 +103,22 @@ class InvertedIndex:
     def add(self, chunks: DataFrame, fields: list[str], key: str = "doc_id", partitions: int | None = None) -> None:
         """Indexes the fields of chunks, one document per key, as a new segment."""
         place = f"{self.path}/s-{len(self.segments()):06d}-{uuid.uuid4().hex[:12]}"
-        docs = chunks.select(F.col(key).alias("key"), *[field_terms(f).alias(f) for f in fields])
+        split = partitions or max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         blocks = max(1, -(-chunks.count() // WIDTH))
-        docs = docs.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
-        tagged = [F.coalesce(_tagged(f), F.array().cast("array<struct<field:string,term:string,dl:int>>")) for f in fields]
-        each = docs.select("key", "block", F.explode(F.concat(*tagged)).alias("p")).select("key", "block", "p.*").where("term IS NOT NULL")
-        counted = each.groupBy("field", "term", "block", "key", "dl").agg(F.count("*").cast("int").alias("tf"))
-        lists = counted.groupBy("field", "term", "block").agg(F.sort_array(F.collect_list(F.struct("key", "tf", "dl"))).alias("p"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
-        # the ids of a block are one more than the one before plus a gap where they are numbers: small numbers pack well
-        rows = lists.select("field", "term", "block", F.size("p").alias("n"), "max_tf", "min_dl", *_packed(docs.schema["key"].dataType.typeName() in ("long", "integer", "short")))
+        block = F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block")
+        named = [F.col(f).alias(f"f{i}") for i, f in enumerate(fields)]
+        dealt = chunks.select(F.col(key).alias("key"), block, *named).repartition(max(split, -(-blocks // BLOCKS_PER_TASK)), "block").sortWithinPartitions("block")
+        docs = dealt.select("key", "block", *[F.col(f"f{i}").alias(f) for i, f in enumerate(fields)]).select("key", "block", *[field_terms(f).alias(f"f{i}") for i, f in enumerate(fields)])
+        rows = posting_rows(docs, fields)
+        # borders of a range are found by a pass of its own over the rows: they are written first, lest the texts be cut twice
+        rows.write.parquet(f"{place}/unsorted")
         sort = ["field", "term", "block"]
-        split = partitions or max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        rows.repartitionByRange(split, *sort).sortWithinPartitions(*sort).write.parquet(f"{place}/postings")
+        self.spark.read.parquet(f"{place}/unsorted").repartitionByRange(split, *sort).sortWithinPartitions(*sort).write.parquet(f"{place}/postings")
+        remove(self.spark, f"{place}/unsorted")
         terms = self.spark.read.parquet(f"{place}/postings").groupBy("field", "term").agg(F.sum("n").alias("df"))
         terms.repartitionByRange(split, "field", "term").sortWithinPartitions("field", "term").write.parquet(f"{place}/terms")
-        vocabulary = self.spark.read.parquet(f"{place}/terms").where(F.length("term") > self.config.fuzzy_prefix).groupBy("term").agg(F.sum("df").alias("df"))
-        near = deletion_keys(vocabulary, self.config.fuzzy_prefix)
-        near.repartitionByRange(split, "variant").sortWithinPartitions("variant").write.parquet(f"{place}/deletions")
         # a document without a field takes no part in the field's mean length
-        facts = docs.agg(F.count("*").alias("n"), *[F.struct(F.coalesce(F.sum(F.size(f)), F.lit(0)).alias("length"), F.count(F.col(f)).alias("docs")).alias(f) for f in fields])
+        facts = chunks.select(*[field_terms(f).alias(f) for f in fields]).agg(F.count("*").alias("n"), *[F.struct(F.coalesce(F.sum(F.size(f)), F.lit(0)).alias("length"), F.count(F.col(f)).alias("docs")).alias(f) for f in fields])
         facts.select("n", F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f))]).alias("lengths")).coalesce(1).write.parquet(f"{place}/fields")
 
     # ---- reading -------------------------------------------------------------------------------------
@@ -187,7 +165,7 @@ class InvertedIndex:
         return by_field.groupBy("segment", "block").agg(F.max("bound").alias("bound"))
 
     def _scores(self, rows: DataFrame, stats: Stats, allowed: DataFrame | None) -> DataFrame:
-        each = rows.select("field", "weight", F.explode(unpacked(rows)).alias("p")).select("field", "weight", "p.*")
+        each = unpacked(rows)
         if allowed is not None:
             each = each.join(allowed.toDF("_allowed"), F.col("key") == F.col("_allowed"), "left_semi")
         part = self._part(F.col("weight"), F.col("tf"), F.col("dl"), stats)
@@ -226,11 +204,10 @@ class InvertedIndex:
     # ---- fuzzy terms ----------------------------------------------------------------------------------
 
     def near_terms(self, term: str, most: int) -> DataFrame:
-        """term, df, edits: terms of the dictionary within `most` edits that share the fixed prefix, by a lookup of the deletions of the asked term."""
+        """term, df, edits: terms of the dictionary within `most` edits that share the fixed prefix; the dictionary is sorted, so only the row groups of that prefix are read."""
         prefix = self.config.fuzzy_prefix
-        keys = [f"{term[:prefix]}|{d}" for d in deletions(term[prefix : prefix + START], min(most, MOST_EDITS))]
-        found = self.table("deletions").where(F.col("variant").isin(*keys)).groupBy("term", "segment").agg(F.max("df").alias("df")).groupBy("term").agg(F.sum("df").alias("df"))
-        return within(found, term, most)
+        rows = self.table("terms").where(F.col("term").startswith(term[:prefix]) & (F.length("term") > prefix))
+        return within(rows.groupBy("term").agg(F.sum("df").alias("df")), term, most)
 
     def expand(self, terms: list[str], edits) -> list[str]:
         """The terms and the dictionary's terms within their allowed edits, nearest and most frequent first, at most `fuzzy_expansions` for each."""
@@ -248,29 +225,58 @@ def within(terms: DataFrame, term: str, most: int) -> DataFrame:
     return close.withColumn("edits", osa(F.col("term"), term)).where(F.col("edits") <= most)
 
 
-def _tagged(field: str) -> Column:
-    return F.transform(F.col(field), lambda t: F.struct(F.lit(field).alias("field"), t.alias("term"), F.size(field).alias("dl")))
-
-
-def _packed(number: bool) -> list[Column]:
-    """Columns of a block's keys (gaps, if they are numbers), frequencies and lengths."""
-    part = lambda name: F.transform("p", lambda x: x[name])
-    if not number:
-        return [part("key").alias("keys"), part("tf").alias("tfs"), part("dl").alias("dls")]
-    # the key before is taken from the column itself: a list made inside would be made again for each element
-    before = lambda i: F.element_at(F.col("p"), F.greatest(i, F.lit(1)))["key"].cast("long")
-    gap = lambda x, i: F.when(i == 0, x["key"].cast("long")).otherwise(x["key"].cast("long") - before(i))
-    return [F.transform("p", gap).alias("gaps"), part("tf").alias("tfs"), part("dl").alias("dls")]
-
-
-def unpacked(rows: DataFrame) -> Column:
-    """array of (key, tf, dl) of a posting row."""
-    keys = F.col("keys")
-    if "gaps" in rows.columns:
-        start = F.array().cast("array<bigint>")
-        keys = F.aggregate("gaps", start, lambda done, gap: F.concat(done, F.array(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0).cast("long")) + gap)))
-    return F.arrays_zip(keys.alias("key"), F.col("tfs").alias("tf"), F.col("dls").alias("dl"))
+def posting_rows(docs: DataFrame, fields: list[str]) -> DataFrame:
+    """The posting rows of docs (key, block, and f0, f1, ...: the terms of each field), a block of about WIDTH documents at a time."""
+    kind = docs.schema["key"].dataType
+    number = kind.typeName() in ("long", "integer", "short")
+    keys = "least long, above array<long>" if number else f"keys array<{kind.simpleString()}>"
+    names = ["field", "term", "block", "n", "max_tf", "min_dl", *(["least", "above"] if number else ["keys"]), "tfs", "dls"]
+
+    def run(group: tuple, table: pa.Table) -> pa.Table:
+        block, parts = group[0].as_py(), []
+        for i, field in enumerate(fields):
+            lists = table.column(f"f{i}").combine_chunks()
+            lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+            dl = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = lists.flatten().dictionary_encode()
+            doc = np.repeat(np.arange(len(dl)), dl)
+            known = coded.indices.is_valid().to_numpy(zero_copy_only=False)
+            term = pc.fill_null(coded.indices, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            pairs, tf = np.unique(term[known] * len(dl) + doc[known], return_counts=True)
+            if not len(pairs):
+                continue
+            term, doc = np.divmod(pairs, len(dl))
+            first = np.flatnonzero(np.diff(term, prepend=-1))
+            ends = np.append(first, len(term))
+            listed = lambda values, ends=ends: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+            own = table.column("key").combine_chunks().take(pa.array(doc))
+            if number:
+                # rows without a key stay without one
+                key = pc.fill_null(own, 0).cast(pa.int64()).to_numpy(zero_copy_only=False)
+                least = np.minimum.reduceat(key, first)
+                kept = [pa.array(least, pa.int64()), listed(pa.array(key - np.repeat(least, np.diff(ends)), pa.int64(), mask=own.is_null().to_numpy(zero_copy_only=False)))]
+            else:
+                kept = [listed(own)]
+            rows = [
+                pa.array([field] * len(first), pa.string()), coded.dictionary.take(pa.array(term[first])).cast(pa.string()), pa.array(np.full(len(first), block), pa.int64()), pa.array(np.diff(ends), pa.int32()),
+                pa.array(np.maximum.reduceat(tf, first), pa.int32()), pa.array(np.minimum.reduceat(dl[doc], first), pa.int32()), *kept, listed(pa.array(tf, pa.int32())), listed(pa.array(dl[doc], pa.int32())),
+            ]
+            parts.append(pa.table(rows, names=names))
+        return pa.concat_tables(parts) if parts else pa.table([pa.array([], t) for t in empty], names=names)
+
+    texts, ints = pa.string(), pa.int32()
+    own = {"string": pa.string(), "long": pa.int64()}
+    empty = [texts, texts, pa.int64(), ints, ints, ints, *([pa.int64(), pa.list_(pa.int64())] if number else [pa.list_(own.get(kind.typeName(), pa.string()))]), pa.list_(ints), pa.list_(ints)]
+    return docs.groupBy("block").applyInArrow(run, f"field string, term string, block long, n int, max_tf int, min_dl int, {keys}, tfs array<int>, dls array<int>")
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    """field, weight, key, tf, dl of the documents of posting rows."""
+    number = "above" in rows.columns
+    zipped = F.arrays_zip(F.col("above" if number else "keys").alias("key"), F.col("tfs").alias("tf"), F.col("dls").alias("dl"))
+    each = rows.select("field", "weight", *["least"] * number, F.explode(zipped).alias("p"))
+    return each.select("field", "weight", (F.col("least") + F.col("p.key") if number else F.col("p.key")).alias("key"), "p.tf", "p.dl")
 
 
 def unpacked_type(rows: DataFrame) -> str:
-    return "bigint" if "gaps" in rows.columns else rows.schema["keys"].dataType.elementType.simpleString()
+    return "bigint" if "above" in rows.columns else rows.schema["keys"].dataType.elementType.simpleString()

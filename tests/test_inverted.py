@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from siftline.operators import inverted, retrieve, suggest
@@ -62,6 +63,30 @@ def test_a_lookup_reads_its_row_groups_and_no_text(spark, tmp_path):
     assert sum(r.a <= "w17" <= r.b for r in files) == 1 and len(files) > 2
 
 
+def test_texts_are_cut_where_their_block_is_and_no_deletions_are_kept(spark, tmp_path):
+    chunks = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("abcdefghijkl"), "id", F.lit(" w w")).alias("chunk_text"))
+    seen, write = [], DataFrameWriter.parquet
+
+    def noted(self, path, **options):
+        seen.append((path.rpartition("/")[2], self._df._jdf.queryExecution().executedPlan().toString()))
+        return write(self, path, **options)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(DataFrameWriter, "parquet", noted)
+        index = InvertedIndex(spark, f"{tmp_path}/ix")
+        index.add(chunks, ["chunk_text"])
+    plans = dict(seen)
+    # one exchange, of texts by block, none of terms; no cut of texts behind a range
+    assert plans["unsorted"].count("Exchange hashpartitioning(block") == plans["unsorted"].count("Exchange ") == 1 and "Aggregate" not in plans["unsorted"]
+    assert all("split(" not in p for p in plans.values() if "rangepartitioning" in p)
+    # no table beside the dictionary grows with its terms, and a fuzzy lookup reads the fixed prefix alone
+    assert list(plans) == ["unsorted", "postings", "terms", "fields"]
+    near = index.near_terms("abcdefghijkl7", 1)
+    assert sorted((r.term, r.df, r.edits) for r in near.collect())[:2] == [("abcdefghijkl0", 1, 1), ("abcdefghijkl1", 1, 1)]
+    assert "StringStartsWith(term,ab)" in near._jdf.queryExecution().toString()
+    assert index.matches(["w"], {"chunk_text": 1.0}).count() == 500
+
+
 def test_string_keys_and_an_unfinished_segment(spark, tmp_path):
     chunks = docs(spark, 50).withColumn("doc_id", F.concat(F.lit("k"), "doc_id"))
     index = InvertedIndex(spark, f"{tmp_path}/ix")
