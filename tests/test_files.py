@@ -121,3 +121,9 @@ def test_files_as_rows(spark):
     assert (named.title, named.author, named.created, named.page_count) == (FACTS["title"], FACTS["author"], FACTS["created"], 1)
     facts = exif.with_image_facts(spark.createDataFrame([(1, g.png_file(3, 4)), (2, None)], "i int, content binary")).collect()
     assert facts[0].image.width == 3 and facts[0].image.error is None and facts[1].image is None
+
+
+def test_ranges_of_codes_are_not_spelled_out():
+    codes = d.to_unicode(b"2 beginbfchar <0041> <0061> <FFFF> <0078> endbfchar 4 beginbfrange <0000> <D7FF> <0000> <0010> <0012> [<0062> <0063>] <0041> <0043> <00410042> <0050> <0050> <0051> endbfrange")
+    assert [codes.get(c) for c in (0x30, 0x10, 0x11, 0x12, 0x41, 0x43, 0x50, 0xD7FF, 0xFFFF, 0xD800)] == ["0", "b", "c", "\x12", "AB", "AD", "Q", "\ud7ff", "x", None]
+    assert len(codes.known) <= 10 and codes and not d.Codes({})
