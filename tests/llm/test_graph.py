@@ -58,3 +58,13 @@ def test_wide_buckets_lose_no_link(spark, jaccard):
     want = {i: r for i, r in roots_of(sets, truth).items() if any(i in p for p in truth)}
     assert got == want and len(truth) >= 30
     assert sum(compared) < 150 * 149 / 2 / 3
+
+
+def test_size_classes_keep_similar_sizes_together_and_repeat_few_rows(spark):
+    sizes = list(range(1, 400))
+    keys = {}
+    for row in m.by_size(spark.createDataFrame([(7, s, s, len(sizes)) for s in sizes], "key long, id long, size int, n long"), 1.25).collect():
+        keys.setdefault(row.id, set()).add(row.key)
+    assert all(keys[a] & keys[b] for a in sizes for b in sizes if a <= b <= 1.25 * a)
+    assert not keys[10] & keys[100]
+    assert sum(map(len, keys.values())) < 1.5 * len(sizes)
