@@ -18,6 +18,8 @@ columns other than doc_id and text are ignored; an empty table gives an empty ta
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm._common import SMALL_SLICE, among, bound_batches, drop_out, hashes_of, mix, shingles, slices, text_array, trimmed, with_row_key, words_of, write_out
+from siftline.llm._common import SMALL_SLICE, among, bound_batches, drop_out, hashes_of, mix, release, shingles, slices, text_array, trimmed, with_row_key, words_of, write_out
 from siftline.llm._graph import first_tokens, linked_components, shared_buckets
 
 WORDS = 3
@@ -36,6 +38,8 @@ SHORT = 64
 SIMILARITY = 0.8
 #: Bins of a text's word counts, a byte each.
 BINS = 256
+#: Pairs that are aligned at once in any case.
+TURN = 20_000
 #: Bits of a run's place beside its hash, and the greatest value.
 PLACE = np.uint64((1 << 24) - 1)
 END = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -234,8 +238,28 @@ def close_pairs(pairs: DataFrame, profiles: DataFrame, least: float = SIMILARITY
     return two_sides(pairs, profiles, "size", "profile").mapInArrow(trimmed(run), "a long, b long")
 
 
-def align_pairs(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) of ids whose texts (id, text) are similar by alignment."""
+def align_pairs(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY, made: list | None = None) -> DataFrame:
+    """The written pairs (a, b) of ids whose texts (id, text) are similar by alignment; made gets the tables that the result reads.
+
+    Each pair moves two texts. So that a group of near copies, in which a text has many pairs, does not move many
+    times the texts at once, more than about one pair a text are aligned in turns, and what a turn has moved goes before the next.
+    """
+    turns = math.ceil(pairs.count() / max(TURN, texts.count()))
+    if turns < 2:
+        return _aligned(pairs, texts, least)
+    turn = F.pmod(F.xxhash64("a", "b"), F.lit(turns))
+    out = []
+    for t in range(turns):
+        part = write_out(pairs.where(turn == t), "near-turn")
+        out.append(write_out(_aligned(part, texts, least), "near-aligned"))
+        drop_out(pairs.sparkSession, part)
+        release(pairs.sparkSession)
+    if made is not None:
+        made.extend(out)
+    return functools.reduce(DataFrame.union, out)
+
+
+def _aligned(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     rows = two_sides(pairs, texts, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +302,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, sketches: int =
     def verify(pairs: DataFrame) -> DataFrame:
         # word counts rule most chance candidates out, so that few texts travel
         close.append(write_out(close_pairs(pairs, profiles, least), "near-close"))
-        return align_pairs(close[-1], texts, least)
+        return align_pairs(close[-1], texts, least, close)
 
     roots = linked_components(buckets, verify, lambda members: first_tokens(among(texts, "id", members.withColumnRenamed("id", "member"), "member", "inner"), pair_tokens, spare), "near", least, need)
     drop_out(spark, keyed, buckets, wanted, texts, *close)

@@ -151,3 +151,15 @@ def test_profiles_pass_every_similar_pair():
     passed = m.can_be_similar(*counts, longest, 0.8)
     true = np.array([m.similar(a, b, 0.8) for a, b in zip(*sides, strict=True)])
     assert true.sum() > 100 and not (true & ~passed).any() and (~passed).sum() > 20
+
+
+def test_alignment_in_turns_finds_the_same_pairs(spark, monkeypatch):
+    words = [f"v{i}" for i in range(40)]
+    texts = spark.createDataFrame([(i, " ".join(["z"] * i + words[i:])) for i in range(12)], "id long, text string")
+    pairs = m.write_out(spark.createDataFrame([(a, b) for a in range(12) for b in range(a + 1, 12)], "a long, b long"), "test-pairs")
+    once = sorted(map(tuple, m.align_pairs(pairs, texts).collect()))
+    monkeypatch.setattr(m, "TURN", 7)
+    turns = []
+    monkeypatch.setattr(m, "_aligned", lambda part, *rest, f=m._aligned: turns.append(part.count()) or f(part, *rest))
+    assert sorted(map(tuple, m.align_pairs(pairs, texts).collect())) == once == [(a, b) for a in range(12) for b in range(a + 1, 12) if b - a <= 8]
+    assert len(turns) == 6 and sum(turns) == 66
