@@ -22,6 +22,7 @@ ties keep the least doc_id; columns other than doc_id and text are ignored; empt
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftline.llm._common import SMALL_SLICE, among, bound_batches, drop_out, hashes_of, minimum_of, mix, shingles, slices, text_array, trimmed, words_of, write_out
+from siftline.llm._common import SMALL_SLICE, among, bound_batches, drop_out, hashes_of, minimum_of, mix, release, shingles, slices, text_array, trimmed, words_of, write_out
 from siftline.llm._graph import first_tokens, linked_components, shared_buckets
 from siftline.llm.near_dup import odd_numbers
 from siftline.llm.quality_crf import line_bounds
@@ -40,6 +41,8 @@ BANDS = 10
 ROWS = 4
 RUN = 20
 WINDOW = 31
+#: Runs of words that are looked up at once.
+RUNS_AT_ONCE = 8_000_000
 SIMILARITY = 0.8
 
 
@@ -226,11 +229,23 @@ def repeated_runs(docs: DataFrame, hits: DataFrame) -> DataFrame:
     """doc_id, first_word, n_words, class_doc_id, kept of the runs around hits that lie in more than one document, those of one class_doc_id merged."""
     spark = docs.sparkSession
     runs = write_out(runs_around(docs, hits), "runs")
-    shared = runs.groupBy(F.col("id").alias("c")).agg(F.min("doc_id").alias("class_doc_id"), F.max("doc_id").alias("last_doc")).where("class_doc_id < last_doc").drop("last_doc")
-    shared = write_out(shared, "shared-runs")
-    marked = among(runs, "id", shared, "c", "inner").select("doc_id", "first_word", F.lit(RUN).alias("n_words"), "class_doc_id", (F.col("fresh") & (F.col("doc_id") == F.col("class_doc_id"))).alias("kept"))
+    release(spark)
+    # equal runs are looked up in one part, and what a part has shuffled goes before the next
+    parts = 1 + runs.count() // RUNS_AT_ONCE
+    found = []
+    for part in range(parts):
+        some = runs.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part)
+        shared = some.groupBy(F.col("id").alias("c")).agg(F.min("doc_id").alias("class_doc_id"), F.max("doc_id").alias("last_doc")).where("class_doc_id < last_doc").drop("last_doc")
+        shared = write_out(shared, "shared-runs")
+        marked = among(some, "id", shared, "c", "inner").select("doc_id", "first_word", F.lit(RUN).alias("n_words"), "class_doc_id", (F.col("fresh") & (F.col("doc_id") == F.col("class_doc_id"))).alias("kept"))
+        found.append(write_out(marked, "marked-runs"))
+        drop_out(spark, shared)
+        release(spark)
+    drop_out(spark, runs)
+    marked = functools.reduce(DataFrame.union, found)
     out = write_out(merged(marked).select(*marked.columns), "run-spans")
-    drop_out(spark, runs, shared)
+    drop_out(spark, *found)
+    release(spark)
     return out
 
 
@@ -255,6 +270,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, bands: int =
     texts = write_out(paragraph_texts(docs, one).groupBy("id").agg(F.first("text").alias("text")), "passage-texts")
     roots = linked_components(buckets, lambda pairs: similar_paragraphs(pairs, texts, least), lambda members: first_tokens(texts.join(members, "id"), shingle_tokens, lambda n: np.floor((1 - least) * n + 1e-9)), "passages", least)
     drop_out(spark, buckets, wanted, texts)
+    release(spark)
     spots = parts.select("kind", "doc_id", "first_word", "n_words", "id")
     named = spots.where("kind = 0").join(roots.withColumnRenamed("id", "known"), F.col("id") == F.col("known"), "left").select("kind", "doc_id", "first_word", "n_words", F.coalesce("root", "id").alias("class"))
     named = write_out(named.union(spots.where("kind = 1")), "named-passages")
@@ -264,6 +280,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, bands: int =
     some = among(named, "class", shared, "c", "inner").where("kind = k").select("kind", "class", "doc_id", "first_word", "n_words", "class_doc_id")
     some = write_out(some, "shared-passages")
     drop_out(spark, named, shared)
+    release(spark)
     lines = some.where("kind = 0")
     first = lines.where("doc_id = class_doc_id").groupBy(F.col("class").alias("c")).agg(F.min("first_word").alias("class_word"))
     marked = lines.join(first, F.col("class") == F.col("c")).select("doc_id", "first_word", "n_words", "class_doc_id", ((F.col("doc_id") == F.col("class_doc_id")) & (F.col("first_word") == F.col("class_word"))).alias("kept"))

@@ -124,3 +124,15 @@ def test_rows_that_repeat_a_doc_id_with_another_text(spark):
         docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
         found = {(r.doc_id, r.first_word, r.n_words, r.kept) for r in m.repeated_passages(docs).collect()}
         assert (2, 0, 40, False) in found and (1, 0, 40, True) in found
+
+
+def test_runs_looked_up_in_parts_give_the_same_spans(spark, monkeypatch):
+    words = [f"w{i}" for i in range(90)]
+    docs = spark.createDataFrame([(i, " ".join([*(f"own{i}x{k}" for k in range(25)), *words[i : 60 + 2 * i]])) for i in range(6)], "doc_id long, text string")
+    hits = spark.createDataFrame([(i, 40) for i in range(6)], "at_doc long, first_word int")
+    once = sorted(map(tuple, m.repeated_runs(docs, hits).collect()))
+    monkeypatch.setattr(m, "RUNS_AT_ONCE", 50)
+    named = []
+    monkeypatch.setattr(m, "write_out", lambda df, name, f=m.write_out: named.append(name) or f(df, name))
+    assert sorted(map(tuple, m.repeated_runs(docs, hits).collect())) == once and once
+    assert named.count("shared-runs") > 3
